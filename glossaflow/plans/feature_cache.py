@@ -19,7 +19,6 @@ def audit(
     ``(split, idx, features)`` per cached entry. An entry without features
     counts as a miss.
     """
-    merged = C.merge_index([(split, C.path_index(one)) for split, one in indexes])
-    cached = merged.join(features, ["split", "idx"])
+    cached = C.merge_index(indexes).join(features, ["split", "idx"])
     found = C.cache_lookup(items, cached)
     return C.cache_audit(C.with_aligned(found), *by)

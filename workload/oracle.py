@@ -110,7 +110,7 @@ predicted AS (
          WHEN contains(src_en, '|') THEN 'OOM' END AS error
   FROM texts),
 outcomes AS (
-  SELECT *, CASE WHEN error IS NULL THEN {strip("replace(src_en, 'th', 'd')")}
+  SELECT *, CASE WHEN error IS NULL THEN {strip(f"replace('{PREFIX}' || src_en, 'th', 'd')")}
             ELSE '' END AS pred_zh FROM predicted)"""
 
 CHUNKS = f"""{pairs()},
@@ -129,26 +129,29 @@ kept AS (SELECT * FROM filled WHERE pred <> '' AND ref <> '')"""
 
 def ngrams(source: str, pred: str = "prediction", ref: str = "reference", order: int = 6) -> str:
     """Long table gram_stats(id, system, n, h, r, m)."""
-    def side(name: str, col: str) -> str:
-        return f"""
-{name} AS (
-  SELECT id, n, list_transform(range(1, len({col}) - n + 2),
-    lambda i: array_to_string({col}[i : i + n - 1], '')) AS gs
-  FROM cut, range(1, {order + 1}) AS o(n)),
-{name}_n AS (
-  SELECT id, n, g, count(*) AS k FROM (SELECT id, n, unnest(gs) AS g FROM {name})
-  GROUP BY ALL)"""
+    def longer(n: int) -> str:
+        return " || ".join(["ch"] + [f"lead(ch, {k}) OVER w" for k in range(1, n)])
+
+    grams = ", ".join(f"{longer(n)} AS g{n}" for n in range(1, order + 1))
+    counted = " UNION ALL ".join(
+        f"SELECT id, {n} AS n, sum(least(h, r)) AS m FROM (SELECT id, g{n} AS g, "
+        f"count(*) FILTER (is_h) AS h, count(*) FILTER (NOT is_h) AS r "
+        f"FROM grams WHERE g{n} IS NOT NULL GROUP BY id, g{n}) GROUP BY id"
+        for n in range(1, order + 1)
+    )
     return f"""
 cut AS (
   SELECT id, system,
     string_split(regexp_replace({pred}, '{WS}', '', 'g'), '') AS hc,
     string_split(regexp_replace({ref}, '{WS}', '', 'g'), '') AS rc
   FROM {source}),
-{side('hg', 'hc')},
-{side('rg', 'rc')},
-hits AS (
-  SELECT a.id, a.n, sum(least(a.k, b.k)) AS m
-  FROM hg_n a JOIN rg_n b ON a.id = b.id AND a.n = b.n AND a.g = b.g GROUP BY ALL),
+chars AS (
+  SELECT id, true AS is_h, unnest(hc) AS ch, generate_subscripts(hc, 1) AS i FROM cut
+  UNION ALL
+  SELECT id, false AS is_h, unnest(rc) AS ch, generate_subscripts(rc, 1) AS i FROM cut),
+grams AS MATERIALIZED (
+  SELECT id, is_h, {grams} FROM chars WINDOW w AS (PARTITION BY id, is_h ORDER BY i)),
+hits AS ({counted}),
 gram_stats AS (
   SELECT cut.id, cut.system, o.n,
     greatest(len(hc) - o.n + 1, 0) AS h, greatest(len(rc) - o.n + 1, 0) AS r,
@@ -358,10 +361,11 @@ ORACLE = {
         FROM pairs GROUP BY system""",
     "latency_summary": f"""WITH {pairs()}
         SELECT system, count(*) FILTER (status = 'ok') AS ok,
-          round(avg(latency_s) FILTER (status = 'ok'), 4) AS mean_s,
+          round((sum(latency_s::DECIMAL(18, 3)) FILTER (status = 'ok'))::DOUBLE
+            / count(*) FILTER (status = 'ok'), 4) AS mean_s,
           min(latency_s) FILTER (status = 'ok') AS min_s,
           max(latency_s) FILTER (status = 'ok') AS max_s,
-          round(sum(latency_s) / 60, 4) AS total_min
+          round(sum(latency_s::DECIMAL(18, 3))::DOUBLE / 60, 4) AS total_min
         FROM pairs GROUP BY system""",
     "status_counts": f"""WITH {pairs()}
         SELECT split_part(status, ':', 1) AS outcome, count(*) AS n FROM pairs GROUP BY 1""",
