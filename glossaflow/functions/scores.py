@@ -1,4 +1,4 @@
-"""Score formulas on corpus sums, and row-local token overlap."""
+"""Score formulas on corpus sums."""
 
 from __future__ import annotations
 
@@ -11,36 +11,6 @@ from pyspark.sql import functions as F
 from glossaflow.patterns import BLEU_FORMAT, BLEU_ORDER, CHRF_BETA, CHRF_ORDER
 
 
-def matched_tokens(pred_tokens: Column, ref_tokens: Column) -> Column:
-    """Size of the multiset intersection of two token arrays.
-
-    Both arrays are sorted together, reference tokens ahead of equal prediction
-    tokens; one fold then uses up the reference copies of each token. The work
-    stays inside the row: no explode, no shuffle, no unique id needed.
-    """
-
-    def tag(tokens: Column, is_pred: bool) -> Column:
-        return F.transform(
-            tokens, lambda t: F.struct(t.alias("tok"), F.lit(is_pred).alias("pred"))
-        )
-
-    ordered = F.sort_array(F.concat(tag(ref_tokens, False), tag(pred_tokens, True)))
-    start = F.struct(
-        F.lit("").alias("tok"), F.lit(0).alias("spare"), F.lit(0).alias("hits")
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        spare = F.when(acc["tok"] == x["tok"], acc["spare"]).otherwise(F.lit(0))
-        hit = x["pred"] & (spare > 0)
-        return F.struct(
-            x["tok"].alias("tok"),
-            F.when(~x["pred"], spare + 1).when(hit, spare - 1).otherwise(spare).alias("spare"),
-            F.when(hit, acc["hits"] + 1).otherwise(acc["hits"]).alias("hits"),
-        )
-
-    return F.aggregate(ordered, start, step, lambda acc: acc["hits"]).cast("bigint")
-
-
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom)
 

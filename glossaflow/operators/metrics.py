@@ -13,29 +13,21 @@ from pyspark.sql import functions as F
 from glossaflow import patterns as P
 from glossaflow.functions import scores as S
 from glossaflow.functions import text as X
-from glossaflow.functions.ngrams import char_ngram_stats
+from glossaflow.functions.pair_stats import TOKEN_FIELDS, pair_stats
 from glossaflow.operators.rows import is_valid
 
 
 # -- per row ------------------------------------------------------------------
 
-def with_ngrams(df: DataFrame, pred: str = "prediction", ref: str = "reference") -> DataFrame:
-    """Add the count struct ``ng`` of character n-grams."""
-    return df.withColumn("ng", char_ngram_stats(F.col(pred), F.col(ref)))
-
-
-def with_tokens(df: DataFrame, pred: str = "prediction", ref: str = "reference") -> DataFrame:
-    """Add ``pred_tokens``, ``ref_tokens`` (sizes) and ``matched``."""
-    return (
-        df.withColumn("_p", X.tokenize_mixed(F.col(pred)))
-        .withColumn("_r", X.tokenize_mixed(F.col(ref)))
-        .withColumns({
-            "pred_tokens": F.size("_p").cast("bigint"),
-            "ref_tokens": F.size("_r").cast("bigint"),
-            "matched": S.matched_tokens(F.col("_p"), F.col("_r")),
-        })
-        .drop("_p", "_r")
-    )
+def with_stats(
+    df: DataFrame,
+    pred: str = "prediction",
+    ref: str = "reference",
+    ngrams: bool = True,
+    tokens: bool = True,
+) -> DataFrame:
+    """Add the match count struct ``st`` of character n-grams and of tokens."""
+    return df.withColumn("st", pair_stats(F.col(pred), F.col(ref), ngrams, tokens))
 
 
 def with_entities(df: DataFrame, pred: str = "prediction", ref: str = "reference") -> DataFrame:
@@ -61,8 +53,9 @@ def token_overlap_relational(
 ) -> DataFrame:
     """Token overlap as explode and group-by; needs a unique ``key``.
 
-    Same result as :func:`with_tokens` for rows with tokens on both sides. Use
-    it where the tokens are already exploded and partitioned by ``key``.
+    Same result as the token counts of :func:`with_stats` for rows with tokens
+    on both sides. Use it where tokens are already exploded and partitioned by
+    ``key``; otherwise it shuffles what :func:`with_stats` leaves in place.
     """
     def side(text: str, p: int, r: int) -> DataFrame:
         tokens = F.explode(X.tokenize_mixed(F.col(text))).alias("token")
@@ -90,7 +83,7 @@ def ngram_sums() -> list[Column]:
     """h/r/m sums per order, and c: hypothesis grams where the reference has any."""
     out = []
     for n in range(1, P.CHRF_ORDER + 1):
-        h, r, m = (F.col(f"ng.{k}{n}") for k in "hrm")
+        h, r, m = (F.col(f"st.{k}{n}") for k in "hrm")
         out += [
             F.sum(h).alias(f"h{n}"), F.sum(r).alias(f"r{n}"), F.sum(m).alias(f"m{n}"),
             F.sum(F.when(r > 0, h).otherwise(0)).alias(f"c{n}"),
@@ -100,11 +93,12 @@ def ngram_sums() -> list[Column]:
 
 def token_rates() -> list[Column]:
     """Mean unsupported share and covered share; rows short of tokens left out."""
-    both = (F.col("pred_tokens") > 0) & (F.col("ref_tokens") > 0)
+    p, r, matched = (F.col(f"st.{name}") for name in TOKEN_FIELDS)
+    both = (p > 0) & (r > 0)
     return [
         F.count_if(both).alias("scored"),
-        F.avg(F.when(both, 1 - F.col("matched") / F.col("pred_tokens"))).alias("_hall"),
-        F.avg(F.when(both, F.col("matched") / F.col("ref_tokens"))).alias("_cov"),
+        F.avg(F.when(both, 1 - matched / p)).alias("_hall"),
+        F.avg(F.when(both, matched / r)).alias("_cov"),
     ]
 
 
@@ -155,13 +149,13 @@ def err_column() -> Column:
 
 def corpus_chrf(valid: DataFrame, *by: str, beta: float = P.CHRF_BETA) -> DataFrame:
     """Corpus chrF per group."""
-    sums = with_ngrams(valid).groupBy(*by).agg(*ngram_sums())
+    sums = with_stats(valid, tokens=False).groupBy(*by).agg(*ngram_sums())
     return sums.select(*by, chrf_column(beta))
 
 
 def corpus_bleu(valid: DataFrame, *by: str) -> DataFrame:
     """Corpus BLEU per group over character tokens: score, terms, printed form."""
-    sums = with_ngrams(valid).groupBy(*by).agg(*ngram_sums())
+    sums = with_stats(valid, tokens=False).groupBy(*by).agg(*ngram_sums())
     terms = S.bleu_from()
     return sums.select(
         *by,
@@ -175,7 +169,7 @@ def corpus_bleu(valid: DataFrame, *by: str) -> DataFrame:
 
 def hallucination_coverage(valid: DataFrame, *by: str) -> DataFrame:
     """Hallucination rate and content coverage per group."""
-    sums = with_tokens(valid).groupBy(*by).agg(*token_rates())
+    sums = with_stats(valid, ngrams=False).groupBy(*by).agg(*token_rates())
     return sums.select(*by, "scored", *rate_columns())
 
 

@@ -24,7 +24,7 @@ def entity_report(results: DataFrame, *by: str) -> DataFrame:
         F.when(valid, F.col("prediction")).alias("prediction"),
         F.when(valid, F.col("reference")).alias("reference"),
     )
-    sums = M.with_entities(M.with_ngrams(masked)).groupBy(*by).agg(
+    sums = M.with_entities(M.with_stats(masked, tokens=False)).groupBy(*by).agg(
         F.count("*").alias("total"), F.count_if("_valid").alias("valid"),
         *M.ngram_sums(), *M.entity_rates(),
     )
@@ -36,8 +36,7 @@ def entity_report(results: DataFrame, *by: str) -> DataFrame:
 
 
 def _intrinsic(pairs: DataFrame, count: str, *by: str, pred: str, ref: str) -> DataFrame:
-    stats = M.with_tokens(M.with_ngrams(pairs, pred, ref), pred, ref)
-    sums = stats.groupBy(*by).agg(
+    sums = M.with_stats(pairs, pred, ref).groupBy(*by).agg(
         F.count("*").alias(count), *M.ngram_sums(), *M.token_rates()
     )
     return sums.select(*by, count, M.chrf_column(), *M.rate_columns())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossaflow.functions import frames as FR
 from glossaflow.functions import records as R
 from glossaflow.functions import text as X
-from glossaflow.functions.ngrams import stat_names
+from glossaflow.functions.pair_stats import TOKEN_FIELDS, stat_names
 from glossaflow.operators import cache as C
 from glossaflow.operators import metrics as M
 from glossaflow.operators import rows as O
@@ -16,7 +16,7 @@ from glossaflow.operators.predict import batch_predict
 from glossaflow.plans import datasets as D
 from glossaflow.plans import feature_cache, prediction, reports
 from glossaflow.sources import readers, sinks
-from glossaflow.sources.ordering import table
+from glossaflow.sources.ordering import index_columnar
 from glossaflow.sources.scratch import scratch_path
 from workload import views as V
 
@@ -81,7 +81,7 @@ def _written_speech(spark, d) -> DataFrame:
 
 def jsonl_dir_scan(spark, d):
     path = scratch_path(spark, "jsonl")
-    rows = V.indexed_documents(spark, d, "doc_id", "text", "lang")
+    rows = V.documents(spark, d).select("row_idx", "doc_id", "text", "lang")
     sinks.write_jsonl(rows, path)
     back = readers.read_jsonl_dir(spark, path, "doc_id BIGINT, text STRING, lang STRING")
     return back.select("row_idx", "doc_id", "lang", F.md5("text").alias("text_md5"))
@@ -100,7 +100,7 @@ def predictions_scan(spark, d):
 
 
 def chat_scan(spark, d):
-    turns = table(spark, f"{d}/conversations.parquet")
+    turns = V.source(spark, d, "conversations")
     return O.assemble_chats(turns).select(
         "conv_id", F.col("part").cast("bigint").alias("part"),
         F.size("messages").cast("bigint").alias("n_turns"),
@@ -115,7 +115,8 @@ def corpus_scan(spark, d):
 
 
 def row_ordinal(spark, d):
-    return V.indexed_documents(spark, d, "doc_id")
+    """Positions over the many files of the ingested table, stored ones aside."""
+    return index_columnar(V.documents(spark, d), ["doc_id"])
 
 
 def path_index_scan(spark, d):
@@ -162,7 +163,7 @@ def extract_translation(spark, d):
 
 
 def tokenize_mixed(spark, d):
-    docs = V.documents(spark, d, "doc_id", "text")
+    docs = V.documents(spark, d)
     toks = docs.select("doc_id", X.tokenize_mixed(V.ideographs(F.col("text"))).alias("t"))
     return toks.select(
         "doc_id", F.size("t").cast("bigint").alias("n_tokens"),
@@ -171,7 +172,7 @@ def tokenize_mixed(spark, d):
 
 
 def extract_entities(spark, d):
-    docs = V.documents(spark, d, "doc_id", "text")
+    docs = V.documents(spark, d)
     found = docs.select("doc_id", F.array_sort(X.entities(F.col("text"))).alias("e"))
     return found.select(
         "doc_id", F.size("e").cast("bigint").alias("n_entities"),
@@ -194,7 +195,7 @@ def merge_chunks(spark, d):
 
 
 def url_parts(spark, d):
-    pages = table(spark, f"{d}/pages.parquet", "page_id", "url")
+    pages = V.source(spark, d, "pages")
     return pages.select(
         "page_id", X.path_name(F.col("url")).alias("name"),
         X.path_stem(F.col("url")).alias("stem"), X.path_parent(F.col("url")).alias("parent"),
@@ -236,7 +237,7 @@ def alignment_check(spark, d):
 
 
 def prompt_records(spark, d):
-    docs = V.documents(spark, d, "doc_id", "text")
+    docs = V.documents(spark, d)
     built = docs.select("doc_id", R.prompt(
         SYSTEM, F.concat(F.lit(PREFIX), X.normalize_text(F.col("text"))),
         X.media_path(V.FOLDER, F.col("doc_id")),
@@ -252,7 +253,7 @@ def prompt_records(spark, d):
 
 
 def last_assistant(spark, d):
-    turns = table(spark, f"{d}/conversations.parquet")
+    turns = V.source(spark, d, "conversations")
     return O.last_turn(turns, "assistant")
 
 
@@ -267,17 +268,17 @@ def first_n_valid(spark, d):
 
 
 def head_n(spark, d):
-    return O.head_n(V.indexed_documents(spark, d, "doc_id", "source"), 120, strict=True)
+    return O.head_n(V.documents(spark, d).select("row_idx", "doc_id", "source"), 120, strict=True)
 
 
 def slice_n(spark, d):
-    return O.slice_n(V.indexed_documents(spark, d, "doc_id", "source"), 150, 100)
+    return O.slice_n(V.documents(spark, d).select("row_idx", "doc_id", "source"), 150, 100)
 
 
 # -- prediction ---------------------------------------------------------------
 
 def batch_predict_query(spark, d):
-    docs = V.documents(spark, d, "doc_id", "text")
+    docs = V.documents(spark, d)
     out = batch_predict(docs, F.col("text"), text_predictor)
     return out.select("doc_id", "prediction", "status")
 
@@ -317,20 +318,19 @@ def _valid(spark, d, mixed=True):
 
 
 def char_ngram_stats(spark, d):
-    rows = M.with_ngrams(_valid(spark, d))
-    return rows.select("id", *[F.col(f"ng.{n}").alias(n) for n in stat_names()])
+    rows = M.with_stats(_valid(spark, d), tokens=False)
+    return rows.select("id", *[F.col(f"st.{n}").alias(n) for n in stat_names()])
 
 
 def token_counts(spark, d):
-    docs = V.documents(spark, d, "doc_id", "text").withColumn("text", V.ideographs(F.col("text")))
+    docs = V.documents(spark, d).withColumn("text", V.ideographs(F.col("text")))
     return M.token_counts(docs, "doc_id", "text")
 
 
 def token_overlap(spark, d):
-    rows = M.with_tokens(_valid(spark, d))
-    return rows.filter("pred_tokens > 0 AND ref_tokens > 0").select(
-        "id", "pred_tokens", "ref_tokens", "matched"
-    )
+    rows = M.with_stats(_valid(spark, d), ngrams=False)
+    counts = rows.select("id", *[F.col(f"st.{n}").alias(n) for n in TOKEN_FIELDS])
+    return counts.filter("pred_tokens > 0 AND ref_tokens > 0")
 
 
 def hallucination_coverage(spark, d):

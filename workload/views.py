@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions import text as X
 from glossaflow.operators.cache import path_index
-from glossaflow.sources.ordering import index_columnar, spread, table
-from glossaflow.sources.readers import read_corpus
+from glossaflow.sources.ordering import index_columnar, ingest, is_narrow
+from glossaflow.sources.scratch import scratch_path
 
 VOWELS, IDEOGRAPHS = "aeiou", "天气很好的"
 FOLDER = "/audio"
@@ -28,12 +28,29 @@ def ideographs(c: Column) -> Column:
     return F.translate(c, VOWELS, IDEOGRAPHS)
 
 
-def documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return table(spark, f"{d}/documents.parquet", *columns)
+_ingested: dict[tuple[str, str, str], str] = {}
 
 
-def indexed_documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return spread(read_corpus(spark, f"{d}/documents.parquet", list(columns)))
+def source(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A given table with ``row_idx``.
+
+    A table of very few splits would keep most cores idle, so it is ingested
+    into more files, once per application; larger tables are read in place.
+    """
+    path = f"{d}/{name}.parquet"
+    scan = index_columnar(spark.read.parquet(path))
+    if not is_narrow(scan):
+        return scan
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _ingested:
+        out = scratch_path(spark, name)
+        ingest(spark, path, out)
+        _ingested[key] = out
+    return spark.read.parquet(_ingested[key])
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return source(spark, d, "documents")
 
 
 def pairs(spark: SparkSession, d: str, mixed: bool = True) -> DataFrame:
@@ -46,7 +63,7 @@ def pairs(spark: SparkSession, d: str, mixed: bool = True) -> DataFrame:
         F.when(has(F.col("text"), "|"), "OOM")
         .when(has(F.col("text"), "#"), "ERR:decode").otherwise("ok")
     )
-    rows = documents(spark, d, "doc_id", "text", "source", "lang").select(
+    rows = documents(spark, d).select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("system"),
         "lang",
@@ -70,7 +87,7 @@ def raw_outputs(spark: SparkSession, d: str) -> DataFrame:
         .when(F.col("lang") == "de", F.concat(F.lit("　"), p))
         .otherwise(p)
     )
-    return documents(spark, d, "doc_id", "text", "source", "lang").select(
+    return documents(spark, d).select(
         F.col("doc_id").alias("id"), answer.alias("answer")
     )
 
@@ -78,7 +95,7 @@ def raw_outputs(spark: SparkSession, d: str) -> DataFrame:
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """Corpus rows; documents with junk marks have a blank translation."""
     junk = has(F.col("text"), "@") | has(F.col("text"), "#") | has(F.col("text"), "|")
-    return indexed_documents(spark, d, "text").select(
+    return documents(spark, d).select(
         "row_idx",
         F.col("text").alias("sentence"),
         F.when(junk, F.lit(" \n")).otherwise(ideographs(F.col("text"))).alias("translation"),
@@ -88,7 +105,7 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 def asr(spark: SparkSession, d: str) -> DataFrame:
     """ASR rows; a side is blank or absent, and ``idx`` absent, by content."""
     text = F.col("text")
-    return indexed_documents(spark, d, "text", "source", "lang").select(
+    return documents(spark, d).select(
         "row_idx",
         F.when(F.col("lang") != "es", F.col("row_idx") + 1).alias("idx"),
         F.when(has(text, "@"), F.lit(None)).when(has(text, "#"), "  ").otherwise(text).alias("pred_zh"),
@@ -112,11 +129,10 @@ def chunks(spark: SparkSession, d: str) -> list[DataFrame]:
 
 def media_items(spark: SparkSession, d: str) -> DataFrame:
     """Feature rows; neighbours with one label share a media path."""
-    scan = spark.read.parquet(f"{d}/embeddings.parquet")
     path = F.concat(
         F.lit("/audio/"), F.col("label"), F.lit("/"),
         F.floor(F.col("row_idx") / 3), F.lit(".wav"))
-    return spread(index_columnar(scan, ["embedding", "label"])).select(
+    return source(spark, d, "embeddings").select(
         "row_idx", path.alias("audio_path"), "label",
         F.col("embedding").alias("features"),
         (62 + F.floor(F.col("label") / 2)).cast("int").alias("expected_len"),
