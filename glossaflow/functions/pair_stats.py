@@ -39,6 +39,8 @@ def _matches(keys: np.ndarray, per_row: np.ndarray) -> np.ndarray:
 
     ``per_row`` holds the number of keys of each row; rows ascend with the keys.
     """
+    if not len(keys):
+        return np.zeros(len(per_row), dtype=np.int64)
     keys.sort()
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     counts = np.diff(starts, append=len(keys))
@@ -146,4 +148,7 @@ def pair_stats(
 
     count.__annotations__ = {"h": pa.Array, "r": pa.Array, "return": pa.Array}
     schema = ",".join(f"{name}:bigint" for name in names)
-    return F.arrow_udf(count, returnType=f"struct<{schema}>")(hyp, ref)
+    # Declared nondeterministic so that a filter on the counts is not pushed below
+    # them, which would make Spark count twice.
+    udf = F.arrow_udf(count, returnType=f"struct<{schema}>").asNondeterministic()
+    return udf(hyp, ref)

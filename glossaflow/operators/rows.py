@@ -17,9 +17,16 @@ PART_TURNS = 1_024
 
 # -- filters ------------------------------------------------------------------
 
-def drop_empty(df: DataFrame, *columns: str) -> DataFrame:
-    """Rows in which every named (already normalised) text is filled."""
-    return df.filter(reduce(lambda a, b: a & b, [F.col(c) != "" for c in columns]))
+def drop_blank(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which every named text holds more than white space.
+
+    Test the texts as they come, before normalising: looking for one visible
+    character is cheap, while a filter on a normalised column makes Spark
+    normalise twice, once below the filter and once above it.
+    """
+    return df.filter(
+        reduce(lambda a, b: a & b, [~X.is_blank(F.col(c)) for c in columns])
+    )
 
 
 def is_valid() -> Column:
@@ -38,11 +45,12 @@ def coalesced_pairs(
     df: DataFrame, prediction: Sequence[str], reference: Sequence[str]
 ) -> DataFrame:
     """Add ``pred`` and ``ref`` from candidate columns and keep filled pairs."""
-    pred = X.coalesce_fields(*[F.col(c) for c in prediction])
-    ref = X.coalesce_fields(*[F.col(c) for c in reference])
+    pred = [F.col(c) for c in prediction]
+    ref = [F.col(c) for c in reference]
     kept = [c for c in df.columns if c not in ("pred", "ref")]
-    return drop_empty(
-        df.select(*kept, pred.alias("pred"), ref.alias("ref")), "pred", "ref"
+    filled = ~X.is_blank(F.coalesce(*pred)) & ~X.is_blank(F.coalesce(*ref))
+    return df.filter(filled).select(
+        *kept, X.coalesce_fields(*pred).alias("pred"), X.coalesce_fields(*ref).alias("ref")
     )
 
 
@@ -57,7 +65,7 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 
 def first_n_valid(df: DataFrame, n: int, *columns: str) -> DataFrame:
     """The first ``n`` rows, in source order, whose named texts are filled."""
-    return drop_empty(df, *columns).orderBy("row_idx").limit(n)
+    return drop_blank(df, *columns).orderBy("row_idx").limit(n)
 
 
 def head_n(df: DataFrame, n: int, strict: bool = False) -> DataFrame:

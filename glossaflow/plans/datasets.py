@@ -18,10 +18,10 @@ def speech_records(
     Rows with a blank target are left out; the others keep the media path of
     their corpus position, so paths may have gaps.
     """
-    target = corpus.select("row_idx", X.normalize_text(F.col("translation")).alias("_t"))
-    return O.drop_empty(target, "_t").select(
+    target = X.normalize_text(F.col("translation"))
+    return O.drop_blank(corpus, "translation").select(
         "row_idx",
-        R.speech_messages(system, instruction, F.col("_t")).alias("messages"),
+        R.speech_messages(system, instruction, target).alias("messages"),
         F.array(X.media_path(folder, F.col("row_idx"))).alias("audios"),
     )
 
@@ -40,16 +40,12 @@ def text_records(
 
     ``limit`` keeps the first records in source order.
     """
-    clean = asr.select(
-        "row_idx",
-        X.normalize_text(F.col("pred_zh")).alias("_s"),
-        X.normalize_text(F.col("ref_zh")).alias("_t"),
-    )
+    sides = ("pred_zh", "ref_zh")
     if limit is None:
-        kept = O.drop_empty(clean, "_s", "_t")
+        kept = O.drop_blank(asr, *sides)
     else:
-        kept = O.first_n_valid(clean, limit, "_s", "_t")
-    msgs = R.text_messages(system, prefix, F.col("_s"), F.col("_t"))
+        kept = O.first_n_valid(asr, limit, *sides)
+    msgs = R.text_messages(system, prefix, *[X.normalize_text(F.col(c)) for c in sides])
     return kept.select("row_idx", msgs.alias("messages"))
 
 

@@ -53,21 +53,20 @@ def predict_texts(
     Rows with a blank side stay, with an error and without a function call. The
     columns in ``keep`` (such as the shard) are carried along.
     """
-    src = X.normalize_text(X.or_empty(F.col("pred_zh")))
-    ref = X.normalize_text(X.or_empty(F.col("ref_zh")))
+    src, ref = F.col("pred_zh"), F.col("ref_zh")
     rows = asr.select(
         *keep,
         F.coalesce("idx", "row_idx").alias("idx"),
-        src.alias("src_en"),
-        ref.alias("ref_zh"),
+        X.normalize_text(X.or_empty(src)).alias("src_en"),
+        X.normalize_text(X.or_empty(ref)).alias("ref_zh"),
+        (~X.is_blank(src) & ~X.is_blank(ref)).alias("_filled"),
     )
-    filled = (F.col("src_en") != "") & (F.col("ref_zh") != "")
     prompt = R.prompt(system, F.concat(F.lit(prefix), F.col("src_en")))
-    rows = rows.withColumn("_prompt", F.when(filled, prompt))
+    rows = rows.withColumn("_prompt", F.when(F.col("_filled"), prompt))
     out = batch_predict(rows, F.col("_prompt"), make_predictor)
     ok = F.col("status") == P.STATUS_OK
     error = (
-        F.when(F.col("_prompt").isNull(), P.EMPTY_ERROR)
+        F.when(~F.col("_filled"), P.EMPTY_ERROR)
         .when(~ok, F.regexp_replace("status", r"\A" + P.STATUS_ERROR, ""))
     )
     return out.select(

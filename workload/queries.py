@@ -260,11 +260,11 @@ def last_assistant(spark, d):
 # -- prefixes and slices (their limits are the feature) -----------------------
 
 def first_n_valid(spark, d):
-    rows = V.asr(spark, d).select(
+    rows = O.first_n_valid(V.asr(spark, d), 100, "pred_zh", "ref_zh")
+    return rows.select(
         "row_idx", X.normalize_text(F.col("pred_zh")).alias("src"),
         X.normalize_text(F.col("ref_zh")).alias("tgt"),
     )
-    return O.first_n_valid(rows, 100, "src", "tgt")
 
 
 def head_n(spark, d):
