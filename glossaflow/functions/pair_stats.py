@@ -12,15 +12,14 @@ a row's two sides are neighbours.
 
 from __future__ import annotations
 
-import re
-from itertools import chain
+from string import ascii_letters, digits
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossaflow.patterns import CHRF_ORDER, TOKEN, WS_RANGES
+from glossaflow.patterns import CHRF_ORDER, IDEOGRAPH_RANGES, WS_RANGES
 
 # Characters handled at once. Bounds worker memory whatever the Arrow batch
 # holds; a longer text forms a block of its own.
@@ -30,7 +29,14 @@ _IS_SPACE = np.zeros(0x3002, dtype=bool)
 for _lo, _hi in WS_RANGES:
     _IS_SPACE[_lo : _hi + 1] = True
 
-_TOKEN = re.compile(re.sub(r"\\x\{(\w+)\}", r"\\u\1", TOKEN))
+# Per code point: 1-62 for an ASCII letter or digit, 63 for an ideograph, else 0.
+_IDEOGRAPH = 63
+_KIND = np.zeros(0x10001, dtype=np.uint8)
+_KIND[[ord(c) for c in ascii_letters + digits]] = np.arange(1, 63)
+for _lo, _hi in IDEOGRAPH_RANGES:
+    _KIND[_lo : _hi + 1] = _IDEOGRAPH
+# Letters that fit one integer, at six bits each.
+_PACKED = 10
 TOKEN_FIELDS = ["pred_tokens", "ref_tokens", "matched"]
 
 
@@ -51,13 +57,18 @@ def _matches(keys: np.ndarray, per_row: np.ndarray) -> np.ndarray:
     return np.bincount(row, weights=clipped, minlength=len(per_row)).astype(np.int64)
 
 
+def _flatten(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """The joined text, its code points, and the text each point belongs to."""
+    text = "".join(texts)
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return text, points, np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+
+
 def _ngram_block(hyps: list[str], refs: list[str], order: int) -> np.ndarray:
     """Counts of shape (3, order, rows): hypothesis, reference, clipped match."""
     rows = len(hyps)
-    texts = hyps + refs
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
-    sizes = np.fromiter(map(len, texts), np.int64, 2 * rows)
-    owner = np.repeat(np.arange(2 * rows, dtype=np.int32), sizes)
+    _, points, owner = _flatten(hyps + refs)
     keep = ~_IS_SPACE[np.minimum(points, len(_IS_SPACE) - 1)]
     points, owner = points[keep], owner[keep]
     out = np.zeros((3, order, rows), dtype=np.int64)
@@ -89,18 +100,40 @@ def _ngram_block(hyps: list[str], refs: list[str], order: int) -> np.ndarray:
 
 
 def _token_block(hyps: list[str], refs: list[str]) -> np.ndarray:
-    """Counts of shape (3, rows): hypothesis, reference, clipped match."""
+    """Counts of shape (3, rows): hypothesis, reference, clipped match.
+
+    Each token becomes an integer: an ideograph its negated code point, a short
+    word its packed letters, a longer word its place in a dictionary.
+    """
     rows = len(hyps)
-    found = [_TOKEN.findall(t) for t in hyps + refs]
-    sizes = np.fromiter(map(len, found), np.int64, 2 * rows)
+    text, points, owner = _flatten(hyps + refs)
     out = np.zeros((3, rows), dtype=np.int64)
-    out[0], out[1] = sizes[:rows], sizes[rows:]
-    if sizes.sum():
-        tokens = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
-        owner = np.repeat(np.arange(2 * rows), sizes)
-        side = owner >= rows
-        key = (owner - rows * side) * len(tokens.dictionary) + tokens.indices.to_numpy()
-        out[2] = _matches(key * 2 + side, out[0] + out[1])
+    kind = _KIND[np.minimum(points, len(_KIND) - 1)]
+    token = kind > 0
+    word = token & (kind < _IDEOGRAPH)
+    joined = word[1:] & word[:-1] & (owner[1:] == owner[:-1])
+    starts = np.flatnonzero(token & ~np.concatenate(([False], joined))[: len(token)])
+    if not len(starts):
+        return out
+    ends = np.flatnonzero(token & ~np.concatenate((joined, [False]))) + 1
+    sizes = ends - starts
+
+    code = np.where(word[starts], kind[starts], -points[starts].astype(np.int64))
+    for k in range(1, min(int(sizes.max()), _PACKED)):
+        more = np.flatnonzero(sizes > k)
+        code[more] = code[more] * 64 + kind[starts[more] + k]
+    long = np.flatnonzero(sizes > _PACKED)
+    if len(long):
+        words = pa.array([text[a:b] for a, b in zip(starts[long], ends[long])], pa.string())
+        code[long] = np.int64(1 << 60) + words.dictionary_encode().indices.to_numpy()
+    tokens = pa.array(code).dictionary_encode()
+
+    owner = owner[starts]
+    per_text = np.bincount(owner, minlength=2 * rows)
+    out[0], out[1] = per_text[:rows], per_text[rows:]
+    side = owner >= rows
+    key = (owner - rows * side).astype(np.int64) * len(tokens.dictionary)
+    out[2] = _matches((key + tokens.indices.to_numpy()) * 2 + side, out[0] + out[1])
     return out
 
 

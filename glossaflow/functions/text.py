@@ -9,10 +9,15 @@ from glossaflow import patterns as P
 
 
 def strip_ws(c: Column) -> Column:
-    """Remove leading and trailing white space (full Unicode set)."""
-    return F.regexp_replace(
+    """Remove leading and trailing white space (full Unicode set).
+
+    Looks at the outer characters first: most texts need no search at all.
+    """
+    outer = F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))
+    bare = F.regexp_replace(
         F.regexp_replace(c, P.LEADING_WS, ""), P.TRAILING_WS, ""
     )
+    return F.when(F.rlike(outer, F.lit(P.WS)), bare).otherwise(c)
 
 
 def normalize_text(c: Column) -> Column:
@@ -35,7 +40,9 @@ def coalesce_fields(*candidates: Column) -> Column:
 
 def clean_prediction(c: Column) -> Column:
     """Strip, and drop decoding leftovers from the end until none remains."""
-    return F.regexp_replace(F.regexp_replace(c, P.TAIL, ""), P.LEADING_WS, "")
+    ends = F.rlike(F.right(c, F.lit(1)), F.lit(P.TAIL_END))
+    cut = F.when(ends, F.regexp_replace(c, P.TAIL, "")).otherwise(c)
+    return F.regexp_replace(cut, P.LEADING_WS, "")
 
 
 def labelled_line(c: Column, key: str = P.TRANSLATION_KEY) -> Column:

@@ -17,6 +17,8 @@ WS_RANGES = (
 LINE = r"\r\n|[\x{a}-\x{d}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 # One ideograph, or one run of ASCII letters and digits.
 TOKEN = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}]|[A-Za-z0-9]+"
+# Those ideographs as inclusive code point ranges.
+IDEOGRAPH_RANGES = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0xF900, 0xFAFF))
 # Word runs, and the runs that count as capitalised words.
 WORD = r"[\p{L}\p{N}_]+"
 CAPITALISED = r"^[A-Z][A-Za-z]+\z"
@@ -59,3 +61,5 @@ TAIL = (
     + "|".join(t.replace("|", r"\|") for t in TAIL_TOKENS)
     + r")++\z"
 )
+# Characters a removable tail can end with.
+TAIL_END = WS[:-1] + "".join(t[-1] for t in TAIL_TOKENS[:3]) + "]"

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaflow.functions.text import strip_ws
+from glossaflow.functions.text import is_blank, strip_ws
 from glossaflow.sources.ordering import decoded, index_columnar, index_lines
 
 CHAT_SCHEMA = (
@@ -58,7 +58,7 @@ def _lines(spark: SparkSession, paths: str | list[str], glob: str | None) -> Dat
     return reader.text(paths).select(
         decoded(F.col("_metadata.file_path")).alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
-        strip_ws(F.col("value")).alias("value"),
+        "value",
     )
 
 
@@ -74,13 +74,16 @@ def read_jsonl(
     ``on_blank="skip"`` leaves blank lines out (they take no position);
     ``"fail"`` stops at them. A malformed line always stops the job.
     """
+    value = F.col("value")
     lines = _lines(spark, paths, glob)
     if on_blank == "skip":
-        lines = lines.filter(F.col("value") != "")
+        lines = lines.filter(~is_blank(value))
     elif on_blank != "fail":
         raise ValueError("on_blank is 'skip' or 'fail'")
-    parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
-    record = F.when(F.col("value") != "", parsed).otherwise(
+    # Only lines that do not begin and end like an object need stripping.
+    bare = F.when(F.startswith(value, F.lit("{")) & F.endswith(value, F.lit("}")), value)
+    parsed = F.from_json(F.coalesce(bare, strip_ws(value)), schema, {"mode": "FAILFAST"})
+    record = F.when(~is_blank(value), parsed).otherwise(
         F.raise_error(F.concat(F.lit("blank line in "), F.col("file")))
     )
     return index_lines(lines).select("row_idx", "file", record.alias("_r")).select(

@@ -5,12 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossaflow.sources.scratch import scratch_path
+
 # Rows per JSON array or object; such a file is read back by a single task.
 RECORDS_PER_ARRAY = 5_000
 
 
-def _ordered(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared scratch folder as it stands, and read back.
+
+    Cuts the lineage of rows that are dear to compute: what follows may scan
+    them twice (range partitioning samples its input) or lose an executor
+    without computing them again.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _by_position(df: DataFrame, order: str) -> DataFrame:
+    """Rows in contiguous, equally long runs of positions, sorted inside.
+
+    Only the highest position is computed beforehand. Range partitioning would
+    evaluate whole rows twice, once for its sample.
+    """
+    top = df.agg(F.max(order)).first()[0] or 0
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = -(-(top + 1) // parts)
+    part = F.floor(F.col(order) / run).cast("int")
+    return df.repartitionById(parts, part).sortWithinPartitions(order)
 
 
 def write_jsonl(df: DataFrame, path: str, order: str = "row_idx") -> None:
@@ -18,7 +41,7 @@ def write_jsonl(df: DataFrame, path: str, order: str = "row_idx") -> None:
 
     Absent fields are left out of the objects.
     """
-    _ordered(df, order).drop(order).write.mode("overwrite").json(path)
+    _by_position(df, order).drop(order).write.mode("overwrite").json(path)
 
 
 def write_predictions(df: DataFrame, path: str, order: str = "id") -> None:
@@ -48,10 +71,10 @@ def write_sharded(df: DataFrame, path: str, shard: str = "shard", order: str = "
     """One folder ``<shard>=<name>`` per input shard, from a single job.
 
     Rows are ranged over (shard, order), so a huge shard is written by many
-    tasks, and small shards share one.
+    tasks, and small shards share one. Pass :func:`stored` predictions.
     """
     (
-        _ordered(df, shard, order)
+        df.repartitionByRange(shard, order).sortWithinPartitions(shard, order)
         .write.mode("overwrite").partitionBy(shard).json(path)
     )
 

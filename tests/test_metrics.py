@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -13,6 +14,7 @@ from glossaflow.operators import metrics as M
 from glossaflow.operators import rows as O
 from glossaflow.plans import reports
 
+TOKEN = re.compile("[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff]|[A-Za-z0-9]+")
 SCHEMA = "id bigint, system string, prediction string, reference string, status string"
 
 
@@ -32,7 +34,8 @@ def counts(pred, ref, order=6):
 def random_pairs(n=200, seed=3):
     rng = random.Random(seed)
     letters = "ab c\n天气很好é　😀ſAB12,."
-    one = lambda: "".join(rng.choices(letters, k=rng.choice([0, 1, 2, 5, 30, 200])))
+    long = ["abcdefghij", "abcdefghija", "abcdefghijab", "0123456789", "zZ9", "豈", "㐀"]
+    one = lambda: "".join(rng.choices([*letters, *long], k=rng.choice([0, 1, 2, 5, 30, 200])))
     return [(i, f"s{i % 3}", one(), one(), "ok") for i in range(n)]
 
 
@@ -85,7 +88,7 @@ def test_kernel_counts(block, monkeypatch):
         for i in range(a, b):
             want = counts(hyps[i], refs[i])
             assert [tuple(grams_out[:, n - 1, i - a]) for n in range(1, 7)] == list(want.values())
-            p, r = K._TOKEN.findall(hyps[i]), K._TOKEN.findall(refs[i])
+            p, r = TOKEN.findall(hyps[i]), TOKEN.findall(refs[i])
             assert list(tokens_out[:, i - a]) == [len(p), len(r), sum((Counter(p) & Counter(r)).values())]
         assert a == at
         at = b

@@ -132,7 +132,7 @@ def shard_fanout(spark, d):
     rows = prediction.predict_texts(
         V.asr(spark, d), prompt_text_predictor, SYSTEM, PREFIX, "row_idx", "shard"
     )
-    sinks.write_sharded(rows, path)
+    sinks.write_sharded(sinks.stored(rows, "predicted"), path)
     back = spark.read.schema(readers.TEXT_PREDICTION_SCHEMA + ", row_idx BIGINT, shard STRING").json(path)
     return back.groupBy("shard").agg(
         F.count("*").alias("total"),

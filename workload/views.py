@@ -28,25 +28,30 @@ def ideographs(c: Column) -> Column:
     return F.translate(c, VOWELS, IDEOGRAPHS)
 
 
-_ingested: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, write) -> DataFrame:
+    """A derived table, written to the shared folder once per application."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _stored:
+        path = scratch_path(spark, name)
+        write(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
 
 
 def source(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A given table with ``row_idx``.
 
     A table of very few splits would keep most cores idle, so it is ingested
-    into more files, once per application; larger tables are read in place.
+    into more files; larger tables are read in place.
     """
     path = f"{d}/{name}.parquet"
     scan = index_columnar(spark.read.parquet(path))
     if not is_narrow(scan):
         return scan
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _ingested:
-        out = scratch_path(spark, name)
-        ingest(spark, path, out)
-        _ingested[key] = out
-    return spark.read.parquet(_ingested[key])
+    return _once(spark, d, name, lambda out: ingest(spark, path, out))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +59,14 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str, mixed: bool = True) -> DataFrame:
-    """Prediction rows: words of three letters are missed, one syllable misheard."""
+    """Stored prediction rows of every document, as a prediction run leaves them."""
+    rows = _pairs(spark, d, mixed)
+    name = "pairs-mixed" if mixed else "pairs"
+    return _once(spark, d, name, lambda out: rows.write.parquet(out))
+
+
+def _pairs(spark: SparkSession, d: str, mixed: bool) -> DataFrame:
+    """Words of three letters are missed, one syllable is misheard."""
     ref = ideographs(F.col("text")) if mixed else F.col("text")
     heard = F.filter(F.split("reference", " "), lambda w: F.length(w) != 3)
     said, misheard = ("t很好n", "c很好n") if mixed else ("tion", "cion")
