@@ -16,14 +16,15 @@ from string import ascii_letters, digits
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glossaflow.patterns import CHRF_ORDER, IDEOGRAPH_RANGES, WS_RANGES
 
-# Characters handled at once. Bounds worker memory whatever the Arrow batch
-# holds; a longer text forms a block of its own.
-BLOCK_CHARS = 1 << 15
+# Text handled at once. Bounds worker memory whatever the Arrow batch holds; a
+# longer text makes its block that much longer.
+BLOCK_BYTES = 1 << 16
 
 _IS_SPACE = np.zeros(0x3002, dtype=bool)
 for _lo, _hi in WS_RANGES:
@@ -137,15 +138,16 @@ def _token_block(hyps: list[str], refs: list[str]) -> np.ndarray:
     return out
 
 
-def _blocks(hyps: list[str], refs: list[str]):
-    begin = size = 0
-    for i, (h, r) in enumerate(zip(hyps, refs)):
-        if size and size + len(h) + len(r) > BLOCK_CHARS:
-            yield begin, i
-            begin, size = i, 0
-        size += len(h) + len(r)
-    if begin < len(hyps):
-        yield begin, len(hyps)
+def _blocks(h: pa.Array, r: pa.Array):
+    """Row ranges of about ``BLOCK_BYTES`` of text."""
+    sizes = [pc.fill_null(pc.binary_length(x), 0).to_numpy() for x in (h, r)]
+    filled = np.cumsum(sizes[0] + sizes[1], dtype=np.int64) // BLOCK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(h)]
+    return zip(cuts[:-1], cuts[1:])
+
+
+def _texts(column: pa.Array, begin: int, end: int) -> list[str]:
+    return [t or "" for t in column.slice(begin, end - begin).to_pylist()]
 
 
 def stat_names(order: int = CHRF_ORDER) -> list[str]:
@@ -172,10 +174,9 @@ def pair_stats(
         return np.concatenate(parts)
 
     def count(h: pa.Array, r: pa.Array) -> pa.Array:
-        hyps = [t or "" for t in h.to_pylist()]
-        refs = [t or "" for t in r.to_pylist()]
         parts = [np.zeros((len(names), 0), dtype=np.int64)]
-        parts += [block(hyps[a:b], refs[a:b]) for a, b in _blocks(hyps, refs)]
+        for a, b in _blocks(h, r):
+            parts.append(block(_texts(h, a, b), _texts(r, a, b)))
         columns = np.concatenate(parts, axis=1)
         return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=names)
 

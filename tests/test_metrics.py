@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,11 +79,11 @@ def bleu_by_hand(rows):
 
 @pytest.mark.parametrize("block", [1, 50, 1 << 15])
 def test_kernel_counts(block, monkeypatch):
-    monkeypatch.setattr(K, "BLOCK_CHARS", block)
+    monkeypatch.setattr(K, "BLOCK_BYTES", block)
     rows = random_pairs()
     hyps, refs = [r[2] for r in rows], [r[3] for r in rows]
     at = 0
-    for a, b in K._blocks(hyps, refs):
+    for a, b in K._blocks(pa.array(hyps), pa.array(refs)):
         grams_out = K._ngram_block(hyps[a:b], refs[a:b], 6)
         tokens_out = K._token_block(hyps[a:b], refs[a:b])
         for i in range(a, b):
@@ -95,6 +96,15 @@ def test_kernel_counts(block, monkeypatch):
     assert at == len(rows)
 
 
+def test_null_and_no_texts(spark):
+    df = spark.createDataFrame([(None, "ab"), ("ab", None), (None, None)], "prediction string, reference string")
+    got = sorted((r.st.h1, r.st.r1, r.st.m1, r.st.pred_tokens, r.st.ref_tokens, r.st.matched)
+                 for r in M.with_stats(df).collect())
+    assert got == [(0, 0, 0, 0, 0, 0), (0, 2, 0, 0, 1, 0), (2, 0, 0, 1, 0, 0)]
+    assert M.with_stats(df.filter("prediction = 'x'")).count() == 0
+    assert list(K._blocks(pa.array([], pa.string()), pa.array([], pa.string()))) in ([], [(0, 0)])
+
+
 def test_kernel_ranks_wide_alphabets():
     rng = random.Random(1)
     wide = ["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(3_000)) for _ in range(4)]

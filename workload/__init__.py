@@ -1 +1,8 @@
 """Registered queries over the given tables, and their SQL counterparts."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The stand-in predictors travel inside the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
