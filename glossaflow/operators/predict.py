@@ -8,14 +8,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from glossaflow import patterns as P
 
-_RESULT = pa.struct([
-    ("prediction", pa.string()), ("status", pa.string()), ("latency_s", pa.float64()),
-])
-
-
 def _outcome(error: Exception) -> str:
     out_of_memory = isinstance(error, MemoryError) or (
         type(error).__name__ == "OutOfMemoryError"
@@ -23,15 +20,21 @@ def _outcome(error: Exception) -> str:
     return P.STATUS_OOM if out_of_memory else f"{P.STATUS_ERROR}{error}"
 
 
-def predict_column(record: Column, make_predictor: Callable[[], Callable]) -> Column:
+def predict_column(
+    record: Column, make_predictor: Callable[[], Callable], returns: str = "string"
+) -> Column:
     """Struct ``(prediction, status, latency_s)`` of one function call per record.
 
     ``make_predictor`` runs once per task and returns the function, so a model
     loads once however many rows the task holds. An exception gives the row an
-    empty prediction and a status; it never fails the task. Null records are
-    not sent to the function and come back null. Only ``record`` travels to
-    Python, and Spark never evaluates the column twice.
+    empty prediction (null unless ``returns`` is a string) and a status; it never
+    fails the task. Null records are not sent to the function and come back null.
+    Only ``record`` travels to Python, and a filter on the result does not make
+    Spark call the function again.
     """
+    schema = f"struct<prediction:{returns},status:string,latency_s:double>"
+    arrow_type = to_arrow_type(DataType.fromDDL(schema))
+    failed = "" if returns == "string" else None
 
     def call(predictor: Callable, value) -> dict | None:
         if value is None:
@@ -40,7 +43,7 @@ def predict_column(record: Column, make_predictor: Callable[[], Callable]) -> Co
         try:
             prediction, status = predictor(value), P.STATUS_OK
         except Exception as error:  # noqa: BLE001 - recorded as the row's status
-            prediction, status = "", _outcome(error)
+            prediction, status = failed, _outcome(error)
         spent = round(time.perf_counter() - began, 3)
         return {"prediction": prediction, "status": status, "latency_s": spent}
 
@@ -48,18 +51,20 @@ def predict_column(record: Column, make_predictor: Callable[[], Callable]) -> Co
         predictor = make_predictor()
         for batch in batches:
             rows = [call(predictor, value) for value in batch.to_pylist()]
-            yield pa.array(rows, type=_RESULT)
+            yield pa.array(rows, type=arrow_type)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    schema = "struct<prediction:string,status:string,latency_s:double>"
     return F.arrow_udf(run, returnType=schema).asNondeterministic()(record)
 
 
 def batch_predict(
-    df: DataFrame, record: Column, make_predictor: Callable[[], Callable]
+    df: DataFrame,
+    record: Column,
+    make_predictor: Callable[[], Callable],
+    returns: str = "string",
 ) -> DataFrame:
     """``df`` with ``prediction``, ``status`` and ``latency_s`` of each record."""
     return (
-        df.withColumn("_out", predict_column(record, make_predictor))
+        df.withColumn("_out", predict_column(record, make_predictor, returns))
         .select(*df.columns, "_out.*")
     )

@@ -31,9 +31,7 @@ def drop_blank(df: DataFrame, *columns: str) -> DataFrame:
 
 def is_valid() -> Column:
     """True for rows that ended well and hold a non-blank prediction."""
-    return F.coalesce(F.col("status") == P.STATUS_OK, F.lit(False)) & ~X.is_blank(
-        F.col("prediction")
-    )
+    return F.col("status").eqNullSafe(P.STATUS_OK) & ~X.is_blank(F.col("prediction"))
 
 
 def valid_predictions(df: DataFrame) -> DataFrame:

@@ -1,10 +1,31 @@
-"""Feature cache audit job."""
+"""Feature cache jobs: fill what is missing, audit what is there."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from glossaflow.operators import cache as C
+from glossaflow.operators.predict import batch_predict
+
+
+def extract_pending(
+    items: DataFrame,
+    cache: DataFrame,
+    make_extractor: Callable[[], Callable],
+    returns: str = "array<array<float>>",
+) -> DataFrame:
+    """Features of items ``(row_idx, audio_path)`` whose path is not cached yet.
+
+    The function gets the path. A path it fails on is a row with its status and
+    null features; count outcomes with ``status_counts`` and keep the ``ok``
+    rows. A path several items share is worked on once, for its last position.
+    """
+    todo = C.path_index(C.pending_items(items, cache))
+    out = batch_predict(todo, F.col("audio_path"), make_extractor, returns)
+    return out.select("audio_path", "idx", F.col("prediction").alias("features"), "status")
 
 
 def audit(

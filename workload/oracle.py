@@ -277,9 +277,9 @@ ORACLE = {
     "row_ordinal": f"WITH {DOCS} SELECT row_idx, doc_id FROM docs",
     "path_index_scan": f"WITH {MEDIA} SELECT audio_path, idx, split FROM indexes",
     "shard_fanout": f"""WITH {ASR}
-        SELECT shard, count(*) AS total, count_if(error IS NULL)::BIGINT AS ok,
-          count_if(error = 'empty src/ref')::BIGINT AS empty,
-          count_if(error = 'OOM')::BIGINT AS oom, sum(length(pred_zh))::BIGINT AS pred_chars
+        SELECT shard, count(*) AS total, count(*) FILTER (error IS NULL) AS ok,
+          count(*) FILTER (error = 'empty src/ref') AS empty,
+          count(*) FILTER (error = 'OOM') AS oom, sum(length(pred_zh))::BIGINT AS pred_chars
         FROM outcomes GROUP BY shard""",
     "normalize_text": f"WITH {RAW} SELECT id, {norm('answer')} AS normalized FROM raw",
     "clean_prediction": f"WITH {RAW}, {CLEANED} SELECT id, cleaned FROM cleaned",
@@ -417,6 +417,15 @@ ORACLE = {
     "pending_items": f"""WITH {MEDIA}
         SELECT row_idx, audio_path FROM items
         WHERE audio_path NOT IN (SELECT audio_path FROM merged)""",
+    "extract_pending": f"""WITH {MEDIA},
+        todo AS (
+          SELECT audio_path, max(row_idx) AS idx FROM items
+          WHERE audio_path NOT IN (SELECT audio_path FROM merged) GROUP BY audio_path)
+        SELECT audio_path, idx,
+          CASE WHEN ends_with(audio_path, '7.wav') THEN 'ERR:unreadable' ELSE 'ok' END AS status,
+          CASE WHEN NOT ends_with(audio_path, '7.wav') THEN array_to_string(
+            list_transform(string_split(audio_path, '/'), lambda p: length(p)), ',') END AS frames
+        FROM todo""",
     "align_features": f"""WITH {ALIGNED}
         SELECT row_idx, adjustment, generate_subscripts(frames, 1)::BIGINT - 1 AS pos,
           unnest(frames)::DOUBLE AS value FROM aligned""",

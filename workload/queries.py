@@ -54,6 +54,15 @@ def clip_predictor():
     return predict
 
 
+def clip_extractor():
+    """Stand-in for an encoder: one frame per path part, failing on some clips."""
+    def extract(path: str) -> list[list[float]]:
+        if path.endswith("7.wav"):
+            raise OSError("unreadable")
+        return [[float(len(part))] for part in path.split("/")]
+    return extract
+
+
 def _flat(records: DataFrame, audio: bool = True) -> DataFrame:
     """Chat records as plain columns."""
     turn = lambda i: F.get("messages", F.lit(i))["content"]
@@ -386,6 +395,15 @@ def pending_items(spark, d):
     return C.pending_items(V.media_items(spark, d), cache).select("row_idx", "audio_path")
 
 
+def extract_pending(spark, d):
+    cache = C.merge_index(V.split_indexes(spark, d))
+    rows = feature_cache.extract_pending(V.media_items(spark, d), cache, clip_extractor)
+    lengths = F.transform("features", lambda f: f[0].cast("int").cast("string"))
+    return rows.select(
+        "audio_path", "idx", "status", F.array_join(lengths, ",").alias("frames")
+    )
+
+
 def _values(rows: DataFrame, *keys: str) -> DataFrame:
     exploded = rows.select(*keys, F.posexplode("features").alias("pos", "v"))
     return exploded.select(
@@ -440,6 +458,6 @@ QUERIES = {
         token_counts, token_overlap, hallucination_coverage, chrf_corpus,
         bleu_corpus, entity_accuracy, entity_retention, entity_report,
         intrinsic_report, system_report, path_index, merge_index, cache_lookup,
-        pending_items, align_features, strip_padding, batch_concat, cache_audit,
+        pending_items, extract_pending, align_features, strip_padding, batch_concat, cache_audit,
     )
 }
