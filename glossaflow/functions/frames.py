@@ -24,6 +24,19 @@ def align_length(frames: Column, expected: Column) -> Column:
     )
 
 
+def adjustment(have: Column, want: Column) -> Column:
+    """What :func:`align_length` does to ``have`` frames: a word."""
+    return (
+        F.when(have == 0, "empty").when(have < want, "padded")
+        .when(have > want, "cut").otherwise("exact")
+    )
+
+
+def aligned_length(have: Column, want: Column) -> Column:
+    """How many frames :func:`align_length` leaves of ``have``."""
+    return F.when(have == 0, F.lit(0)).otherwise(want)
+
+
 def strip_padding(frames: Column, mask: Column) -> Column:
     """Keep the frames whose mask entry is true."""
     return F.filter(frames, lambda x, i: F.coalesce(F.get(mask, i), F.lit(False)))

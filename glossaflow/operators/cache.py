@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossaflow.functions.frames import align_length
+from glossaflow.functions.frames import adjustment, align_length, aligned_length
 
 
 def path_index(items: DataFrame) -> DataFrame:
@@ -53,13 +53,8 @@ def cache_lookup(items: DataFrame, index: DataFrame, strict: bool = False) -> Da
 
 def with_aligned(rows: DataFrame, frames: str = "features", expected: str = "expected_len") -> DataFrame:
     """Frames brought to the expected length, and what that took (``adjustment``)."""
-    have, want = F.size(frames), F.col(expected)
-    adjustment = (
-        F.when(have == 0, "empty").when(have < want, "padded")
-        .when(have > want, "cut").otherwise("exact")
-    )
     return rows.withColumns({
-        "adjustment": adjustment,
+        "adjustment": adjustment(F.size(frames), F.col(expected)),
         frames: align_length(F.col(frames), F.col(expected)),
     })
 
@@ -83,9 +78,15 @@ def batch_concat(rows: DataFrame, batch_size: int, frames: str = "features") ->
 
 
 def cache_audit(looked_up: DataFrame, *by: str) -> DataFrame:
-    """Hits, misses and length adjustments of looked-up, aligned rows."""
+    """Hits, misses, length adjustments and aligned frames of looked-up rows.
+
+    ``looked_up`` holds ``hit``, the number ``have`` of cached frames, and
+    ``expected_len``; the frames themselves are not needed.
+    """
+    have, want = F.col("have"), F.col("expected_len")
+
     def count(kind: str):
-        return F.count_if(F.col("hit") & (F.col("adjustment") == kind)).alias(kind)
+        return F.count_if(F.col("hit") & (adjustment(have, want) == kind)).alias(kind)
 
     return looked_up.groupBy(*by).agg(
         F.count("*").alias("items"),
@@ -93,6 +94,7 @@ def cache_audit(looked_up: DataFrame, *by: str) -> DataFrame:
         F.count_if(~F.col("hit")).alias("misses"),
         count("padded"), count("cut"), count("exact"), count("empty"),
         F.coalesce(
-            F.sum(F.when(F.col("hit"), F.size("features").cast("bigint"))), F.lit(0)
+            F.sum(F.when(F.col("hit"), aligned_length(have, want).cast("bigint"))),
+            F.lit(0),
         ).alias("frames"),
     )

@@ -34,12 +34,30 @@ def audit(
     features: DataFrame,
     *by: str,
 ) -> DataFrame:
-    """Look items up in the merged index of all splits, align, and count.
+    """Look items up in the merged index of all splits and count what alignment does.
 
     ``items`` holds ``audio_path`` and ``expected_len``; ``features`` one row
     ``(split, idx, features)`` per cached entry. An entry without features
-    counts as a miss.
+    counts as a miss. Frames are counted where they are read, so only lengths
+    are shuffled.
     """
-    cached = C.merge_index(indexes).join(features, ["split", "idx"])
-    found = C.cache_lookup(items, cached)
-    return C.cache_audit(C.with_aligned(found), *by)
+    lengths = features.select("split", "idx", F.size("features").alias("have"))
+    cached = C.merge_index(indexes).join(lengths, ["split", "idx"])
+    return C.cache_audit(C.cache_lookup(items, cached), *by)
+
+
+def cached_batches(
+    items: DataFrame,
+    indexes: list[tuple[str, DataFrame]],
+    features: DataFrame,
+    batch_size: int,
+) -> DataFrame:
+    """Cached, aligned frames of each run of ``batch_size`` items, in item order.
+
+    Items are ``(row_idx, audio_path, expected_len)``. The first item without
+    cached features stops the job. The index is joined before the frames, so
+    frames are shuffled once.
+    """
+    found = C.cache_lookup(items, C.merge_index(indexes), strict=True).filter("hit")
+    rows = found.join(features, ["split", "idx"], "left")
+    return C.batch_concat(C.with_aligned(rows), batch_size)

@@ -189,6 +189,43 @@ def test_batch_concat_and_audit(spark):
     assert (row["items"], row.hits, row.misses, row.padded, row.cut, row.exact, row["empty"], row.frames) == (5, 4, 1, 1, 1, 1, 1, 6)
 
 
+def test_cached_batches(spark):
+    todo = spark.createDataFrame(
+        [(0, "p", 3), (1, "q", 1), (2, "p", 1)], "row_idx bigint, audio_path string, expected_len int").repartition(3)
+    index = [("train", C.path_index(items(spark, ["p", "q"])))]
+    cached = spark.createDataFrame(
+        [("train", 0, [[1.0], [2.0]]), ("train", 1, [[3.0], [4.0]])], "split string, idx bigint, features array<array<float>>")
+    got = {r.batch: r.features for r in feature_cache.cached_batches(todo, index, cached, 2).collect()}
+    assert got == {0: [[1.0], [2.0], [2.0], [3.0]], 1: [[1.0]]}
+    lost = todo.withColumn("audio_path", F.lit("z"))
+    with pytest.raises(Exception, match="no cached features for z"):
+        feature_cache.cached_batches(lost, index, cached, 2).collect()
+
+
+def test_extraction_failures_are_rows(spark):
+    def make():
+        def extract(path):
+            if path == "bad":
+                raise OSError("gone")
+            return [[float(len(path))]]
+        return extract
+
+    todo = items(spark, ["aa", "bad", "aa", "old"])
+    done = spark.createDataFrame([("old",)], "audio_path string")
+    got = {r.audio_path: (r.idx, r.features, r.status) for r in feature_cache.extract_pending(todo, done, make).collect()}
+    assert got == {"aa": (2, [[2.0]], "ok"), "bad": (1, None, "ERR:gone")}
+
+
+def test_hot_path_lookup(spark):
+    """One path holds most items: every item keeps its row."""
+    todo = spark.range(3000).select(
+        F.col("id").alias("row_idx"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("audio_path"))
+    index = C.merge_index([("train", C.path_index(todo))])
+    found = C.cache_lookup(todo, index)
+    assert found.filter("hit").count() == 3000 and index.count() == 1001
+    assert C.pending_items(todo, index.filter("audio_path <> 'hot'")).count() == 2000
+
+
 def test_incremental_cache(spark, tmp_path):
     src, cache, point = tmp_path / "src", str(tmp_path / "cache"), str(tmp_path / "point")
     src.mkdir()
