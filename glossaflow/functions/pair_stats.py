@@ -53,7 +53,7 @@ def _matches(keys: np.ndarray, per_row: np.ndarray) -> np.ndarray:
     counts = np.diff(starts, append=len(keys))
     distinct = keys[starts]
     both = np.flatnonzero((distinct[1:] ^ distinct[:-1]) == 1)
-    row = np.searchsorted(np.cumsum(per_row), starts[both], side="right")
+    row = np.repeat(np.arange(len(per_row)), per_row)[starts[both]]
     clipped = np.minimum(counts[both], counts[both + 1])
     return np.bincount(row, weights=clipped, minlength=len(per_row)).astype(np.int64)
 
@@ -156,18 +156,18 @@ def stat_names(order: int = CHRF_ORDER) -> list[str]:
 
 
 def pair_stats(
-    hyp: Column, ref: Column, ngrams: bool = True, tokens: bool = True, order: int = CHRF_ORDER
+    hyp: Column, ref: Column, order: int = CHRF_ORDER, tokens: bool = True
 ) -> Column:
     """Struct of match counts of two texts, in one trip to Python.
 
-    ``ngrams`` asks for :func:`stat_names`, over characters without white
-    space; ``tokens`` for ``TOKEN_FIELDS``. Null texts count as empty.
+    It holds :func:`stat_names` up to ``order``, over characters without white
+    space, and with ``tokens`` also ``TOKEN_FIELDS``. Null texts count as empty.
     """
-    names = (stat_names(order) if ngrams else []) + (TOKEN_FIELDS if tokens else [])
+    names = stat_names(order) + (TOKEN_FIELDS if tokens else [])
 
     def block(hyps: list[str], refs: list[str]) -> np.ndarray:
         parts = []
-        if ngrams:
+        if order:
             parts.append(_ngram_block(hyps, refs, order).reshape(3 * order, -1))
         if tokens:
             parts.append(_token_block(hyps, refs))

@@ -23,11 +23,14 @@ def with_stats(
     df: DataFrame,
     pred: str = "prediction",
     ref: str = "reference",
-    ngrams: bool = True,
+    order: int = P.CHRF_ORDER,
     tokens: bool = True,
 ) -> DataFrame:
-    """Add the match count struct ``st`` of character n-grams and of tokens."""
-    return df.withColumn("st", pair_stats(F.col(pred), F.col(ref), ngrams, tokens))
+    """Add the match count struct ``st``: character n-grams up to ``order``, tokens.
+
+    Order 0 leaves n-grams out.
+    """
+    return df.withColumn("st", pair_stats(F.col(pred), F.col(ref), order, tokens))
 
 
 def with_entities(df: DataFrame, pred: str = "prediction", ref: str = "reference") -> DataFrame:
@@ -79,10 +82,10 @@ def token_overlap_relational(
 
 # -- corpus sums --------------------------------------------------------------
 
-def ngram_sums() -> list[Column]:
+def ngram_sums(order: int = P.CHRF_ORDER) -> list[Column]:
     """h/r/m sums per order, and c: hypothesis grams where the reference has any."""
     out = []
-    for n in range(1, P.CHRF_ORDER + 1):
+    for n in range(1, order + 1):
         h, r, m = (F.col(f"st.{k}{n}") for k in "hrm")
         out += [
             F.sum(h).alias(f"h{n}"), F.sum(r).alias(f"r{n}"), F.sum(m).alias(f"m{n}"),
@@ -155,7 +158,8 @@ def corpus_chrf(valid: DataFrame, *by: str, beta: float = P.CHRF_BETA) -> DataFr
 
 def corpus_bleu(valid: DataFrame, *by: str) -> DataFrame:
     """Corpus BLEU per group over character tokens: score, terms, printed form."""
-    sums = with_stats(valid, tokens=False).groupBy(*by).agg(*ngram_sums())
+    stats = with_stats(valid, order=P.BLEU_ORDER, tokens=False)
+    sums = stats.groupBy(*by).agg(*ngram_sums(P.BLEU_ORDER))
     terms = S.bleu_from()
     return sums.select(
         *by,
@@ -169,7 +173,7 @@ def corpus_bleu(valid: DataFrame, *by: str) -> DataFrame:
 
 def hallucination_coverage(valid: DataFrame, *by: str) -> DataFrame:
     """Hallucination rate and content coverage per group."""
-    sums = with_stats(valid, ngrams=False).groupBy(*by).agg(*token_rates())
+    sums = with_stats(valid, order=0).groupBy(*by).agg(*token_rates())
     return sums.select(*by, "scored", *rate_columns())
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glossaflow.functions import scores as S
 from glossaflow.operators import metrics as M
 from glossaflow.operators import rows as O
+from glossaflow.patterns import BLEU_ORDER
 
 
 def entity_report(results: DataFrame, *by: str) -> DataFrame:
@@ -24,9 +25,10 @@ def entity_report(results: DataFrame, *by: str) -> DataFrame:
         F.when(valid, F.col("prediction")).alias("prediction"),
         F.when(valid, F.col("reference")).alias("reference"),
     )
-    sums = M.with_entities(M.with_stats(masked, tokens=False)).groupBy(*by).agg(
+    stats = M.with_entities(M.with_stats(masked, order=BLEU_ORDER, tokens=False))
+    sums = stats.groupBy(*by).agg(
         F.count("*").alias("total"), F.count_if("_valid").alias("valid"),
-        *M.ngram_sums(), *M.entity_rates(),
+        *M.ngram_sums(BLEU_ORDER), *M.entity_rates(),
     )
     return sums.select(
         *by, "total", "valid", M.eta_column(), M.err_column(),

@@ -119,10 +119,10 @@ def test_kernel_and_relational_tokens_agree(spark):
     df = frame(spark, random_pairs())
     rel = {r.id: (r.pred_tokens, r.ref_tokens, r.matched)
            for r in M.token_overlap_relational(df, "id").collect()}
-    own = M.with_stats(df, ngrams=False).select("id", "st.*").filter("pred_tokens > 0 AND ref_tokens > 0")
+    own = M.with_stats(df, order=0).select("id", "st.*").filter("pred_tokens > 0 AND ref_tokens > 0")
     assert {r.id: (r.pred_tokens, r.ref_tokens, r.matched) for r in own.collect()} == rel
     one = frame(spark, [(0, "s", "a a b", "a b b", "ok")])
-    assert M.with_stats(one, ngrams=False).first().st.matched == 2
+    assert M.with_stats(one, order=0).first().st.matched == 2
 
 
 def test_corpus_scores(spark):

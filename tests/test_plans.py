@@ -54,7 +54,7 @@ def test_metrics_take_one_pass(spark, metric):
 
 
 def test_filter_on_counts_does_not_count_twice(spark):
-    rows = M.with_stats(V.pairs(spark, str(SMALL)), ngrams=False)
+    rows = M.with_stats(V.pairs(spark, str(SMALL)), order=0)
     assert plan(rows.filter("st.pred_tokens > 0").select("id", "st.matched")).count("ArrowEvalPython") == 1
 
 

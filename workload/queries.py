@@ -337,7 +337,7 @@ def token_counts(spark, d):
 
 
 def token_overlap(spark, d):
-    rows = M.with_stats(_valid(spark, d), ngrams=False)
+    rows = M.with_stats(_valid(spark, d), order=0)
     counts = rows.select("id", *[F.col(f"st.{n}").alias(n) for n in TOKEN_FIELDS])
     return counts.filter("pred_tokens > 0 AND ref_tokens > 0")
 
