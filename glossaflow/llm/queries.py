@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossaflow.llm import quality_fm
+from glossaflow.llm import ngram_join, quality_fm
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -16,8 +16,14 @@ def op4_quality_fm(spark: SparkSession, d: str) -> DataFrame:
     return quality_fm.classify(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
+def op8_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    """Class of near-duplicates of every document."""
+    return ngram_join.near_duplicates(_table(spark, d, "documents"))
+
+
 QUERIES = {
     "op4_quality_fm": op4_quality_fm,
+    "op8_ngram_join": op8_ngram_join,
 }
 
 ORACLE: dict[str, str] = {}

@@ -9,17 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 # Odd multipliers of the window hash and of the finaliser (murmur3's).
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -55,26 +56,53 @@ def blocks(texts: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Itera
 class Words:
     """Words of some texts; ``bounds[i]:bounds[i + 1]`` are those of text ``i``."""
 
-    codes: np.ndarray
-    vocab: pa.Array
+    data: np.ndarray
+    inside: np.ndarray
     bounds: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
 
+    @cached_property
+    def _coded(self) -> pa.DictionaryArray:
+        at = np.concatenate(([0], np.cumsum(self.ends - self.starts))).astype(np.int64)
+        packed = pa.Array.from_buffers(
+            pa.large_binary(), len(self.starts), [None, pa.py_buffer(at), pa.py_buffer(self.data[self.inside])]
+        )
+        return packed.dictionary_encode()
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        """Each word's place in ``vocab``."""
+        return self._coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    @property
+    def vocab(self) -> pa.Array:
+        """The distinct words."""
+        return self._coded.dictionary
+
     @property
     def owner(self) -> np.ndarray:
         """Text of each word."""
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        """64-bit xxhash of each word, computed once per distinct word."""
-        digest = xxhash.xxh3_64_intdigest
-        each = np.fromiter((digest(w, seed) for w in self.vocab.to_pylist()), np.uint64, len(self.vocab))
-        return each[self.codes]
+        """64-bit hash of each word: its bytes in groups of eight, and its length."""
+        sizes = self.ends - self.starts
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        groups = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        out = mix(sizes.astype(np.uint64) * _STEP + np.uint64(seed))
+        left, at, todo = sizes, self.starts, slice(None)
+        while len(left):
+            value = groups[at] & _LOW_BYTES[np.minimum(left, 8)]
+            out[todo] = mix((out[todo] ^ value) * _STEP)
+            more = np.flatnonzero(left > 8)
+            todo = more if isinstance(todo, slice) else todo[more]
+            left, at = left[more] - 8, at[more] + 8
+        return out
 
     def windows(self, size: int) -> np.ndarray:
         """First words of all windows of ``size`` words inside one text."""
-        left = np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(len(self.codes))
+        left = np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(len(self.starts))
         return np.flatnonzero(left >= size)
 
 
@@ -95,13 +123,7 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     edges = edges[edges > 0]
     last[edges - 1] = inside[edges - 1]
     ends = np.flatnonzero(last) + 1
-    at = np.concatenate(([0], np.cumsum(ends - starts)))
-    packed = pa.Array.from_buffers(
-        pa.large_binary(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data[inside])]
-    )
-    coded = packed.dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    return Words(codes, coded.dictionary, np.searchsorted(starts, offsets), starts, ends)
+    return Words(data, inside, np.searchsorted(starts, offsets), starts, ends)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
