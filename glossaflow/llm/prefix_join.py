@@ -30,6 +30,10 @@ SKETCH = 1 << 18
 COLD = 8
 # Expected sets of one token in one task; beyond it, the token is salted.
 PART_ROWS = 1 << 16
+# Larger sets get no parity bitmap: 64 bits say nothing about them.
+PARITY_SIZE = 160
+# Sets a task remembers to leave out copies; forgetting some only costs rows.
+SEEN = 1 << 20
 
 #: What an extractor yields per block of a batch: row of each set in the batch, its
 #: ordinal in the row, bounds, and its distinct tokens in ascending order.
@@ -120,6 +124,8 @@ def postings(documents: DataFrame, extract: Extractor, counts: np.ndarray, perce
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for rows, line, bounds, tokens in extract(batch.column(1)):
                 e = set_hashes(bounds, tokens)
+                if len(seen) > SEEN:
+                    seen.clear()
                 new = np.fromiter((not (x in seen or seen.add(x)) for x in e.tolist()), bool, len(e))
                 size = np.diff(bounds)
                 owner = np.repeat(np.arange(len(e)), size)
@@ -131,6 +137,7 @@ def postings(documents: DataFrame, extract: Extractor, counts: np.ndarray, perce
                     continue
                 starts = np.searchsorted(owner, some)
                 sig[some] = np.bitwise_xor.reduceat(bits, starts)
+                sig[size > PARITY_SIZE] = 0
                 rarity = level[bucket(tokens)]
                 order = np.argsort(rarity, kind="stable")
                 order = order[np.argsort(owner[order].astype(np.uint32), kind="stable")]
@@ -154,7 +161,8 @@ def passes(percent: int, n1, n2, p1, p2, s1, s2) -> np.ndarray:
     need = -(-percent * (n1 + n2) // (100 + percent))
     most = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1, n2 - p2) - 1
     apart = np.bitwise_count((s1 ^ s2).view(np.uint64)).astype(np.int64)
-    return (100 * small >= percent * large) & (most >= need) & (apart <= n1 + n2 - 2 * need)
+    near = (apart <= n1 + n2 - 2 * need) | (large > PARITY_SIZE)
+    return (100 * small >= percent * large) & (most >= need) & near
 
 
 def passes_sql(percent: int, a: str, b: str) -> Column:
@@ -163,7 +171,8 @@ def passes_sql(percent: int, a: str, b: str) -> Column:
     need = F.ceil(percent * (n1 + n2) / F.lit(100.0 + percent) - 1e-9)
     most = F.least(p1, p2) + F.least(n1 - p1, n2 - p2)
     apart = F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig")))
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (most >= need) & (apart <= n1 + n2 - 2 * need)
+    near = (apart <= n1 + n2 - 2 * need) | (F.greatest(n1, n2) > PARITY_SIZE)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (most >= need) & near
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:

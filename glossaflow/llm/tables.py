@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
+import atexit
+
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 from glossaflow.sources.scratch import scratch_path
 
+_held: set[str] = set()
+
 
 def keep(df: DataFrame, label: str, *partition_by: str) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read back, and its path.
 
-    Cuts the lineage: a lost executor costs no second computation.
+    Cuts the lineage: a lost executor costs no second computation. What
+    :func:`drop` has not removed goes when the application ends.
     """
     path = scratch_path(df.sparkSession, label)
+    _held.add(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    # Spark removes the shuffle files of a finished write once its plan is collected.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete tables made by :func:`keep`, and let Spark free old shuffles."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    jvm.System.gc()
+    """Delete tables made by :func:`keep`."""
+    _delete(spark.sparkContext, paths)
+
+
+def _delete(context: SparkContext, paths) -> None:
+    for path in list(paths):
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        _held.discard(path)
+
+
+@atexit.register
+def _delete_rest() -> None:
+    context = SparkContext._active_spark_context
+    if context is not None and context._jsc is not None:
+        _delete(context, _held)
