@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glossaflow.sources.scratch import scratch_path
 
+# Shuffle files of a finished write are of no more use.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _held: set[str] = set()
 
 
@@ -21,10 +23,14 @@ def keep(df: DataFrame, label: str, *partition_by: str) -> tuple[DataFrame, str]
     path = scratch_path(df.sparkSession, label)
     _held.add(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    # Spark removes the shuffle files of a finished write once its plan is collected.
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
