@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glossaflow.llm import ngram_join, quality_fm
+from glossaflow.llm import decontaminate, line_dedup, ngram_join, packing, quality_fm
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with passages of benchmark items: a row per document and item."""
+    return decontaminate.contaminated(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+
+
 def op4_quality_fm(spark: SparkSession, d: str) -> DataFrame:
     """Quality score of every document."""
     return quality_fm.classify(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Lines removed from every document, and a digest of the text that stays."""
+    return line_dedup.summary(_table(spark, d, "documents"))
+
+
+def op7_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's pieces, placed in windows of 4,096 tokens."""
+    return packing.pack(_table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_ngram_join(spark: SparkSession, d: str) -> DataFrame:
     """Class of near-duplicates of every document."""
     return ngram_join.near_duplicates(_table(spark, d, "documents"))
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op4_quality_fm": op4_quality_fm,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_packing": op7_packing,
     "op8_ngram_join": op8_ngram_join,
 }
 
+#: DuckDB SQL of the queries that SQL can express; the others have brute-force tests.
 ORACLE: dict[str, str] = {}
