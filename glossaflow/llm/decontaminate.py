@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
@@ -46,6 +47,10 @@ HITS = ArrayType(StructType([
     StructField("item_words", IntegerType()), StructField("start_word", IntegerType()),
 ]))
 
+_ARROW_HITS = pa.list_(pa.struct([
+    ("item_id", pa.int64()), ("edits", pa.int32()), ("item_words", pa.int32()), ("start_word", pa.int32()),
+]))
+
 
 def stride(width: int) -> int:
     return max(1, width // 4)
@@ -188,6 +193,15 @@ class Items:
         return (edits, int(lo - first + end)) if edits <= most else None
 
 
+def _finder(shared: Broadcast):
+    @F.arrow_udf(HITS)
+    def find(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            yield pa.array(shared.value.hits(texts), _ARROW_HITS)
+
+    return find
+
+
 def _finders(documents: DataFrame, benchmark: DataFrame, recall: float, edits: float) -> list:
     """One function ``text -> hits`` per block of items."""
     spark = documents.sparkSession
@@ -200,15 +214,7 @@ def _finders(documents: DataFrame, benchmark: DataFrame, recall: float, edits: f
         rows = part.orderBy("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], recall, edits))
 
-        @F.arrow_udf(HITS)
-        def find(parts: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
-            kind = pa.list_(pa.struct([
-                ("item_id", pa.int64()), ("edits", pa.int32()), ("item_words", pa.int32()), ("start_word", pa.int32()),
-            ]))
-            for texts in parts:
-                yield pa.array(shared.value.hits(texts), kind)
-
-        out.append(find)
+        out.append(_finder(shared))
     return out
 
 

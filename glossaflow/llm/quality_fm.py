@@ -27,7 +27,8 @@ RANK = 8
 SAMPLE_ROWS = 8_192
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
-EPOCHS, BATCH_ROWS, RATE, DECAY = 8, 128, 0.1, 2e-4
+EPOCHS, LEAST_STEPS, BATCH_ROWS, RATE, DECAY = 8, 500, 128, 0.1, 1e-3
+BIN_VALUE = 1.0
 
 # Upper bin edges of the structure statistics.
 _SHARES = (0.002, 0.01, 0.03, 0.06, 0.1, 0.2, 0.35, 0.5, 0.75)
@@ -106,7 +107,7 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
         ], axis=1)
         extra = bins.shape[1]
         bounds = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n) + extra)))
-        index, values = np.empty(bounds[-1], np.int64), np.full(bounds[-1], 0.3)
+        index, values = np.empty(bounds[-1], np.int64), np.full(bounds[-1], BIN_VALUE)
         place = np.arange(len(doc)) + doc * extra
         index[place], values[place] = bucket, value
         rest = np.ones(bounds[-1], dtype=bool)
@@ -144,8 +145,9 @@ class Machine:
         share = np.clip(labels[train].mean(), 0.01, 0.99)
         self.bias = float(np.log(share / (1 - share)))
         sums = np.full(FEATURES, 1e-6), np.full((FEATURES, RANK), 1e-6)
-        for _ in range(EPOCHS):
-            for part in np.array_split(rng.permutation(train), max(1, len(train) // BATCH_ROWS)):
+        batches = max(1, len(train) // BATCH_ROWS)
+        for _ in range(max(EPOCHS, LEAST_STEPS // batches)):
+            for part in np.array_split(rng.permutation(train), batches):
                 x = _stack([rows[i] for i in part])
                 self._step(x, labels[part], sums)
         held = np.flatnonzero(back)
@@ -172,21 +174,31 @@ class Machine:
         self.bias -= RATE * float(gap.sum())
 
     def _calibrate(self, raw: np.ndarray, labels: np.ndarray) -> None:
-        """Platt scaling by Newton steps with Platt's smoothed targets."""
+        """Platt scaling with smoothed targets, held near the identity by a ridge.
+
+        Newton steps, halved until they lower the loss: the classes may be
+        separable, where the free optimum lies at infinity.
+        """
         up, down = labels.sum(), len(labels) - labels.sum()
         target = np.where(labels == 1, (up + 1) / (up + 2), 1 / (down + 2))
-        a, b = 1.0, 0.0
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
-            g, h = p - target, np.maximum(p * (1 - p), 1e-9)
-            grad = np.array([(g * raw).sum() + 1e-3 * (a - 1), g.sum()])
-            hess = np.array([[(h * raw * raw).sum() + 1e-3, (h * raw).sum()], [(h * raw).sum(), h.sum() + 1e-6]])
-            step = np.linalg.solve(hess, grad)
-            a, b = a - step[0], b - step[1]
+        x = np.stack([raw, np.ones_like(raw)])
+        at, centre, ridge = np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.array([1.0, 0.1])
+
+        def loss(ab: np.ndarray) -> float:
+            z = ab @ x
+            return float((np.logaddexp(0, z) - target * z).sum() + (ridge * (ab - centre) ** 2).sum() / 2)
+
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(at @ x, -30, 30)))
+            slope = x @ (p - target) + ridge * (at - centre)
+            step = np.linalg.solve((x * (p * (1 - p))) @ x.T + np.diag(ridge), slope)
+            while np.abs(step).max() > 1e-7 and loss(at - step) > loss(at):
+                step = step / 2
+            at = at - step
             if np.abs(step).max() < 1e-6:
                 break
-        if a > 0:
-            self.scale, self.shift = float(a), float(b)
+        if at[0] > 0:
+            self.scale, self.shift = float(at[0]), float(at[1])
 
     def dump(self) -> bytes:
         out = io.BytesIO()
