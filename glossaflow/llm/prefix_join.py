@@ -156,10 +156,14 @@ def postings(documents: DataFrame, extract: Extractor, counts: np.ndarray, perce
 
 
 def passes(percent: int, n1, n2, p1, p2, s1, s2) -> np.ndarray:
-    """Length, positional and parity filters of candidates at one shared token."""
+    """Length, positional and parity filters of candidates at one shared token.
+
+    The positional filter takes the token as the pair's first common one, so all
+    overlap lies from here on. A similar pair passes at the token where that is so.
+    """
     small, large = np.minimum(n1, n2), np.maximum(n1, n2)
     need = -(-percent * (n1 + n2) // (100 + percent))
-    most = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1, n2 - p2) - 1
+    most = np.minimum(n1 - p1, n2 - p2)
     apart = np.bitwise_count((s1 ^ s2).view(np.uint64)).astype(np.int64)
     near = (apart <= n1 + n2 - 2 * need) | (large > PARITY_SIZE)
     return (100 * small >= percent * large) & (most >= need) & near
@@ -169,7 +173,7 @@ def passes_sql(percent: int, a: str, b: str) -> Column:
     """:func:`passes` as a join condition."""
     n1, n2, p1, p2 = (F.col(f"{t}.{c}").cast("long") for c in ("n", "pos") for t in (a, b))
     need = F.ceil(percent * (n1 + n2) / F.lit(100.0 + percent) - 1e-9)
-    most = F.least(p1, p2) + F.least(n1 - p1, n2 - p2)
+    most = F.least(n1 - p1, n2 - p2)
     apart = F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig")))
     near = (apart <= n1 + n2 - 2 * need) | (F.greatest(n1, n2) > PARITY_SIZE)
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (most >= need) & near
