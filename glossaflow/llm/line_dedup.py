@@ -27,6 +27,8 @@ from glossaflow.llm.tables import drop, keep
 from glossaflow.llm.words import blocks, split
 
 PERCENT = 80
+# Lines of one word that are compared all with all.
+COLD = 128
 
 
 def line_sets(texts: pa.Array) -> Iterator[J.Sets]:
@@ -97,8 +99,8 @@ def later_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     per_doc = lines.groupBy("e", "doc").agg(F.min("line").alias("line"))
     classes, _ = keep(per_doc.groupBy("e").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line")), "classes")
     rows = J.postings(documents, line_sets, J.frequencies(made), percent)
-    found, found_at = keep(J.candidates(rows, percent), "found", "kind")
-    pairs = found.filter(f"kind = {J.PAIR}").select("a", "b").union(J.anchor_pairs(found, percent)).distinct()
+    found, found_at = keep(J.candidates(rows, percent, COLD), "found", "kind")
+    pairs = found.filter(f"kind = {J.PAIR}").select("a", "b").union(J.anchor_pairs(found, percent, COLD)).distinct()
     pairs, pairs_at = keep(pairs, "pairs")
     later, _ = _later(documents, pairs, classes, percent)
     more, more_at = keep(_open_pairs(found.filter(f"kind = {J.HOT}"), classes, later, percent), "pairs")

@@ -26,6 +26,8 @@ from glossaflow.llm.tables import drop, keep
 from glossaflow.llm.words import blocks, split, window_hashes
 
 WORDS, PERCENT = 5, 80
+# Sets of one shingle that are compared all with all.
+COLD = 16
 
 
 def shingle_sets(size: int = WORDS) -> J.Extractor:
@@ -110,8 +112,8 @@ def near_duplicates(documents: DataFrame, size: int = WORDS, percent: int = PERC
     classes, classes_at = keep(
         described.filter("n > 0").groupBy("e").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "classes"
     )
-    found, found_at = keep(J.candidates(J.postings(documents, extract, counts, percent), percent), "found", "kind")
-    pairs = found.filter(f"kind = {J.PAIR}").select("a", "b").union(J.anchor_pairs(found, percent)).distinct()
+    found, found_at = keep(J.candidates(J.postings(documents, extract, counts, percent), percent, COLD), "found", "kind")
+    pairs = found.filter(f"kind = {J.PAIR}").select("a", "b").union(J.anchor_pairs(found, percent, COLD)).distinct()
     pairs, pairs_at = keep(pairs, "pairs")
     links, links_at = _links(documents, pairs, classes, extract, percent)
     roots = components(links)

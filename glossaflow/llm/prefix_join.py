@@ -26,8 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SKETCH = 1 << 18
-# Sets of one token that are paired all with all.
-COLD = 8
 # Expected sets of one token in one task; beyond it, the token is salted.
 PART_ROWS = 1 << 16
 # Larger sets get no parity bitmap: 64 bits say nothing about them.
@@ -179,11 +177,12 @@ def passes_sql(percent: int, a: str, b: str) -> Column:
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (most >= need) & near
 
 
-def candidates(rows: DataFrame, percent: int) -> DataFrame:
+def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
     """Pairs of sets that share a token, hot postings, and anchors of salted runs.
 
-    Rows stream in sorted order; only the run at hand is held, and of a hot run
-    only its first row.
+    Up to ``cold`` sets of one token are compared all with all, which the filters
+    make cheap. Rows stream in sorted order; only the run at hand is held, and of a
+    hot run only its first row.
     """
     names = [f.split(" ")[0] for f in POSTING.split(", ")]
 
@@ -221,7 +220,7 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
             begins = np.flatnonzero(edge)
             last = int(begins[-1])
             held = {c: v[last:] for c, v in x.items()}
-            if n - last > COLD:
+            if n - last > cold:
                 yield from whole(held, np.array([0]), n - last)
                 first, held = {c: v[:1] for c, v in held.items()}, None
             if last:
@@ -231,14 +230,17 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
 
     def whole(x, begins, n) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(begins, n))
-        few = (sizes > 1) & (sizes <= COLD)
+        few = (sizes > 1) & (sizes <= cold)
         at = np.flatnonzero(np.repeat(few, sizes))
         y = {c: v[at] for c, v in x.items()}
-        for gap in range(1, COLD):
-            i = np.flatnonzero((y["token"][gap:] == y["token"][:-gap]) & (y["part"][gap:] == y["part"][:-gap])) if len(at) > gap else []
-            if len(i):
-                yield pairs(y, i, i + gap)
-        many = sizes > COLD
+        left = np.repeat(sizes[few], sizes[few])
+        if len(at):
+            rank = np.arange(len(at)) - np.repeat(np.cumsum(sizes[few]) - sizes[few], sizes[few])
+            left = left - rank
+        for gap in range(1, int(left.max(initial=0))):
+            i = np.flatnonzero(left > gap)
+            yield pairs(y, i, i + gap)
+        many = sizes > cold
         if many.any():
             at = np.flatnonzero(np.repeat(many, sizes))
             start = np.repeat(begins[many], sizes[many])
@@ -250,12 +252,12 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, FOUND)
 
 
-def anchor_pairs(found: DataFrame, percent: int) -> DataFrame:
+def anchor_pairs(found: DataFrame, percent: int, cold: int) -> DataFrame:
     """Pairs of the first sets of a salted token's parts."""
     split = found.filter(f"kind = {ANCHOR}")
     salted = split.groupBy("token").agg(F.count("*").alias("_parts")).filter("_parts > 1")
     rows = split.join(salted, "token").select("token", F.lit(0).alias("part"), "doc", "line", F.col("a").alias("e"), "n", "pos", "sig")
-    return candidates(rows, percent).filter(f"kind = {PAIR}").select("a", "b")
+    return candidates(rows, percent, cold).filter(f"kind = {PAIR}").select("a", "b")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
