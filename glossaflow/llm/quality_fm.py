@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossaflow.llm.calibration import platt
 from glossaflow.llm.words import blocks, char_counts, per_text, split
 
 WORD_BUCKETS = 1 << 16
@@ -152,7 +153,7 @@ class Machine:
                 self._step(x, labels[part], sums)
         held = np.flatnonzero(back)
         if len(held) >= 50 and 0 < labels[held].sum() < len(held):
-            self._calibrate(self.raw(*_stack([rows[i] for i in held])), labels[held])
+            self.scale, self.shift = platt(self.raw(*_stack([rows[i] for i in held])), labels[held])
 
     def _step(self, x, labels, sums) -> None:
         bounds, index, values = x
@@ -173,33 +174,6 @@ class Machine:
             weights[touched] -= (RATE * slope / np.sqrt(seen[touched])).astype(np.float32)
         self.bias -= RATE * float(gap.sum())
 
-    def _calibrate(self, raw: np.ndarray, labels: np.ndarray) -> None:
-        """Platt scaling with smoothed targets, held near the identity by a ridge.
-
-        Newton steps, halved until they lower the loss: the classes may be
-        separable, where the free optimum lies at infinity.
-        """
-        up, down = labels.sum(), len(labels) - labels.sum()
-        target = np.where(labels == 1, (up + 1) / (up + 2), 1 / (down + 2))
-        x = np.stack([raw, np.ones_like(raw)])
-        at, centre, ridge = np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.array([1.0, 0.1])
-
-        def loss(ab: np.ndarray) -> float:
-            z = ab @ x
-            return float((np.logaddexp(0, z) - target * z).sum() + (ridge * (ab - centre) ** 2).sum() / 2)
-
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(at @ x, -30, 30)))
-            slope = x @ (p - target) + ridge * (at - centre)
-            step = np.linalg.solve((x * (p * (1 - p))) @ x.T + np.diag(ridge), slope)
-            while np.abs(step).max() > 1e-7 and loss(at - step) > loss(at):
-                step = step / 2
-            at = at - step
-            if np.abs(step).max() < 1e-6:
-                break
-        if at[0] > 0:
-            self.scale, self.shift = float(at[0]), float(at[1])
-
     def dump(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, linear=self.linear, factors=self.factors, rest=[self.bias, self.scale, self.shift])

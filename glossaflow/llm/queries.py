@@ -4,8 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glossaflow.llm import decontaminate, line_dedup, ngram_join, packing, quality_fm
+from glossaflow.llm import (
+    decontaminate,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality_fm,
+    quality_rules,
+    substring_dedup,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -17,6 +27,11 @@ def op2_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
 
 
+def op3_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return url_filter.judge(_table(spark, d, "pages"), url_filter.rule_table(spark))
+
+
 def op4_quality_fm(spark: SparkSession, d: str) -> DataFrame:
     """Quality score of every document."""
     return quality_fm.classify(_table(spark, d, "documents"), _table(spark, d, "labels"))
@@ -27,6 +42,11 @@ def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.summary(_table(spark, d, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and verdicts of every document."""
+    return quality_rules.judge(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
 def op7_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every document's pieces, placed in windows of 4,096 tokens."""
     return packing.pack(_table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -37,13 +57,24 @@ def op8_ngram_join(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, d, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Words removed from every document, and a digest of those that stay."""
+    rows = substring_dedup.dedup_substrings(_table(spark, d, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_url_filter": op3_url_filter,
     "op4_quality_fm": op4_quality_fm,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_ngram_join": op8_ngram_join,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others have brute-force tests.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_url_filter": url_filter.ORACLE_SQL,
+}
