@@ -39,7 +39,7 @@ Sets = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 Extractor = Callable[[pa.Array], Iterator[Sets]]
 
 MADE = "kind int, doc long, line int, n int, e long"
-POSTING = "token long, part int, doc long, line int, e long, n int, pos int, sig long"
+POSTING = "token long, part int, doc long, line int, e long, n int, pos int, sig long, before long"
 FOUND = "kind int, token long, a long, b long, doc long, line int, n int, pos int, sig long"
 PAIR, HOT, ANCHOR = 0, 1, 2
 
@@ -141,12 +141,16 @@ def postings(documents: DataFrame, extract: Extractor, counts: np.ndarray, perce
                 order = order[np.argsort(owner[order].astype(np.uint32), kind="stable")]
                 owner, tokens = owner[order], tokens[order]
                 pos = np.arange(len(owner)) - np.repeat(starts, size[some])
+                before = np.zeros(len(owner), np.uint64)
+                before[1:] = tokens[:-1]
+                before[pos == 0] = e[owner[pos == 0]].view(np.uint64)
                 short = pos <= size[owner] + (-percent * size[owner]) // 100
-                owner, tokens, pos = owner[short], tokens[short], pos[short]
+                owner, tokens, pos, before = owner[short], tokens[short], pos[short], before[short]
                 part = e[owner].view(np.uint64) % parts[bucket(tokens)].astype(np.uint64)
                 yield _batch(
                     POSTING, len(owner), token=tokens.view(np.int64), part=part.astype(np.int32),
                     doc=ids[rows[owner]], line=line[owner], e=e[owner], n=size[owner], pos=pos, sig=sig.view(np.int64)[owner],
+                    before=before.view(np.int64),
                 )
 
     known = documents.filter(F.col("doc_id").isNotNull())
@@ -187,8 +191,10 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
     names = [f.split(" ")[0] for f in POSTING.split(", ")]
 
     def pairs(x, i, j) -> pa.RecordBatch:
+        # A pair that shares the token before as well is met there.
+        fresh = (x["e"][i] != x["e"][j]) & (x["before"][i] != x["before"][j])
+        i, j = i[fresh], j[fresh]
         ok = passes(percent, x["n"][i], x["n"][j], x["pos"][i], x["pos"][j], x["sig"][i], x["sig"][j])
-        ok &= x["e"][i] != x["e"][j]
         a, b = x["e"][i][ok], x["e"][j][ok]
         return _batch(FOUND, len(a), kind=PAIR, a=np.minimum(a, b), b=np.maximum(a, b))
 
@@ -235,11 +241,18 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
         y = {c: v[at] for c, v in x.items()}
         left = np.repeat(sizes[few], sizes[few])
         if len(at):
-            rank = np.arange(len(at)) - np.repeat(np.cumsum(sizes[few]) - sizes[few], sizes[few])
-            left = left - rank
+            left = left - np.arange(len(at)) + np.repeat(np.cumsum(sizes[few]) - sizes[few], sizes[few])
+        # The largest partner the tokens from here on allow: a set that keeps this
+        # overlap with it may not be larger (length and positional filter in one).
+        most = (100 + percent) * (y["n"] - y["pos"]) // percent - y["n"]
+        some_i, some_j = [], []
         for gap in range(1, int(left.max(initial=0))):
-            i = np.flatnonzero(left > gap)
-            yield pairs(y, i, i + gap)
+            ok = (y["n"][gap:] <= most[:-gap]) & (y["n"][:-gap] <= most[gap:]) & (left[:-gap] > gap)
+            i = np.flatnonzero(ok)
+            some_i.append(i)
+            some_j.append(i + gap)
+        if some_i:
+            yield pairs(y, np.concatenate(some_i), np.concatenate(some_j))
         many = sizes > cold
         if many.any():
             at = np.flatnonzero(np.repeat(many, sizes))
@@ -256,7 +269,7 @@ def anchor_pairs(found: DataFrame, percent: int, cold: int) -> DataFrame:
     """Pairs of the first sets of a salted token's parts."""
     split = found.filter(f"kind = {ANCHOR}")
     salted = split.groupBy("token").agg(F.count("*").alias("_parts")).filter("_parts > 1")
-    rows = split.join(salted, "token").select("token", F.lit(0).alias("part"), "doc", "line", F.col("a").alias("e"), "n", "pos", "sig")
+    rows = split.join(salted, "token").select("token", F.lit(0).alias("part"), "doc", "line", F.col("a").alias("e"), "n", "pos", "sig", F.col("a").alias("before"))
     return candidates(rows, percent, cold).filter(f"kind = {PAIR}").select("a", "b")
 
 
