@@ -59,7 +59,7 @@ def _fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([e, e, pa.array(sets, pa.binary())], ["e", "id", "tokens"])
 
     lines = wanted.groupBy("doc").agg(F.collect_set("line").alias("lines"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").join(lines, "doc").select("text", "lines")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").join(lines.hint("merge"), "doc").select("text", "lines")
     found = rows.mapInArrow(run, "e long, id long, tokens binary")
     return found.join(wanted.select("e"), "e", "left_semi").dropDuplicates(["e"])
 

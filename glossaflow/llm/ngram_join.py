@@ -27,7 +27,7 @@ from glossaflow.llm.words import blocks, split, window_hashes
 
 WORDS, PERCENT = 5, 80
 # Sets of one shingle that are compared all with all.
-COLD = 16
+COLD = 4
 
 
 def shingle_sets(size: int = WORDS) -> J.Extractor:
@@ -63,7 +63,7 @@ def _fetch(documents: DataFrame, wanted: DataFrame, extract: J.Extractor) -> Dat
                     [pa.array(J.set_hashes(bounds, tokens)), ids.take(pa.array(rows)), sets], ["e", "id", "tokens"]
                 )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
     return rows.mapInArrow(run, "e long, id long, tokens binary").dropDuplicates(["e", "id"])
 
 

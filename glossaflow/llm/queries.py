@@ -13,6 +13,7 @@ from glossaflow.llm import (
     packing,
     quality_fm,
     quality_rules,
+    secret_scan,
     substring_dedup,
     url_filter,
 )
@@ -63,6 +64,11 @@ def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Secrets of every document, with linked weak candidates."""
+    return secret_scan.scan(_table(spark, d, "documents"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
@@ -72,6 +78,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_ngram_join": op8_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others have brute-force tests.
