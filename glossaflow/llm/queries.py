@@ -11,6 +11,7 @@ from glossaflow.llm import (
     line_dedup,
     ngram_join,
     packing,
+    pii_surrogates,
     quality_fm,
     quality_rules,
     secret_scan,
@@ -18,11 +19,19 @@ from glossaflow.llm import (
     url_filter,
 )
 
+# Users pass a secret of their own; the same key gives the same surrogates.
+SURROGATE_KEY = "registered query"
+
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text with surrogates for personal data."""
+    return pii_surrogates.replace_entities(_table(spark, d, "documents"), SURROGATE_KEY)
+
+
 def op2_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     """Documents with passages of benchmark items: a row per document and item."""
     return decontaminate.contaminated(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
@@ -70,6 +79,7 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
     "op4_quality_fm": op4_quality_fm,
