@@ -146,7 +146,9 @@ def postings(documents: DataFrame, extract: Extractor, counts: np.ndarray, perce
                 before[pos == 0] = e[owner[pos == 0]].view(np.uint64)
                 short = pos <= size[owner] + (-percent * size[owner]) // 100
                 owner, tokens, pos, before = owner[short], tokens[short], pos[short], before[short]
-                part = e[owner].view(np.uint64) % parts[bucket(tokens)].astype(np.uint64)
+                # Part 0 holds all sets of a token; parts from 1 on share one.
+                share = parts[bucket(tokens)].astype(np.uint64)
+                part = np.where(share > 1, 1 + e[owner].view(np.uint64) % share, 0)
                 yield _batch(
                     POSTING, len(owner), token=tokens.view(np.int64), part=part.astype(np.int32),
                     doc=ids[rows[owner]], line=line[owner], e=e[owner], n=size[owner], pos=pos, sig=sig.view(np.int64)[owner],
@@ -236,7 +238,8 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
 
     def whole(x, begins, n) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(begins, n))
-        few = (sizes > 1) & (sizes <= cold)
+        salted = x["part"][begins] > 0
+        few = (sizes > 1) & (sizes <= cold) & ~salted
         at = np.flatnonzero(np.repeat(few, sizes))
         y = {c: v[at] for c, v in x.items()}
         left = np.repeat(sizes[few], sizes[few])
@@ -253,7 +256,7 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
             some_j.append(i + gap)
         if some_i:
             yield pairs(y, np.concatenate(some_i), np.concatenate(some_j))
-        many = sizes > cold
+        many = (sizes > cold) | salted
         if many.any():
             at = np.flatnonzero(np.repeat(many, sizes))
             start = np.repeat(begins[many], sizes[many])
