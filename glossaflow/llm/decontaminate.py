@@ -23,6 +23,7 @@ counts, whatever its id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from glossaflow.llm.tables import keep
 from glossaflow.llm.words import blocks, mix, split
 
 EDITS = 0.2
@@ -220,14 +222,18 @@ def _finders(documents: DataFrame, benchmark: DataFrame, recall: float, edits: f
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, recall: float = RECALL, edits: float = EDITS) -> DataFrame:
     """``doc_id, item_id, edits, item_words, start_word`` of every match."""
-    finders = _finders(documents, benchmark, recall, edits)
-    every = F.concat(*[find(documents["text"]) for find in finders])
-    rows = documents.select("doc_id", every.alias("_hits")).filter(F.size("_hits") > 0)
-    return rows.select("doc_id", F.explode("_hits").alias("h")).select("doc_id", "h.*")
+    passes = []
+    for find in _finders(documents, benchmark, recall, edits):
+        rows = documents.select("doc_id", find(documents["text"]).alias("_hits")).filter(F.size("_hits") > 0)
+        passes.append(rows.select("doc_id", F.explode("_hits").alias("h")).select("doc_id", "h.*"))
+    return reduce(DataFrame.union, passes)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, recall: float = RECALL, edits: float = EDITS) -> DataFrame:
     """The documents without a match, with their own columns."""
-    for find in _finders(documents, benchmark, recall, edits):
+    finders = _finders(documents, benchmark, recall, edits)
+    for find in finders:
         documents = documents.filter(F.size(find(documents["text"])) == 0)
+        if len(finders) > 1:
+            documents, _ = keep(documents, "clean")
     return documents

@@ -1,7 +1,8 @@
 """Packing token sequences into windows by minimum bin slack.
 
-Texts are tokenised word by word (a word's ids do not depend on its neighbours in
-the tokenizers meant here) with a cache of words, and closed with an end id. Texts
+Texts are tokenised word by word with a cache of words, and closed with an end id: in
+the tokenizers meant here, an id does not depend on what stands beyond white space,
+or beyond the border between a letter and closing signs. Texts
 longer than a window are cut into full windows and a rest. Only the number of rests
 per length reaches the driver: at most ``window`` numbers. There a bitset
 subset-sum over the remaining lengths finds the multiset that fills a window
@@ -19,7 +20,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,48 +28,68 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaflow.llm.tables import keep
-from glossaflow.llm.words import blocks, split
+from glossaflow.llm.words import Words, blocks, cut_tails, split
 
 WINDOW, END_ID = 4_096, 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 BUCKET_ROWS = 2_048
 
+# Signs that start a unit of their own behind a letter (not those of special tokens).
+_TAIL = np.zeros(256, dtype=bool)
+_TAIL[[ord(c) for c in ".,;:!?%&*$#"]] = True
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordEncoder:
-    """Token ids of words, remembered between blocks."""
+    """Token ids of words, remembered for the life of a Python worker."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[bytes, tuple[int, ...]] = {}
+        self._kind = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._known: dict[bytes, bytes] = {}
+        # Where case is dropped anyway, words that differ in it are one entry.
+        self.lower = self._same("A", "a") and self._same("ZQ", "zq")
+
+    def _same(self, a: str, b: str) -> bool:
+        return self._tokenizer.encode(a, add_special_tokens=False).ids == self._tokenizer.encode(b, add_special_tokens=False).ids
+
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> Words:
+        """Words as units of encoding; special tokens' marks keep case and tails whole."""
+        whole = b"<|" in data.tobytes()
+        return cut_tails(split(data, offsets, lower=self.lower and not whole), _TAIL)
 
     def encode(self, vocab: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each word, and all ids one after another."""
-        known = self._known
+        known, kind = self._known, self._kind
         if len(known) > CACHED_WORDS:
             known.clear()
         new = [w for w in vocab if w not in known]
         encoded = self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update(zip(new, (tuple(e.ids) for e in encoded)))
+        known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(new, encoded))
         ids = [known[w] for w in vocab]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // kind.itemsize
+        return sizes, np.frombuffer(b"".join(ids), kind).astype(np.uint32)
+
+
+@cache
+def encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def pieces(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Each document cut into pieces of at most ``window`` ids, with their checksums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        known = encoder(tokenizer)
         for batch in batches:
             ids = batch.column(0)
             for row, data, offsets in blocks(batch.column(1)):
-                words = split(data, offsets)
-                sizes, flat = encoder.encode(words.vocab.to_pylist())
+                words = known.words(data, offsets)
+                sizes, flat = known.encode(words.vocab.to_pylist())
                 begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
                 each = sizes[words.codes]
                 ends = np.concatenate(([0], np.cumsum(each)))

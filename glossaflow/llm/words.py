@@ -18,6 +18,8 @@ BLOCK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
@@ -126,6 +128,17 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     return Words(data, inside, np.searchsorted(starts, offsets), starts, ends)
 
 
+def cut_tails(words: Words, tail: np.ndarray) -> Words:
+    """Words with their last run of ``tail`` bytes cut off where a letter A-Z stands before it."""
+    data = words.data
+    firm = np.where(tail[data] | ~words.inside, -1, np.arange(len(data)))
+    last = np.maximum.accumulate(firm)[words.ends - 1] if len(words.ends) else words.ends
+    cut = np.flatnonzero((last >= words.starts) & (last + 1 < words.ends) & _LETTER[data[np.maximum(last, 0)]])
+    at = last[cut] + 1
+    starts, ends = np.insert(words.starts, cut + 1, at), np.insert(words.ends, cut, at)
+    return Words(data, words.inside, words.bounds + np.searchsorted(cut, words.bounds), starts, ends)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly."""
     h = h ^ (h >> np.uint64(33))

@@ -59,3 +59,17 @@ def test_plan_uses_up_all_rests():
 
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], X.SCHEMA), PATH).collect() == []
+
+
+@pytest.mark.parametrize("text", [
+    "Hello, World!!! it's DON'T 3.5% a... ...b", "<|endoftext|> x <|ENDOFTEXT|>. END<|startoftext|>!", "Straße, É. é̀! Á. ≠ a≠",
+    "", " \n", "漢字。 漢字. x y, \x1cz.", "a.b.c. ,a .!", "I'S. we'LL, 'tis' ''", "ΟΔΟΣ. Σ!",
+])
+def test_word_by_word_ids_are_the_whole_texts_ids(text):
+    known = P.encoder(PATH)
+    data = np.frombuffer(text.encode(), np.uint8)
+    words = known.words(data, np.array([0, len(data)]))
+    sizes, flat = known.encode(words.vocab.to_pylist())
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    got = [int(i) for c in words.codes for i in flat[begin[c]:begin[c + 1]]]
+    assert got == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
