@@ -25,9 +25,10 @@ def align_length(frames: Column, expected: Column) -> Column:
 
 
 def adjustment(have: Column, want: Column) -> Column:
-    """What :func:`align_length` does to ``have`` frames: a word."""
+    """What :func:`align_length` does to ``have`` frames: a word, null for null."""
     return (
-        F.when(have == 0, "empty").when(have < want, "padded")
+        F.when(have.isNull() | want.isNull(), F.lit(None).cast("string"))
+        .when(have == 0, "empty").when(have < want, "padded")
         .when(have > want, "cut").otherwise("exact")
     )
 

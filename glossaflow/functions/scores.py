@@ -75,12 +75,20 @@ def bleu_terms(hyp, ref, match) -> dict[str, Column]:
     }
 
 
+def fixed(x: Column, places: int) -> Column:
+    """``x`` with ``places`` decimals; ties go by the exact binary value, to even.
+
+    ``format_string`` rounds the shortest decimal form half up instead.
+    """
+    return F.replace(F.format_number(x, places), F.lit(","), F.lit(""))
+
+
 def bleu_text(terms: dict[str, Column]) -> Column:
     """One-line printed form of a corpus BLEU score."""
     return F.format_string(
         BLEU_FORMAT,
-        terms["score"], *terms["precisions"], terms["penalty"],
-        terms["ratio"], terms["hyp_len"], terms["ref_len"],
+        fixed(terms["score"], 2), *[fixed(p, 1) for p in terms["precisions"]],
+        fixed(terms["penalty"], 3), fixed(terms["ratio"], 3), terms["hyp_len"], terms["ref_len"],
     )
 
 

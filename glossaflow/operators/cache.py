@@ -17,6 +17,8 @@ def path_index(items: DataFrame) -> DataFrame:
 
 def merge_index(indexes: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """One index of several splits; the later split wins for a shared path."""
+    if not indexes:
+        raise ValueError("no index to merge")
     tagged = None
     for rank, (split, index) in enumerate(indexes):
         one = index.select(

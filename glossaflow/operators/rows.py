@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from glossaflow import patterns as P
 from glossaflow.functions import text as X
 
-# Turns held by one assembled record; longer conversations get further parts.
-PART_TURNS = 1_024
 
 
 # -- filters ------------------------------------------------------------------
@@ -100,10 +98,15 @@ def keyed_join(
     """As :func:`positional_join`, by the ordinal in the record's media path.
 
     The ordinal survives skipped rows, so records cannot drift against the corpus.
+    A record without an ordinal or without a corpus row stops the job.
     """
-    side = corpus.select(F.col("row_idx").alias("_ord"), *columns)
+    side = corpus.select(F.col("row_idx").alias("_ord"), F.struct(*columns).alias("_c"))
+    found = F.when(F.col("_c").isNotNull(), F.col("_c")).otherwise(
+        F.raise_error(F.concat(F.lit("no corpus row for media "), F.coalesce(path, F.lit("null"))))
+    )
     keyed = records.withColumn("_ord", X.media_ordinal(path))
-    return keyed.join(side, "_ord").select(*records.columns, *columns)
+    joined = keyed.join(side, "_ord", "left").withColumn("_c", found)
+    return joined.select(*records.columns, "_c.*")
 
 
 def alignment_check(joined: DataFrame, own: Column, other: Column, width: int = 60) -> DataFrame:
@@ -123,13 +126,14 @@ def merge_chunks(chunks: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), chunks)
 
 
-def assemble_chats(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+def assemble_chats(turns: DataFrame, key: str = "conv_id", part_turns: int | None = None) -> DataFrame:
     """``messages`` arrays from one-turn rows ``(key, turn, role, text)``.
 
-    Turns number from 0. Every ``PART_TURNS`` turns make one ``part``, so no
-    group grows with the conversation; nearly all conversations have one part.
+    One record per conversation. With ``part_turns`` every so many turns (numbered
+    from 0) make one record, told apart by ``part``, for conversations too long for
+    one row.
     """
-    part = F.floor(F.col("turn") / PART_TURNS).alias("part")
+    part = F.floor(F.col("turn") / part_turns if part_turns else F.lit(0)).alias("part")
     turn = F.struct("turn", "role", F.col("text").alias("content"))
     grouped = turns.select(key, part, turn.alias("_t")).groupBy(key, "part").agg(
         F.array_sort(F.collect_list("_t")).alias("_ts")
@@ -137,7 +141,8 @@ def assemble_chats(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     bare = F.transform(
         "_ts", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
     )
-    return grouped.select(key, "part", bare.alias("messages"))
+    parts = ["part"] if part_turns else []
+    return grouped.select(key, *parts, bare.alias("messages"))
 
 
 def last_turn(turns: DataFrame, role: str, key: str = "conv_id") -> DataFrame:

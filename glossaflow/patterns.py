@@ -41,8 +41,8 @@ STATUS_ERROR = "ERR:"
 EMPTY_ERROR = "empty src/ref"
 # Printed form of a corpus BLEU score.
 BLEU_FORMAT = (
-    "BLEU = %.2f %.1f/%.1f/%.1f/%.1f "
-    "(BP = %.3f ratio = %.3f hyp_len = %d ref_len = %d)"
+    "BLEU = %s %s/%s/%s/%s "
+    "(BP = %s ratio = %s hyp_len = %d ref_len = %d)"
 )
 # n-gram orders: BLEU uses 1-4, chrF 1-6 with recall weight beta.
 BLEU_ORDER = 4

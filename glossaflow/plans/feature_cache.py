@@ -55,9 +55,12 @@ def cached_batches(
     """Cached, aligned frames of each run of ``batch_size`` items, in item order.
 
     Items are ``(row_idx, audio_path, expected_len)``. The first item without
-    cached features stops the job. The index is joined before the frames, so
-    frames are shuffled once.
+    cached features stops the job, whether the index or the frames lack it. The
+    index is joined before the frames, so frames are shuffled once.
     """
     found = C.cache_lookup(items, C.merge_index(indexes), strict=True).filter("hit")
-    rows = found.join(features, ["split", "idx"], "left")
+    frames = F.when(F.col("features").isNotNull(), F.col("features")).otherwise(
+        F.raise_error(F.concat(F.lit("no cached features for "), F.col("audio_path")))
+    )
+    rows = found.join(features, ["split", "idx"], "left").withColumn("features", frames)
     return C.batch_concat(C.with_aligned(rows), batch_size)

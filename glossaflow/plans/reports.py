@@ -44,10 +44,14 @@ def _intrinsic(pairs: DataFrame, count: str, *by: str, pred: str, ref: str) -> D
     return sums.select(*by, count, M.chrf_column(), *M.rate_columns())
 
 
-def intrinsic_report(results: DataFrame, *by: str) -> DataFrame:
-    """chrF, hallucination rate and content coverage of prediction rows."""
+def intrinsic_report(results: DataFrame, *by: str, source: str | None = None) -> DataFrame:
+    """chrF, hallucination rate and content coverage of prediction rows.
+
+    ``source`` names the input in a column ``input``.
+    """
     valid = O.valid_predictions(results)
-    return _intrinsic(valid, "valid", *by, pred="prediction", ref="reference")
+    report = _intrinsic(valid, "valid", *by, pred="prediction", ref="reference")
+    return report if source is None else report.select(F.lit(source).alias("input"), "*")
 
 
 def system_report(
@@ -58,12 +62,14 @@ def system_report(
 ) -> DataFrame:
     """One report row per system over merged files of any field convention.
 
-    Rows that carry their ``file`` also get the system's sorted list of files.
+    Without any valid pair there is nothing to report, which is an error. Rows that
+    carry their ``file`` also get the system's sorted list of files; a system
+    without pairs then stays, with no samples and null scores.
     """
-    pairs = O.coalesced_pairs(rows, prediction, reference)
+    pairs = O.require_rows(O.coalesced_pairs(rows, prediction, reference), "no valid pairs")
     report = _intrinsic(pairs, "samples", by, pred="pred", ref="ref")
     if "file" not in rows.columns:
         return report
-    # Grows with the number of input files, not with their rows.
+    # Reads the two columns only, and grows with the number of input files.
     files = rows.groupBy(by).agg(F.array_sort(F.collect_set("file")).alias("files"))
-    return report.join(files, by)
+    return files.join(report, by, "left").select(*report.columns, "files").fillna(0, ["samples"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,9 +68,12 @@ def read_jsonl(
     schema: str,
     on_blank: str = "skip",
     glob: str | None = None,
+    required: Sequence[str] = (),
 ) -> DataFrame:
     """One record per line, with ``row_idx`` and ``file`` in front.
 
+    A record that lacks a ``required`` field, or holds null in it, stops the job.
+
     ``on_blank="skip"`` leaves blank lines out (they take no position);
     ``"fail"`` stops at them. A malformed line always stops the job.
     """
@@ -86,14 +89,23 @@ def read_jsonl(
     record = F.when(~is_blank(value), parsed).otherwise(
         F.raise_error(F.concat(F.lit("blank line in "), F.col("file")))
     )
-    return index_lines(lines).select("row_idx", "file", record.alias("_r")).select(
+    rows = index_lines(lines).select("row_idx", "file", record.alias("_r")).select(
         "row_idx", "file", "_r.*"
     )
+    for name in required:
+        absent = F.raise_error(F.concat(F.lit(f"no {name} in a record of "), F.col("file")))
+        rows = rows.withColumn(name, F.when(F.col(name).isNotNull(), F.col(name)).otherwise(absent))
+    return rows
 
 
-def read_jsonl_dir(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """All ``*.jsonl`` and ``*.json`` line files of a folder, in path order."""
-    return read_jsonl(spark, folder, schema, glob="*.json*")
+def read_jsonl_dir(
+    spark: SparkSession, folder: str, schema: str, glob: str = "*.jsonl", required: Sequence[str] = ()
+) -> DataFrame:
+    """All line files of a folder whose name fits ``glob``, in path order.
+
+    What :func:`write_jsonl` wrote is read with ``glob="*.json"``.
+    """
+    return read_jsonl(spark, folder, schema, glob=glob, required=required)
 
 
 def read_chat(spark: SparkSession, paths: str | list[str]) -> DataFrame:

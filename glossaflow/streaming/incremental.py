@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from glossaflow.operators.cache import pending_items
@@ -21,11 +22,17 @@ def fill_cache(
 
     ``compute`` turns pending items into cache rows, ``audio_path`` among them.
     A batch repeated after a failure finds its own rows cached and adds nothing
-    twice; within one batch a path is computed once.
+    twice; within one batch a path is computed once, for its last position where
+    items carry ``row_idx``.
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        todo = batch.dropDuplicates(["audio_path"])
+        if "row_idx" in batch.columns:
+            rest = [c for c in batch.columns if c != "audio_path"]
+            last = F.max_by(F.struct(*rest), "row_idx").alias("_last")
+            todo = batch.groupBy("audio_path").agg(last).select("audio_path", "_last.*").select(*batch.columns)
+        else:
+            todo = batch.dropDuplicates(["audio_path"])
         if exists(batch.sparkSession, cache_path):
             known = batch.sparkSession.read.schema("audio_path STRING").parquet(cache_path)
             todo = pending_items(todo, known)

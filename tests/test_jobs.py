@@ -9,7 +9,7 @@ from glossaflow.functions import records as R
 from glossaflow.operators import cache as C
 from glossaflow.operators import rows as O
 from glossaflow.operators.predict import batch_predict
-from glossaflow.plans import datasets, feature_cache, prediction
+from glossaflow.plans import datasets, feature_cache, prediction, reports
 from glossaflow.sources import readers, sinks
 from glossaflow.streaming.incremental import fill_cache
 
@@ -67,16 +67,34 @@ def test_text_records(spark):
     assert datasets.text_records(asr, "s", "Go: ", 0).count() == 0
 
 
-def test_conversations(spark, monkeypatch):
+def test_conversations(spark):
     turns = spark.createDataFrame(
         [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "assistant", "b"), (2, 0, "user", "x")],
         "conv_id bigint, turn bigint, role string, text string").repartition(3)
     chats = {r.conv_id: [(m.role, m.content) for m in r.messages] for r in O.assemble_chats(turns).collect()}
     assert chats == {1: [("user", "q"), ("assistant", "a"), ("assistant", "b")], 2: [("user", "x")]}
     assert {r.conv_id: r.content for r in O.last_turn(turns, "assistant").collect()} == {1: "b", 2: None}
-    monkeypatch.setattr(O, "PART_TURNS", 2)
-    parts = {(r.conv_id, r.part): len(r.messages) for r in O.assemble_chats(turns).collect()}
+    parts = {(r.conv_id, r.part): len(r.messages) for r in O.assemble_chats(turns, part_turns=2).collect()}
     assert parts == {(1, 0): 2, (1, 1): 1, (2, 0): 1}
+    long = spark.range(1030).selectExpr("7L AS conv_id", "id AS turn", "'user' AS role", "string(id) AS text")
+    (whole,) = O.assemble_chats(long).collect()
+    assert [m.content for m in whole.messages] == [str(k) for k in range(1030)]
+
+
+def test_keyed_join_stops_at_missing_rows(spark):
+    corpus = spark.createDataFrame([(0, "s")], "row_idx bigint, sentence string")
+    for path in ("/a/1.wav", "/a/b.wav", None):
+        records = spark.createDataFrame([(5, path)], "row_idx bigint, p string")
+        with pytest.raises(Exception, match="no corpus row for media"):
+            O.keyed_join(records, corpus, F.col("p"), "sentence").collect()
+
+
+def test_batches_stop_at_missing_frames(spark):
+    todo = spark.createDataFrame([(0, "p", 3), (1, "q", 1)], "row_idx bigint, audio_path string, expected_len int")
+    index = [("train", C.path_index(items(spark, ["p", "q"])))]
+    cached = spark.createDataFrame([("train", 0, [[1.0]])], "split string, idx bigint, features array<array<float>>")
+    with pytest.raises(Exception, match="no cached features for q"):
+        feature_cache.cached_batches(todo, index, cached, 2).collect()
 
 
 def test_require_rows(spark):
@@ -240,3 +258,29 @@ def test_incremental_cache(spark, tmp_path):
     assert drop("1.json", ["p", "q", "p"]) == ["p", "q"]
     assert drop("2.json", ["q", "r"]) == ["p", "q", "r"]
     assert drop("3.json", ["r"]) == ["p", "q", "r"]
+
+
+def test_odd_answers_are_rows(spark):
+    def make():
+        answers = {"a": 7, "b": "\ud800", "c": None, "d": "fine", "e": ["x"]}
+
+        def predict(value):
+            if value == "f":
+                raise ValueError("odd \udcff message")
+            return answers[value]
+        return predict
+
+    df = spark.createDataFrame([(c,) for c in "abcdef"], "v string").coalesce(1)
+    got = {r.v: (r.prediction, r.status) for r in batch_predict(df, F.col("v"), make).collect()}
+    assert got["d"] == ("fine", "ok")
+    assert all(got[c][0] == "" and got[c][1].startswith("ERR:") for c in "abcef")
+
+
+def test_system_report_needs_a_pair(spark):
+    rows = spark.createDataFrame([("m", " ", "x", "f1")], "model string, pred string, ref string, file string")
+    with pytest.raises(ValueError, match="no valid pairs"):
+        reports.system_report(rows.selectExpr("model", "pred", "pred AS pred_zh", "ref", "ref AS ref_zh", "file"))
+    both = spark.createDataFrame([("m", " ", "x", "f1"), ("n", "a", "a", "f2")], "model string, pred_zh string, ref_zh string, file string")
+    both = both.withColumn("pred", F.col("pred_zh")).withColumn("ref", F.col("ref_zh"))
+    got = {r.model: (r.samples, r.files) for r in reports.system_report(both).collect()}
+    assert got == {"m": (0, ["f1"]), "n": (1, ["f2"])}

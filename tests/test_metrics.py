@@ -152,6 +152,9 @@ def test_printed_bleu(spark):
     match = [round(h * p / 100) for h, p in zip(hyp, (65.0, 45.5, 34.3, 26.9))]
     lits = lambda xs: [F.lit(x).cast("bigint") for x in xs]
     terms = S.bleu_terms(lits(hyp), lits([15_718, 14_719, 13_720, 12_721]), lits(match))
+    ties = [(12.25, 1), (1.005, 2), (0.0625, 3), (12.35, 1), (0.125, 2), (1234.5, 0), (0.0, 1)]
+    got = spark.range(1).select(*[S.fixed(F.lit(x), n).alias(str(k)) for k, (x, n) in enumerate(ties)]).first()
+    assert list(got) == [f"{x:.{n}f}" for x, n in ties]
     text = spark.range(1).select(S.bleu_text(terms).alias("t")).first().t
     assert text.startswith("BLEU = 39.9") and text.endswith(
         "65.0/45.5/34.3/26.9 (BP = 0.983 ratio = 0.984 hyp_len = 15459 ref_len = 15718)")

@@ -90,7 +90,7 @@ def test_jsonl_round_trip(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted(Path(out).glob("part-*")))
     assert [json.loads(s)["v"] for s in text.splitlines()] == [f"天气\n{i}" for i in range(500)]
     assert "天气" in text
-    back = readers.read_jsonl_dir(spark, out, "v string").orderBy("row_idx").collect()
+    back = readers.read_jsonl_dir(spark, out, "v string", glob="*.json").orderBy("row_idx").collect()
     assert [(r.row_idx, r.v) for r in back] == [(i, f"天气\n{i}") for i in range(500)]
 
 
@@ -149,3 +149,14 @@ def test_ingest_and_scratch(spark, tmp_path):
     with pytest.raises(ValueError):
         O.head_n(out, 31, strict=True)
     assert O.head_n(out, 31).count() == 30
+
+
+def test_stray_files_and_absent_fields(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"k": "1", "v": "x"}\n{"k": "2"}\n')
+    for name in ("b.jsonl.tmp", "c.json.bak", "d.json"):
+        (tmp_path / name).write_text('{"k": "9"}\n')
+    rows = readers.read_jsonl_dir(spark, str(tmp_path), "k string, v string")
+    assert sorted(r.k for r in rows.collect()) == ["1", "2"]
+    assert readers.read_jsonl_dir(spark, str(tmp_path), "k string", required=["k"]).count() == 2
+    with pytest.raises(Exception, match="no v in a record of"):
+        readers.read_jsonl_dir(spark, str(tmp_path), "k string, v string", required=["v"]).collect()

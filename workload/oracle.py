@@ -115,11 +115,11 @@ outcomes AS (
 
 CHUNKS = f"""{pairs()},
 chunks AS (
-  SELECT id, system, prediction AS pred_zh, NULL AS pred, reference AS ref_zh, NULL AS ref
+  SELECT id, system, 'chunk0.jsonl' AS file, prediction AS pred_zh, NULL AS pred, reference AS ref_zh, NULL AS ref
     FROM pairs WHERE lang = 'en'
-  UNION ALL SELECT id, system, NULL, prediction, NULL, reference
+  UNION ALL SELECT id, system, 'chunk1.jsonl', NULL, prediction, NULL, reference
     FROM pairs WHERE lang IN ('de', 'fr')
-  UNION ALL SELECT id, system, ' ', prediction, NULL, reference
+  UNION ALL SELECT id, system, 'chunk2.jsonl', ' ', prediction, NULL, reference
     FROM pairs WHERE lang = 'es'),
 filled AS (
   SELECT id, system, {strip("coalesce(pred_zh, pred, '')")} AS pred,
@@ -269,10 +269,10 @@ ORACLE = {
     "predictions_scan": f"""WITH {pairs()}
         SELECT id, audio, md5(reference) AS reference_md5, md5(prediction) AS prediction_md5,
           status, latency_s FROM pairs""",
-    "chat_scan": """SELECT conv_id, turn // 1024 AS part, count(*) AS n_turns,
+    "chat_scan": """SELECT conv_id, count(*) AS n_turns,
           string_agg(role, ',' ORDER BY turn) AS roles,
           string_agg(text, chr(10) ORDER BY turn) AS contents
-        FROM conversations GROUP BY conv_id, turn // 1024""",
+        FROM conversations GROUP BY conv_id""",
     "corpus_scan": f"WITH {DOCS} SELECT row_idx, doc_id, source, md5(text) AS text_md5 FROM docs",
     "row_ordinal": f"WITH {DOCS} SELECT row_idx, doc_id FROM docs",
     "path_index_scan": f"WITH {MEDIA} SELECT audio_path, idx, split FROM indexes",
@@ -400,14 +400,15 @@ ORACLE = {
           {BLEU_TEXT} AS "BLEU", NULL::DOUBLE AS "COMET"
         FROM bleu""",
     "intrinsic_report": f"""WITH {pairs()}, {ngrams('valid')}, {chrf('')}, {overlap('valid')}
-        SELECT (SELECT count(*) FROM valid) AS valid, (SELECT "chrF" FROM chrf) AS "chrF", {RATES}
+        SELECT 'pairs' AS input, (SELECT count(*) FROM valid) AS valid, (SELECT "chrF" FROM chrf) AS "chrF", {RATES}
         FROM overlap""",
     "system_report": f"""WITH {CHUNKS}, {ngrams('kept', 'pred', 'ref')}, {chrf('system')},
         {overlap('kept', 'pred', 'ref')},
         rates AS (SELECT system, {RATES} FROM overlap GROUP BY system),
-        samples AS (SELECT system, count(*) AS samples FROM kept GROUP BY system)
-        SELECT system AS model, samples, "chrF", hallucination_rate, content_coverage
-        FROM samples JOIN chrf USING (system) LEFT JOIN rates USING (system)""",
+        samples AS (SELECT system, count(*) AS samples FROM kept GROUP BY system),
+        files AS (SELECT system, string_agg(DISTINCT file, ',' ORDER BY file) AS files FROM chunks GROUP BY system)
+        SELECT system AS model, coalesce(samples, 0) AS samples, "chrF", hallucination_rate, content_coverage, files
+        FROM files LEFT JOIN samples USING (system) LEFT JOIN chrf USING (system) LEFT JOIN rates USING (system)""",
     "path_index": f"""WITH {MEDIA}
         SELECT audio_path, max(row_idx) AS idx FROM items GROUP BY audio_path""",
     "merge_index": f"WITH {MEDIA} SELECT audio_path, split, idx FROM merged",
@@ -441,6 +442,17 @@ ORACLE = {
         SELECT batch, count(DISTINCT row_idx) OVER (PARTITION BY batch) AS samples,
           row_number() OVER (PARTITION BY batch ORDER BY row_idx, i) - 1 AS pos, value
         FROM flat""",
+    "cached_batches": f"""WITH {MEDIA},
+        found AS (
+          SELECT i.row_idx, list_transform(range(1, i.expected_len + 1),
+              lambda k: f.features[least(k, len(f.features))]) AS frames
+          FROM items i JOIN merged m USING (audio_path) JOIN items f ON f.row_idx = m.idx),
+        flat AS (
+          SELECT row_idx, row_idx // 32 AS batch, generate_subscripts(frames, 1) AS i,
+            unnest(frames)::DOUBLE AS value FROM found)
+        SELECT batch, count(DISTINCT row_idx) OVER (PARTITION BY batch) AS samples,
+          row_number() OVER (PARTITION BY batch ORDER BY row_idx, i) - 1 AS pos, value
+        FROM flat""",
     "cache_audit": f"""WITH {ALIGNED}
         SELECT label, count(*) AS items, count(merged.idx) AS hits,
           count(*) - count(merged.idx) AS misses,

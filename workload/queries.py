@@ -92,7 +92,7 @@ def jsonl_dir_scan(spark, d):
     path = scratch_path(spark, "jsonl")
     rows = V.documents(spark, d).select("row_idx", "doc_id", "text", "lang")
     sinks.write_jsonl(rows, path)
-    back = readers.read_jsonl_dir(spark, path, "doc_id BIGINT, text STRING, lang STRING")
+    back = readers.read_jsonl_dir(spark, path, "doc_id BIGINT, text STRING, lang STRING", glob="*.json")
     return back.select("row_idx", "doc_id", "lang", F.md5("text").alias("text_md5"))
 
 
@@ -111,7 +111,7 @@ def predictions_scan(spark, d):
 def chat_scan(spark, d):
     turns = V.source(spark, d, "conversations")
     return O.assemble_chats(turns).select(
-        "conv_id", F.col("part").cast("bigint").alias("part"),
+        "conv_id",
         F.size("messages").cast("bigint").alias("n_turns"),
         F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
         F.array_join(F.transform("messages", lambda m: m["content"]), "\n").alias("contents"),
@@ -367,12 +367,13 @@ def entity_report(spark, d):
 
 
 def intrinsic_report(spark, d):
-    return reports.intrinsic_report(V.pairs(spark, d))
+    return reports.intrinsic_report(V.pairs(spark, d), source="pairs")
 
 
 def system_report(spark, d):
-    merged = O.merge_chunks(V.chunks(spark, d)).withColumnRenamed("system", "model")
-    return reports.system_report(merged)
+    named = [c.withColumn("file", F.lit(f"chunk{k}.jsonl")) for k, c in enumerate(V.chunks(spark, d))]
+    report = reports.system_report(O.merge_chunks(named).withColumnRenamed("system", "model"))
+    return report.withColumn("files", F.array_join("files", ","))
 
 
 # -- feature cache ------------------------------------------------------------
@@ -431,19 +432,30 @@ def batch_concat(spark, d):
     return _values(C.batch_concat(rows, 32), "batch", "samples")
 
 
-def cache_audit(spark, d):
-    items = V.media_items(spark, d)
+def _cached_features(spark, d) -> DataFrame:
     features = None
     for split, one in V.split_items(spark, d):
         rows = one.select(
             F.lit(split).alias("split"), F.col("row_idx").alias("idx"), "features"
         )
         features = rows if features is None else features.unionByName(rows)
+    return features
+
+
+def cache_audit(spark, d):
     return feature_cache.audit(
-        items.drop("features"), V.split_indexes(spark, d), features, "label"
+        V.media_items(spark, d).drop("features"), V.split_indexes(spark, d), _cached_features(spark, d), "label"
     )
 
 
+def cached_batches(spark, d):
+    """Batches of the items that are cached; the others would stop the job."""
+    indexes = V.split_indexes(spark, d)
+    known = C.merge_index(indexes).select("audio_path")
+    items = V.media_items(spark, d).drop("features").join(known, "audio_path", "left_semi")
+    return _values(feature_cache.cached_batches(items, indexes, _cached_features(spark, d), 32), "batch", "samples")
+
+
 QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (
@@ -459,5 +471,6 @@ QUERIES = {
         bleu_corpus, entity_accuracy, entity_retention, entity_report,
         intrinsic_report, system_report, path_index, merge_index, cache_lookup,
         pending_items, extract_pending, align_features, strip_padding, batch_concat, cache_audit,
+        cached_batches,
     )
 }
