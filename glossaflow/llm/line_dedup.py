@@ -50,18 +50,17 @@ def _fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = [set(x) for x in batch.column("lines").to_pylist()]
+            asked = [{(x["line"], x["e"]) for x in r} for r in batch.column("lines").to_pylist()]
             for rows, line, bounds, tokens in line_sets(batch.column("text")):
                 es = J.set_hashes(bounds, tokens)
-                at = [i for i, (r, n) in enumerate(zip(rows.tolist(), line.tolist())) if n in asked[r]]
+                at = [i for i, (r, *place) in enumerate(zip(rows.tolist(), line.tolist(), es.tolist())) if tuple(place) in asked[r]]
                 sets = [tokens[bounds[i]:bounds[i + 1]].tobytes() for i in at]
                 e = pa.array(es[at])
                 yield pa.RecordBatch.from_arrays([e, e, pa.array(sets, pa.binary())], ["e", "id", "tokens"])
 
-    lines = wanted.groupBy("doc").agg(F.collect_set("line").alias("lines"))
+    lines = wanted.groupBy("doc").agg(F.collect_set(F.struct("line", "e")).alias("lines"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").join(lines.hint("merge"), "doc").select("text", "lines")
-    found = rows.mapInArrow(run, "e long, id long, tokens binary")
-    return found.join(wanted.select("e"), "e", "left_semi").dropDuplicates(["e"])
+    return rows.mapInArrow(run, "e long, id long, tokens binary")
 
 
 def _later(documents: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, str]:

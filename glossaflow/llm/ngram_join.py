@@ -51,32 +51,31 @@ def shingle_sets(size: int = WORDS) -> J.Extractor:
 
 
 def _fetch(documents: DataFrame, wanted: DataFrame, extract: J.Extractor) -> DataFrame:
-    """``e, id, tokens`` of the documents whose id is wanted."""
+    """``e, id, tokens`` of the sets ``e`` wanted of each document ``id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for rows, _, bounds, tokens in extract(batch.column(1)):
-                at = (bounds * 8).astype(np.int32)
-                sets = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(tokens)])
+            ids, asked = batch.column("id"), batch.column("es").to_pylist()
+            for rows, _, bounds, tokens in extract(batch.column("text")):
+                es = J.set_hashes(bounds, tokens)
+                at = [i for i, (r, e) in enumerate(zip(rows.tolist(), es.tolist())) if e in asked[r]]
+                sets = [tokens[bounds[i]:bounds[i + 1]].tobytes() for i in at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(J.set_hashes(bounds, tokens)), ids.take(pa.array(rows)), sets], ["e", "id", "tokens"]
+                    [pa.array(es[at]), ids.take(pa.array(rows[at])), pa.array(sets, pa.binary())], ["e", "id", "tokens"]
                 )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
-    return rows.mapInArrow(run, "e long, id long, tokens binary").dropDuplicates(["e", "id"])
+    es = wanted.groupBy("id").agg(F.collect_set("e").alias("es"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(es.hint("merge"), "id")
+    return rows.select("id", "text", "es").mapInArrow(run, "e long, id long, tokens binary")
 
 
 def _links(documents: DataFrame, pairs: DataFrame, classes: DataFrame, extract: J.Extractor, percent: int) -> DataFrame:
     """Verified pairs as ids of their classes' first documents."""
     ends = pairs.select(F.col("a").alias("e")).union(pairs.select("b")).distinct()
-    wanted = classes.join(ends, "e", "left_semi").select(F.col("id").alias("doc_id"), F.col("e").alias("_e"))
-    ids, path = keep(wanted, "wanted")
-    sets = _fetch(documents, ids.select("doc_id"), extract)
-    named = sets.join(ids.select(F.col("doc_id").alias("id"), F.col("_e").alias("e")), ["id", "e"], "left_semi")
-    held, at = keep(named, "sets")
+    wanted = classes.join(ends, "e", "left_semi").select("id", "e")
+    held, at = keep(_fetch(documents, wanted, extract), "sets")
     links, out = keep(J.verify(pairs, held, percent), "links")
-    drop(documents.sparkSession, path, at)
+    drop(documents.sparkSession, at)
     return links, out
 
 
