@@ -9,6 +9,7 @@ from glossaflow.sources.scratch import scratch_path
 
 # Rows per JSON array or object; such a file is read back by a single task.
 RECORDS_PER_ARRAY = 5_000
+UNPLACED_ARRAYS = 1_000
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -46,7 +47,9 @@ def write_jsonl(df: DataFrame, path: str, order: str = "row_idx") -> None:
 
 def write_predictions(df: DataFrame, path: str, order: str = "id") -> None:
     """Prediction rows as JSON arrays, a bounded number of rows per file."""
-    chunk = F.floor(F.col(order) / RECORDS_PER_ARRAY)
+    # Rows without a position are dealt by their content, so they form no one group.
+    spread = -1 - F.pmod(F.xxhash64(*df.columns), F.lit(UNPLACED_ARRAYS))
+    chunk = F.coalesce(F.floor(F.col(order) / RECORDS_PER_ARRAY), spread)
     rows = df.select(chunk.alias("_chunk"), F.struct(*df.columns).alias("_row"), order)
     arrays = rows.groupBy("_chunk").agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("_k"), "_row"))).alias("_a")
