@@ -335,3 +335,27 @@ def dedup_substrings(documents: DataFrame, total: int = MIN_WORDS) -> DataFrame:
     ).withColumn("print", F.xxhash64("text").bitwiseAND(F.lit((1 << 20) - 1)))
     joined = rows.join(ranges, ["doc", "print"], "left").select("doc_id", "text", "begins", "ends")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+
+
+#: The registered query in DuckDB SQL: every window as a string.
+ORACLE_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM texts WHERE len(w) >= 20)
+), later AS (
+  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS pos FROM (SELECT doc_id, i, unnest(range(0, 20)) AS j FROM later)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM texts
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(g.pos) AS n_removed,
+    string_agg(word, ' ' ORDER BY words.pos) FILTER (WHERE g.pos IS NULL) AS text
+  FROM words LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
