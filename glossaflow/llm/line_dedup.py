@@ -158,3 +158,39 @@ def summary(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.sha2("new", 256).alias("kept_sha256"),
     )
+
+
+#: The registered query in DuckDB SQL: prefixes by exact word frequency.
+ORACLE_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS s,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line
+  FROM documents
+), sets AS (
+  SELECT *, list_sort(list_distinct(regexp_extract_all(
+    translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS e FROM lines
+), classes AS (
+  SELECT row_number() OVER () AS id, e, len(e) AS n, first FROM (
+    SELECT e, min({'doc': doc_id, 'line': line}) AS first FROM sets WHERE len(e) > 0 GROUP BY e)
+), words AS (SELECT id, n, unnest(e) AS w FROM classes),
+ranked AS (
+  SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY c, w) AS r
+  FROM words JOIN (SELECT w, count(*) AS c FROM words GROUP BY w) USING (w)
+), prefix AS (SELECT id, n, w FROM ranked WHERE r <= n - (80 * n + 99) // 100 + 1),
+pairs AS (
+  SELECT DISTINCT a.id AS x, b.id AS y FROM prefix a JOIN prefix b
+  ON a.w = b.w AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), links AS (
+  SELECT x, y, p.first AS f, q.first AS g FROM pairs JOIN classes p ON p.id = x JOIN classes q ON q.id = y
+  WHERE 180 * len(list_intersect(p.e, q.e)) >= 80 * (p.n + q.n)
+), late AS (
+  SELECT DISTINCT CASE WHEN f > g THEN x ELSE y END AS id FROM links WHERE f <> g
+), judged AS (
+  SELECT s.doc_id, s.line, s.s,
+    coalesce(l.id IS NOT NULL OR {'doc': s.doc_id, 'line': s.line} > c.first, false) AS gone
+  FROM sets s LEFT JOIN classes c ON c.e = s.e LEFT JOIN late l ON l.id = c.id
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+  sha256(coalesce(string_agg(s, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""

@@ -94,6 +94,7 @@ QUERIES = {
 #: DuckDB SQL of the queries that SQL can express; the others have brute-force tests.
 ORACLE: dict[str, str] = {
     "op3_url_filter": url_filter.ORACLE_SQL,
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op8_ngram_join": ngram_join.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
 }
