@@ -60,8 +60,15 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 # -- prefixes and slices ------------------------------------------------------
 
 def first_n_valid(df: DataFrame, n: int, *columns: str) -> DataFrame:
-    """The first ``n`` rows, in source order, whose named texts are filled."""
-    return drop_blank(df, *columns).orderBy("row_idx").limit(n)
+    """The first ``n`` rows, in source order, whose named texts are filled.
+
+    A job over positions alone finds where the ``n``-th such row stands; the rows
+    themselves are then filtered where they are and meet in no one task.
+    """
+    valid = drop_blank(df, *columns)
+    last = valid.select("row_idx").orderBy("row_idx").limit(n).agg(F.max("row_idx")).first()[0]
+    kept = valid.filter(F.col("row_idx") <= last if last is not None else F.lit(False))
+    return kept.orderBy("row_idx")
 
 
 def head_n(df: DataFrame, n: int, strict: bool = False) -> DataFrame:

@@ -9,6 +9,8 @@ import __spark_entry__ as entry_points
 from glossaflow.operators import metrics as M
 from glossaflow.operators import rows as O
 from workload import views as V
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 SMALL = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SMALL.exists(), reason="needs the given tables")
@@ -27,10 +29,13 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    """Those of the optional subpackage are tested beside it."""
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLE) <= set(entry_points.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, db, name):
     df = entry_points.queries()[name](spark, str(SMALL))
     cols = sorted(df.columns)
