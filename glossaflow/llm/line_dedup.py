@@ -28,7 +28,7 @@ from glossaflow.llm.words import blocks, split
 
 PERCENT = 80
 # Lines of one word that are compared all with all.
-COLD = 128
+COLD = 1_024
 
 
 def line_sets(texts: pa.Array) -> Iterator[J.Sets]:

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 SKETCH = 1 << 18
 # Expected sets of one token in one task; beyond it, the token is salted.
 PART_ROWS = 1 << 16
+# Runs up to this length are compared together, longer ones one by one.
+BULK = 32
 # Larger sets get no parity bitmap: 64 bits say nothing about them.
 PARITY_SIZE = 160
 # Sets a task remembers to leave out copies; forgetting some only costs rows.
@@ -239,7 +241,8 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
     def whole(x, begins, n) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(begins, n))
         salted = x["part"][begins] > 0
-        few = (sizes > 1) & (sizes <= cold) & ~salted
+        small = (sizes > 1) & (sizes <= cold) & ~salted
+        few = small & (sizes <= BULK)
         at = np.flatnonzero(np.repeat(few, sizes))
         y = {c: v[at] for c, v in x.items()}
         left = np.repeat(sizes[few], sizes[few])
@@ -247,7 +250,8 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
             left = left - np.arange(len(at)) + np.repeat(np.cumsum(sizes[few]) - sizes[few], sizes[few])
         # The largest partner the tokens from here on allow: a set that keeps this
         # overlap with it may not be larger (length and positional filter in one).
-        most = (100 + percent) * (y["n"] - y["pos"]) // percent - y["n"]
+        limit = lambda z: (100 + percent) * (z["n"] - z["pos"]) // percent - z["n"]
+        most = limit(y)
         some_i, some_j = [], []
         for gap in range(1, int(left.max(initial=0))):
             ok = (y["n"][gap:] <= most[:-gap]) & (y["n"][:-gap] <= most[gap:]) & (left[:-gap] > gap)
@@ -256,6 +260,12 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
             some_j.append(i + gap)
         if some_i:
             yield pairs(y, np.concatenate(some_i), np.concatenate(some_j))
+        long = np.flatnonzero(small & ~few)
+        for at, size in zip(begins[long].tolist(), sizes[long].tolist()):
+            z = {c: v[at:at + size] for c, v in x.items()}
+            most = limit(z)
+            ok = np.triu((z["n"][None, :] <= most[:, None]) & (z["n"][:, None] <= most[None, :]), 1)
+            yield pairs(z, *np.nonzero(ok))
         many = (sizes > cold) | salted
         if many.any():
             at = np.flatnonzero(np.repeat(many, sizes))
