@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glossaflow.llm import decontaminate as D
@@ -73,3 +74,20 @@ def test_fewest_edits():
     for _ in range(100):
         a, b = [[rng.randrange(4) for _ in range(rng.randint(1, 9))] for _ in range(2)]
         assert D.fewest_edits(np.array(a, np.uint64), np.array(b, np.uint64))[0] == edits(a, b)
+
+
+@pytest.mark.parametrize("n", [5, 9, 10, 15, 19, 20, 22, 24, 30, 45])
+def test_recall_of_each_length_at_the_full_threshold(n):
+    """Long items of the same table do not hide the short ones."""
+    rng = random.Random(n)
+    draw = lambda k: [f"v{rng.randrange(10**6)}" for _ in range(k)]
+    lengths = [90] * 300 + [n] * 100
+    items = [draw(k) for k in lengths]
+    texts = []
+    for item in items[300:]:
+        words = [[w] for w in item]
+        for at in rng.sample(range(n), int(D.EDITS * n)):
+            words[at] = rng.choice([[], draw(1), draw(1) + words[at]])
+        texts.append(" ".join(draw(rng.randrange(40)) + [w for part in words for w in part] + draw(rng.randrange(40))))
+    found = D.Items(list(range(len(items))), [" ".join(i) for i in items]).hits(pa.array(texts))
+    assert sum(any(h["item_id"] == 300 + k for h in hits) for k, hits in enumerate(found)) >= 90
