@@ -17,7 +17,8 @@ item, ``k`` edits leave one whole, which is looked up at every word of the texts
 Candidates are verified with the exact edit distance of the item to the best passage
 around.
 
-Items are broadcast in blocks of bounded size, one pass over the texts per block.
+Distinct item texts are broadcast in blocks of bounded size, one pass over the texts per
+block, and item ids are joined to the hits.
 Defined results: null or empty texts have no hits; items without words never match;
 rows that repeat an item id are items of their own; every row of ``documents``
 counts, whatever its id.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from glossaflow.llm.tables import keep
 from glossaflow.llm.words import Words, blocks, mix, split, window_hashes
@@ -54,12 +55,12 @@ _BITS = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 HITS = ArrayType(StructType([
-    StructField("item_id", LongType()), StructField("edits", IntegerType()),
+    StructField("item", StringType()), StructField("edits", IntegerType()),
     StructField("item_words", IntegerType()), StructField("start_word", IntegerType()),
 ]))
 
 _ARROW_HITS = pa.list_(pa.struct([
-    ("item_id", pa.int64()), ("edits", pa.int32()), ("item_words", pa.int32()), ("start_word", pa.int32()),
+    ("item", pa.string()), ("edits", pa.int32()), ("item_words", pa.int32()), ("start_word", pa.int32()),
 ]))
 
 
@@ -117,7 +118,7 @@ def fewest_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 class Items:
     """A block of benchmark items, indexed by the keys of their windows."""
 
-    def __init__(self, ids: list[int], texts: list[str], recall: float = RECALL, edits: float = EDITS):
+    def __init__(self, ids: list, texts: list[str], recall: float = RECALL, edits: float = EDITS):
         self.edits, self.ids, self.words = edits, [], []
         for i, data, offsets in blocks(pa.array(texts, pa.string())):
             found = split(data, offsets, lower=True)
@@ -235,7 +236,7 @@ class Items:
                     best[doc, item] = near
             for (doc, item), (edits, end) in sorted(best.items()):
                 out[row + doc].append({
-                    "item_id": self.ids[item], "edits": edits, "item_words": len(self.words[item]),
+                    "item": self.ids[item], "edits": edits, "item_words": len(self.words[item]),
                     "start_word": max(0, end - len(self.words[item])),
                 })
         return out
@@ -297,17 +298,23 @@ def _finder(shared: Broadcast):
     return find
 
 
+def _known(benchmark: DataFrame) -> DataFrame:
+    """``item_id, item, text`` of the items, ``item`` being the text's digest."""
+    known = benchmark.filter(F.col("text").isNotNull())
+    return known.select(F.col("item_id").cast("long"), F.sha2("text", 256).alias("item"), "text")
+
+
 def _finders(documents: DataFrame, benchmark: DataFrame, recall: float, edits: float) -> list:
-    """One function ``text -> hits`` per block of items."""
+    """One function ``text -> hits`` per block of distinct items."""
     spark = documents.sparkSession
-    known = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
+    known = _known(benchmark).select("item", "text").distinct()
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = 1 + size // ITEM_BLOCK_BYTES
     out = []
     for k in range(count):
-        part = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) if count > 1 else known
-        rows = part.orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], recall, edits))
+        part = known.filter(F.pmod(F.xxhash64("item"), F.lit(count)) == k) if count > 1 else known
+        rows = part.orderBy("item").collect()
+        shared = spark.sparkContext.broadcast(Items([r["item"] for r in rows], [r["text"] for r in rows], recall, edits))
 
         out.append(_finder(shared))
     return out
@@ -319,7 +326,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, recall: float = REC
     for find in _finders(documents, benchmark, recall, edits):
         rows = documents.select("doc_id", find(documents["text"]).alias("_hits")).filter(F.size("_hits") > 0)
         passes.append(rows.select("doc_id", F.explode("_hits").alias("h")).select("doc_id", "h.*"))
-    return reduce(DataFrame.union, passes)
+    named = reduce(DataFrame.union, passes).join(_known(benchmark).select("item", "item_id"), "item")
+    return named.select("doc_id", "item_id", "edits", "item_words", "start_word")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, recall: float = RECALL, edits: float = EDITS) -> DataFrame:

@@ -90,4 +90,22 @@ def test_recall_of_each_length_at_the_full_threshold(n):
             words[at] = rng.choice([[], draw(1), draw(1) + words[at]])
         texts.append(" ".join(draw(rng.randrange(40)) + [w for part in words for w in part] + draw(rng.randrange(40))))
     found = D.Items(list(range(len(items))), [" ".join(i) for i in items]).hits(pa.array(texts))
-    assert sum(any(h["item_id"] == 300 + k for h in hits) for k, hits in enumerate(found)) >= 90
+    assert sum(any(h["item"] == 300 + k for h in hits) for k, hits in enumerate(found)) >= 90
+
+
+def test_repeated_items_are_indexed_once(spark, monkeypatch):
+    monkeypatch.setattr(D, "ITEM_BLOCK_BYTES", 400)
+    sizes, build = [], D.Items.__init__
+
+    def counted(self, ids, texts, *rest):
+        sizes.append(sum(len(t) for t in texts))
+        build(self, ids, texts, *rest)
+
+    monkeypatch.setattr(D.Items, "__init__", counted)
+    text = "one item that is repeated in many rows of the benchmark"
+    items = [(k % 150, text) for k in range(300)] + [(1000 + k, f"another item number {k} of the table") for k in range(8)]
+    documents = spark.createDataFrame([(1, f"before {text} after"), (2, "nothing")], "doc_id long, text string")
+    got = D.contaminated(documents, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(r.item_id for r in got) == sorted(k % 150 for k in range(300))
+    assert {(r.doc_id, r.edits, r.item_words, r.start_word) for r in got} == {(1, 0, 11, 1)}
+    assert max(sizes) <= 400
