@@ -5,6 +5,10 @@ digit, phone numbers, names after a title) get keyed replacements of the same ty
 format. One entity has one surrogate in the whole corpus, whatever its layout, so
 references stay linked, and different entities have different surrogates.
 
+Of digits in a row, all parts between separators are tried: cards in usual layouts, the
+whole row as a card, phones (first those with one kind of separator, then the longest),
+and cards in other layouts. Digits around them stay.
+
 Numbers go through a keyed Feistel permutation of their digits (or of the address's
 32 bits), so two numbers of one length never meet; punctuation stays, cards keep the
 first digit and get a valid check digit, phones keep what stands before the last nine
@@ -34,7 +38,11 @@ PHONE = r"(?<![0-9])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}
 MALE = r"Mr|Mister|Herr|Monsieur|Señor|Господин"
 FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Госпожа"
 NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
-ENTITY = "|".join((EMAIL, IP, CARD, PHONE, NAME))
+# Digits with spaces and hyphens, in which cards and phones are looked for. The last
+# group is left to an address or a dotted phone that begins with it.
+RUN = r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){8})[0-9][0-9 -]*(?<=[0-9])(?![0-9]|[A-Za-z0-9._%+-]{0,64}@)(?!(?<=[ -][0-9]{1,4})\.[0-9]{1,4}[. -][0-9])"
+LAYOUT = r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}"
+ENTITY = "|".join((EMAIL, IP, RUN, PHONE, NAME))
 
 ROUNDS = 6
 LATIN = ("ba", "be", "bri", "da", "del", "do", "fa", "fen", "ga", "gor", "ha", "hel", "jo", "ka", "kel", "la", "lin", "lo", "ma", "mer", "mo", "na", "nel", "pa", "per", "ra", "ren", "ro", "sa", "sel", "ta", "vel")
@@ -55,6 +63,48 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, d: a + F.when(d > 9, d - 9).otherwise(d))
 
 
+def _is_card(text: Column) -> Column:
+    return F.rlike(text, F.lit(rf"\A{CARD}\z")) & (F.pmod(_luhn_sum(_digits(text)), F.lit(10)) == 0)
+
+
+def _numbers_in(raw: Column) -> Column:
+    """Parts of a run of digits: cards and phones, and what stands between them."""
+    pieces = F.split(raw, r"(?<=[0-9])(?=[ -])|(?<=[ -])(?=[0-9])")
+    groups = F.floor((F.size(pieces) + 1) / 2).cast("int")
+    text = lambda i, j: F.array_join(F.slice(pieces, 2 * i + 1, 2 * (j - i) + 1), "")
+
+    def judged(i: Column, j: Column) -> Column:
+        part = text(i, j)
+        rank = (
+            F.when(F.rlike(part, F.lit(rf"\A(?:{LAYOUT})\z")) & _is_card(part), 0)
+            .when((i == 0) & (j == groups - 1) & _is_card(part), 1)
+            .when(F.rlike(part, F.lit(rf"\A{PHONE}\z")), 2)
+            .when(_is_card(part), 3)
+        )
+        mixed = (F.contains(part, F.lit(" ")) & F.contains(part, F.lit("-"))).cast("int")
+        return F.struct(rank.alias("rank"), mixed.alias("mixed"), (-F.length(_digits(part))).alias("less"), i.alias("i"), j.alias("j"))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), groups - 1), lambda i: F.filter(
+        F.transform(F.sequence(i, F.least(i + 18, groups - 1)), lambda j: judged(i, j)), lambda c: c["rank"].isNotNull()
+    )))
+    none = F.array().cast("array<struct<rank:int,mixed:int,less:int,i:int,j:int>>")
+    chosen = F.aggregate(F.array_sort(every), none, lambda acc, c: F.when(
+        F.exists(acc, lambda o: (o["i"] <= c["j"]) & (c["i"] <= o["j"])), acc
+    ).otherwise(F.array_append(acc, c)))
+    digits = lambda t: _digits(t)
+
+    def part(k: Column) -> Column:
+        over = F.get(F.filter(chosen, lambda c: (2 * c["i"] <= k) & (k <= 2 * c["j"])), F.lit(0))
+        whole = text(over["i"], over["j"])
+        phone = over["rank"] == 2
+        canon = F.when(phone, F.regexp_replace(digits(whole), r"\A1(?=[0-9]{10}\z)", "")).otherwise(digits(whole))
+        named = F.struct(F.when(phone, "phone").otherwise("card").alias("kind"), canon.alias("canon"), whole.alias("raw"))
+        plain = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("canon"), F.get(pieces, k).alias("raw"))
+        return F.when(over.isNull(), plain).when(2 * over["i"] == k, named)
+
+    return F.filter(F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), part), lambda x: x.isNotNull())
+
+
 def _components(raw: Column) -> Column:
     """What a match consists of: ``kind, canon, raw`` of each component."""
     part = lambda kind, canon, text: F.struct(F.lit(kind).cast("string").alias("kind"), canon.alias("canon"), text.alias("raw"))
@@ -68,12 +118,11 @@ def _components(raw: Column) -> Column:
         .otherwise(named(F.concat_ws(":", F.lit("name"), gender, script), w))
     ))
     digits = _digits(raw)
-    card = F.rlike(raw, F.lit(rf"\A{CARD}\z")) & (F.pmod(_luhn_sum(digits), F.lit(10)) == 0)
     return (
         F.when(F.contains(raw, F.lit("@")), F.array(part("email", F.lower(raw), raw)))
         .when(F.rlike(raw, F.lit(r"\A\p{L}")), name)
         .when(F.rlike(raw, F.lit(rf"\A{IP}\z")), F.array(part("ip", raw, raw)))
-        .when(card, F.array(part("card", digits, raw)))
+        .when(F.rlike(raw, F.lit(r"\A[0-9][0-9 -]*\z")) & (F.length(digits) > 8), _numbers_in(raw))
         .when(F.rlike(raw, F.lit(rf"\A{PHONE}\z")), F.array(part("phone", F.regexp_replace(digits, r"\A1(?=[0-9]{10}\z)", ""), raw)))
         .otherwise(F.array(part(None, F.lit(None).cast("string"), raw)))
     ).cast(_COMPONENT)
@@ -189,9 +238,12 @@ def replace_entities(documents: DataFrame, key: str) -> DataFrame:
     table, _ = keep(surrogates(known, key), "surrogates")
     named = parts.join(table, ["kind", "canon"], "left")
     piece = F.struct("sub", _laid_out(F.col("raw"), F.col("made"), F.col("kind")).alias("text"))
-    one = named.groupBy("row", "pos").agg(F.sort_array(F.collect_list(piece)).alias("p"), F.max(F.col("kind").isNotNull()).alias("real"))
-    filled = one.select("row", "real", F.struct("pos", F.array_join(F.col("p.text"), " ").alias("text")).alias("m"))
-    by_row = filled.groupBy("row").agg(F.sort_array(F.collect_list("m")).alias("m"), F.count_if("real").alias("n_entities"))
+    one = named.groupBy("row", "pos").agg(
+        F.sort_array(F.collect_list(piece)).alias("p"), F.count("kind").alias("real"), F.max(F.startswith("kind", F.lit("name:"))).alias("name")
+    )
+    text = F.when(F.col("name"), F.array_join(F.col("p.text"), " ")).otherwise(F.array_join(F.col("p.text"), ""))
+    filled = one.select("row", F.when(F.col("name"), 1).otherwise(F.col("real")).alias("real"), F.struct("pos", text.alias("text")).alias("m"))
+    by_row = filled.groupBy("row").agg(F.sort_array(F.collect_list("m")).alias("m"), F.sum("real").alias("n_entities"))
     gaps = F.split("text", ENTITY, -1)
     woven = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("m.text"), i), F.lit("")))), "")
     changed = hits.join(by_row, "row").select("doc_id", woven.alias("text"), "n_entities")

@@ -144,3 +144,21 @@ def test_surrogates_stay_distinct(spark):
 
 def test_surrogates_of_nothing(spark):
     assert P.replace_entities(spark.createDataFrame([], X.SCHEMA), "k").collect() == []
+
+
+def test_numbers_next_to_other_digits(spark):
+    texts = [
+        "4111 1111 1111 1111 12/26", "4111111111111111 123", "555-123-4567 2024-01-01", "call 555-123-4567 555-987-6543", "12 555-123-4567",
+        "4111111111111111 10.0.0.1", "4111111111111111 555.123.4567", "at 2024-01-01 12", "3782 822463 10005 1234", "4111111111111111 12345@x.de",
+    ]
+    got = P.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    made = {r.doc_id: r.text for r in got}
+    assert [r.n_entities for r in sorted(got)] == [1, 1, 1, 2, 1, 2, 2, 0, 1, 2]
+    card = re.fullmatch(r"(4\d{3} \d{4} \d{4} \d{4}) 12/26", made[0])[1].replace(" ", "")
+    assert luhn(card) and card != "4111111111111111" and made[1] == f"{card} 123"
+    phone = re.fullmatch(r"(\d{3}-\d{3}-\d{4}) 2024-01-01", made[2])[1]
+    assert phone != "555-123-4567" and made[3].startswith(f"call {phone} ") and "555-987-6543" not in made[3]
+    assert made[4] == f"12 {phone}" and made[7] == texts[7]
+    assert made[5].startswith(f"{card} ") and "10.0.0.1" not in made[5]
+    assert made[6] == f"{card} {phone.replace('-', '.')}" and made[9].startswith(f"{card} ") and "x.de" not in made[9]
+    assert re.fullmatch(r"3\d{3} \d{6} \d{5} 1234", made[8]) and "822463" not in made[8]
