@@ -144,12 +144,21 @@ def _without_id(documents: DataFrame, extract: J.Extractor) -> DataFrame:
 def keep_one(documents: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each class (that of the smallest id), with its own columns.
 
-    Of rows that repeat a kept id, one row stays; rows without an id all stay.
+    Each row is judged by its own text: rows that share an id and have different texts
+    are documents of their own, the smallest hash of id and text being the first of one
+    id. Of rows that share id and text one stays; rows without an id all stay.
     """
-    found = near_duplicates(documents, size, percent)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    stay = documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
-    return stay.filter(F.col("doc_id").isNull()).union(stay.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    known = documents.filter(F.col("doc_id").isNotNull())
+    keyed = known.select(F.col("doc_id").alias("_id"), "text", key.alias("doc_id"))
+    found = near_duplicates(keyed.select("doc_id", "text"), size, percent).filter("n_shingles > 0").select("doc_id", "component_id").distinct()
+    members, at = keep(found.join(keyed.select("doc_id", "_id").distinct(), "doc_id"), "members")
+    first = members.groupBy("component_id").agg(F.min_by("doc_id", F.struct("_id", "doc_id")).alias("_first"))
+    gone, gone_at = keep(members.join(first, "component_id").filter("doc_id <> _first").select(F.col("doc_id").alias("_gone")), "gone")
+    drop(documents.sparkSession, at)
+    own = known.withColumn("_key", key)
+    stay = own.join(gone, own["_key"] == gone["_gone"], "left_anti").dropDuplicates(["_key"]).drop("_key")
+    return documents.filter(F.col("doc_id").isNull()).union(stay)
 
 
 #: The registered query in DuckDB SQL: all pairs that share a shingle, and their closure.

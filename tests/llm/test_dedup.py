@@ -53,6 +53,13 @@ def test_keep_one_of_each_class(documents, table):
     assert got.count(None) == 1
 
 
+def test_keep_one_judges_rows_that_share_an_id_by_their_texts(spark):
+    text = lambda k: " ".join(f"d{k}w{j}" for j in range(30))
+    rows = [(0, text(k)) for k in range(20)] + [(0, text(3)), (5, text(4)), (6, text(50)), (6, text(51)), (7, text(51) + " more"), (8, "one"), (3, "one")]
+    got = [tuple(r) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got) == sorted([(0, text(k)) for k in range(20)] + [(6, text(50)), (6, text(51)), (3, "one")])
+
+
 def test_line_dedup(documents, table):
     out = line_dedup.dedup_lines(documents)
     assert out.columns == documents.columns
