@@ -32,7 +32,7 @@ LEAST_VALUE = 8
 
 # Patterns of the weak kinds.
 IDENTIFIER = r"""(?i)(?:client_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
-SECRET = r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,63}[0-9])(?=[A-Za-z0-9+/_-]{0,63}[A-Z])(?=[A-Za-z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])"""
+SECRET = r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"""
 ENDPOINT = r"""(?i)(?:[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]+|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,8}:[0-9]{2,5}\b)"""
 
 

@@ -92,6 +92,15 @@ def test_secrets(spark):
     assert S.scan(spark.createDataFrame([], X.SCHEMA)).collect() == []
 
 
+def test_long_weak_secrets(spark):
+    keys = [("aB3+" * 130)[:n] for n in (64, 65, 88, 500)] + ["x" * 80 + "Y1", "aB3/" * 21 + "aB==", "x" * 90, "aB3+" * 30_000]
+    rows = [(k, f"account_id=store7 https://h.example/x {key}") for k, key in enumerate(keys)]
+    for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found = [x for x in r.spans.split(",") if x]
+        key = keys[r.doc_id]
+        assert found == ([] if key == "x" * 90 else ["identifier:0:17", "endpoint:18:37", f"secret:38:{38 + len(key)}"])
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
