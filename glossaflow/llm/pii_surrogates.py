@@ -15,7 +15,10 @@ first digit and get a valid check digit, phones keep what stands before the last
 digits. E-mail addresses keep the pattern of letters, digits and signs and end in the
 reserved ``.example``; one domain has one surrogate. Names keep title, case and script,
 and their endings follow the title's gender; given and family names are entities of
-their own, so a family name alone stays linked. All distinct entities are checked for
+their own, so a family name alone stays linked. A name goes on over all capitalised words
+after the title (16 at most), with particles and initials, which stay; the last one is
+the family name. Words of a row's names are replaced in the rest of its text as well,
+where they are capitalised; each such mention counts as an entity. All distinct entities are checked for
 equal surrogates: those after the first get a numbered form, and what still meets gets
 a long hash form.
 
@@ -37,7 +40,10 @@ CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 PHONE = r"(?<![0-9])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9]{8,15})(?![0-9])"
 MALE = r"Mr|Mister|Herr|Monsieur|Señor|Господин"
 FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Госпожа"
-NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+PARTICLE = r"(?:de|del|della|der|den|da|di|do|dos|du|van|von|vom|zu|zum|zur|la|le|ten|ter|al|bin|ibn|y)"
+_WORD = r"\p{Lu}\p{L}+(?:['-](?!s(?!\p{L}))\p{L}+){0,4}|\p{Lu}(?:['-](?!s(?!\p{L}))\p{L}+){1,4}"
+_LINKS = rf"(?:(?:{PARTICLE}|\p{{Lu}}\.) ){{0,4}}"
+NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? {_LINKS}(?:{_WORD})(?: {_LINKS}(?:{_WORD})){{0,15}}"
 # Digits with spaces and hyphens, in which cards and phones are looked for. The last
 # group is left to an address or a dotted phone that begins with it.
 RUN = r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){8})[0-9][0-9 -]*(?<=[0-9])(?![0-9]|[A-Za-z0-9._%+-]{0,64}@)(?!(?<=[ -][0-9]{1,4})\.[0-9]{1,4}[. -][0-9])"
@@ -113,7 +119,7 @@ def _components(raw: Column) -> Column:
     gender = F.when(F.rlike(raw, F.lit(rf"\A(?:{FEMALE})\.? ")), "female").otherwise("male")
     named = lambda kind, text: F.struct(kind.alias("kind"), F.lower(text).alias("canon"), text.alias("raw"))
     name = F.transform(words, lambda w, i: (
-        F.when(i == 0, part(None, F.lit(None).cast("string"), w))
+        F.when((i == 0) | F.rlike(w, F.lit(rf"\A(?:{PARTICLE}|\p{{Lu}}\.)\z")), part(None, F.lit(None).cast("string"), w))
         .when(i == F.size(words) - 1, named(F.concat_ws(":", F.lit("name"), F.lit("any"), script), w))
         .otherwise(named(F.concat_ws(":", F.lit("name"), gender, script), w))
     ))
@@ -225,6 +231,21 @@ def _laid_out(raw: Column, made: Column, kind: Column) -> Column:
     )
 
 
+def _mentions(gap: Column, names: Column) -> Column:
+    """Text between matches with words of ``names`` replaced: ``text`` and the number of mentions."""
+    words = F.split(gap, r"(?<=\p{L})(?!['-]?\p{L})|(?<=\p{L})(?=['-]s(?!\p{L}))|(?<![\p{L}])(?<!\p{L}['-])(?=\p{L})")
+    made = lambda w: F.when(F.rlike(w, F.lit(r"\A\p{Lu}")), F.get(F.filter(names, lambda n: n["canon"] == F.lower(w)), F.lit(0)))
+    found = F.transform(words, lambda w: F.struct(w.alias("raw"), made(w).alias("name")))
+    text = F.array_join(F.transform(found, lambda x: F.when(x["name"].isNull(), x["raw"]).otherwise(_laid_out(x["raw"], x["name"]["made"], x["name"]["kind"]))), "")
+    # Words with one space between them are one mention.
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("near"))
+    count = F.aggregate(found, start, lambda acc, x: F.struct(
+        (acc["n"] + F.when(x["name"].isNotNull() & (acc["near"] == 0), 1).otherwise(0)).alias("n"),
+        F.when(x["name"].isNotNull(), 2).when((acc["near"] == 2) & (x["raw"] == " "), 1).otherwise(0).alias("near"),
+    ), lambda acc: acc["n"])
+    return F.struct(text.alias("text"), count.alias("n"))
+
+
 def replace_entities(documents: DataFrame, key: str) -> DataFrame:
     """``doc_id, text, n_entities`` of every row, with surrogates in the text."""
     has = F.coalesce(F.rlike("text", F.lit(ENTITY)), F.lit(False))
@@ -244,7 +265,12 @@ def replace_entities(documents: DataFrame, key: str) -> DataFrame:
     text = F.when(F.col("name"), F.array_join(F.col("p.text"), " ")).otherwise(F.array_join(F.col("p.text"), ""))
     filled = one.select("row", F.when(F.col("name"), 1).otherwise(F.col("real")).alias("real"), F.struct("pos", text.alias("text")).alias("m"))
     by_row = filled.groupBy("row").agg(F.sort_array(F.collect_list("m")).alias("m"), F.sum("real").alias("n_entities"))
+    is_name = F.startswith("kind", F.lit("name:"))
+    names = named.filter(is_name).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("kind", "canon", "made"))).alias("names"))
     gaps = F.split("text", ENTITY, -1)
-    woven = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("m.text"), i), F.lit("")))), "")
-    changed = hits.join(by_row, "row").select("doc_id", woven.alias("text"), "n_entities")
+    rest = F.transform(gaps, lambda g: F.when(F.col("names").isNull(), F.struct(g.alias("text"), F.lit(0).alias("n"))).otherwise(_mentions(g, F.col("names"))))
+    both = hits.join(by_row, "row").join(names, "row", "left").withColumn("rest", rest)
+    woven = F.array_join(F.transform("rest", lambda g, i: F.concat(g["text"], F.coalesce(F.get(F.col("m.text"), i), F.lit("")))), "")
+    more = F.aggregate("rest", F.lit(0).cast("long"), lambda n, g: n + g["n"])
+    changed = both.select("doc_id", woven.alias("text"), (F.col("n_entities") + more).alias("n_entities"))
     return clean.union(changed)

@@ -171,3 +171,19 @@ def test_numbers_next_to_other_digits(spark):
     assert made[5].startswith(f"{card} ") and "10.0.0.1" not in made[5]
     assert made[6] == f"{card} {phone.replace('-', '.')}" and made[9].startswith(f"{card} ") and "x.de" not in made[9]
     assert re.fullmatch(r"3\d{3} \d{6} \d{5} 1234", made[8]) and "822463" not in made[8]
+
+
+def test_whole_names_and_mentions_without_title(spark):
+    texts = [
+        "Mr John Ronald Tolkien met Mr Tolkien. Tolkien said: John Ronald Tolkien's tolkien", "Frau Anna von der Heide and Heide",
+        "Mr J. Smith's house, Smith-Jones or Smith", "Tolkien alone",
+    ]
+    got = P.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    made, count = {r.doc_id: r.text for r in got}, {r.doc_id: r.n_entities for r in got}
+    m = re.fullmatch(r"Mr (\w+) (\w+) (\w+) met Mr (\w+)\. (\w+) said: (\w+) (\w+) (\w+)'s tolkien", made[0])
+    assert m and m[3] == m[4] == m[5] == m[8] and (m[1], m[2]) == (m[6], m[7]) and len({"John", "Ronald", "Tolkien", m[1], m[2], m[3]}) == 6
+    m = re.fullmatch(r"Frau (\w+) von der (\w+) and (\w+)", made[1])
+    assert m and m[2] == m[3] != "Heide"
+    m = re.fullmatch(r"Mr J\. (\w+)'s house, Smith-Jones or (\w+)", made[2])
+    assert m and m[1] == m[2] != "Smith" and made[3] == texts[3]
+    assert count == {0: 4, 1: 2, 2: 2, 3: 0}
