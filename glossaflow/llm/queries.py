@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.llm import (
     decontaminate,
+    hard_negatives,
     line_dedup,
     ngram_join,
     packing,
@@ -78,6 +79,11 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return secret_scan.scan(_table(spark, d, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector and its positives."""
+    return hard_negatives.mine(_table(spark, d, "embeddings"))
+
+
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_decontaminate": op2_decontaminate,
@@ -89,6 +95,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others have brute-force tests.
@@ -97,4 +104,5 @@ ORACLE: dict[str, str] = {
     "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op8_ngram_join": ngram_join.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
