@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.llm import (
     decontaminate,
+    filter_audit,
     hard_negatives,
     line_dedup,
     ngram_join,
@@ -79,6 +80,11 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return secret_scan.scan(_table(spark, d, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of every source, order of the five filters and step."""
+    return filter_audit.audit(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
 def op13_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     """Hard negatives of every fiftieth vector and its positives."""
     return hard_negatives.mine(_table(spark, d, "embeddings"))
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op12_filter_audit": op12_filter_audit,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -104,5 +111,6 @@ ORACLE: dict[str, str] = {
     "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op8_ngram_join": ngram_join.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
     "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
