@@ -10,6 +10,7 @@ from glossaflow.llm import (
     decontaminate,
     filter_audit,
     hard_negatives,
+    language_id,
     line_dedup,
     ngram_join,
     packing,
@@ -80,6 +81,11 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return secret_scan.scan(_table(spark, d, "documents"))
 
 
+def op11_language_id(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every document."""
+    return language_id.identify(_table(spark, d, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, d: str) -> DataFrame:
     """Counts of every source, order of the five filters and step."""
     return filter_audit.audit(_table(spark, d, "documents"), _table(spark, d, "labels"))
@@ -101,6 +107,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_language_id": op11_language_id,
     "op12_filter_audit": op12_filter_audit,
     "op13_hard_negatives": op13_hard_negatives,
 }
