@@ -74,9 +74,9 @@ def test_equals_brute_force(spark, monkeypatch, stripe, block):
     monkeypatch.setattr(H, "TILE", 256)
     table = vectors(2, 300, 6)
     table += [table[50]] * 3 + [table[7]] * 40 + [(50, table[51][1], 2, 0.0, 1, "x")]
-    table += [(400, None, 1, 0, 1, ""), (450, [1.0, None], 1, 0, 1, ""), (500, [float("nan")] * 6, 1, 0, 1, ""),
-              (550, [float("inf")] * 6, 1, 0, 1, ""), (600, table[3][1], None, 0, 1, ""), (650, [], 1, 0, 1, ""),
-              (700, [2.0], 1, 0, 1, ""), (-50, table[4][1], -5, 0, 1, ""), (-7, table[4][1], -1, 0, 1, "")]
+    table += [(400, None, 1, 0.0, 1, ""), (450, [1.0, None], 1, 0.0, 1, ""), (500, [float("nan")] * 6, 1, 0.0, 1, ""),
+              (550, [float("inf")] * 6, 1, 0.0, 1, ""), (600, table[3][1], None, 0.0, 1, ""), (650, [], 1, 0.0, 1, ""),
+              (700, [2.0], 1, 0.0, 1, ""), (-50, table[4][1], -5, 0.0, 1, ""), (-7, table[4][1], -1, 0.0, 1, "")]
     table += [(None, v, label, 0.0, 1, "x") for _, v, label, *_ in table[:9]]
     df = spark.createDataFrame(table, SCHEMA).repartition(5)
     got = H.mine(df)
