@@ -35,6 +35,7 @@ from glossaflow.llm.words import blocks
 WINDOW, DIMS, WIDTHS, FILTERS = 256, 6, (2, 3, 5), 12
 WIDEST = max(WIDTHS)
 LANGUAGES, SAMPLE_TEXTS, SAMPLE_WINDOWS = 256, 512, 4
+SHARES = 64
 EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 300, 128, 0.01
 UNKNOWN = "und"
 PAD = 256
@@ -200,8 +201,11 @@ def sample(documents: DataFrame, texts: int = SAMPLE_TEXTS, many: int = SAMPLE_W
     usable = documents.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")) & has_letter(F.col("text"))
     ).withColumn("h", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy("h")
-    chosen = usable.select("lang", "h").distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= texts)
+    chosen = usable.select("lang", "h", F.pmod("h", F.lit(SHARES)).alias("_share")).distinct()
+    # First inside shares of a language's texts, so that no task sees more than a few shares' choice.
+    for by in (("lang", "_share"), ("lang",)):
+        order = Window.partitionBy(*by).orderBy("h")
+        chosen = chosen.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= texts)
     named = documents.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("_rows"))
     named = named.orderBy(F.desc("_rows"), "lang").limit(LANGUAGES).select("lang")
     # At most LANGUAGES * texts numbers.
