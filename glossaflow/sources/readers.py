@@ -1,14 +1,16 @@
-"""Readers for JSON Lines, JSON arrays, Parquet corpora and path indexes."""
+"""Readers for JSON Lines, JSON arrays, Parquet and Arrow corpora, and path indexes."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossaflow.functions.text import is_blank, strip_ws
-from glossaflow.sources.ordering import decoded, index_columnar, index_lines
+from glossaflow.sources import arrow_shards
+from glossaflow.sources.ordering import decoded, file_counts, index_columnar, index_lines, overlapping
 
 CHAT_SCHEMA = (
     "messages ARRAY<STRUCT<role: STRING, content: STRING>>, audios ARRAY<STRING>"
@@ -51,17 +53,34 @@ def resolve_inputs(spark: SparkSession, pattern: str) -> list[str]:
     return paths
 
 
-def _lines(spark: SparkSession, paths: str | list[str], glob: str | None) -> DataFrame:
+def _lines(spark: SparkSession, paths: str | list[str], glob: str | None, separator: str | None = None) -> DataFrame:
     reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(paths).select(
-        decoded(F.col("_metadata.file_path")).alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        "value",
+    if separator:
+        reader = reader.option("lineSep", separator)
+    return reader.text(paths)
+
+
+def _placed(lines: DataFrame, on_blank: str) -> DataFrame:
+    """Lines that take a position, with their file and split."""
+    if on_blank not in ("skip", "fail"):
+        raise ValueError("on_blank is 'skip' or 'fail'")
+    if on_blank == "skip":
+        lines = lines.filter(~is_blank(F.col("value")))
+    return lines.select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), "value"
     )
 
 
+def count_lines(
+    spark: SparkSession, paths: str | list[str], on_blank: str = "skip", glob: str | None = None
+) -> DataFrame:
+    """Stored table of line files, the positions in each and before it, for ``read_jsonl(files=...)``."""
+    lines = _lines(spark, paths, glob)
+    return file_counts(lines.filter(~is_blank(F.col("value"))) if on_blank == "skip" else lines)
+
+
 def read_jsonl(
     spark: SparkSession,
     paths: str | list[str],
@@ -69,6 +88,8 @@ def read_jsonl(
     on_blank: str = "skip",
     glob: str | None = None,
     required: Sequence[str] = (),
+    rows: tuple[int, int] | None = None,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """One record per line, with ``row_idx`` and ``file`` in front.
 
@@ -76,36 +97,52 @@ def read_jsonl(
 
     ``on_blank="skip"`` leaves blank lines out (they take no position);
     ``"fail"`` stops at them. A malformed line always stops the job.
+
+    ``rows=(start, stop)`` keeps the positions from ``start`` up to ``stop`` and reads
+    only the files that hold them, by the table ``files`` of :func:`count_lines`
+    (counted here where none is kept).
     """
-    value = F.col("value")
-    lines = _lines(spark, paths, glob)
-    if on_blank == "skip":
-        lines = lines.filter(~is_blank(value))
-    elif on_blank != "fail":
-        raise ValueError("on_blank is 'skip' or 'fail'")
+    value, base = F.col("value"), 0
+    if rows is not None:
+        files = count_lines(spark, paths, on_blank, glob) if files is None else files
+        paths, base = overlapping(files, *rows)
+        if not paths:
+            return spark.createDataFrame([], f"row_idx BIGINT, file STRING, {schema}")
+        glob = None
+    lines = index_lines(_placed(_lines(spark, paths, glob), on_blank))
+    if rows is not None:
+        lines = lines.withColumn("row_idx", F.col("row_idx") + base)
+        lines = lines.filter((F.col("row_idx") >= rows[0]) & (F.col("row_idx") < rows[1]))
     # Only lines that do not begin and end like an object need stripping.
     bare = F.when(F.startswith(value, F.lit("{")) & F.endswith(value, F.lit("}")), value)
     parsed = F.from_json(F.coalesce(bare, strip_ws(value)), schema, {"mode": "FAILFAST"})
-    record = F.when(~is_blank(value), parsed).otherwise(
-        F.raise_error(F.concat(F.lit("blank line in "), F.col("file")))
-    )
-    rows = index_lines(lines).select("row_idx", "file", record.alias("_r")).select(
-        "row_idx", "file", "_r.*"
-    )
+
+    def stop(message: str):
+        return F.raise_error(F.concat(F.lit(message), decoded(F.col("uri"))))
+
+    record = F.when(~is_blank(value), parsed).otherwise(stop("blank line in "))
+    out = lines.select("row_idx", "file", "uri", record.alias("_r")).select("row_idx", "file", "uri", "_r.*")
     for name in required:
-        absent = F.raise_error(F.concat(F.lit(f"no {name} in a record of "), F.col("file")))
-        rows = rows.withColumn(name, F.when(F.col(name).isNotNull(), F.col(name)).otherwise(absent))
-    return rows
+        out = out.withColumn(
+            name, F.when(F.col(name).isNotNull(), F.col(name)).otherwise(stop(f"no {name} in a record of "))
+        )
+    return out.drop("uri")
 
 
 def read_jsonl_dir(
-    spark: SparkSession, folder: str, schema: str, glob: str = "*.jsonl", required: Sequence[str] = ()
+    spark: SparkSession,
+    folder: str,
+    schema: str,
+    glob: str = "*.jsonl",
+    required: Sequence[str] = (),
+    rows: tuple[int, int] | None = None,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """All line files of a folder whose name fits ``glob``, in path order.
 
     What :func:`write_jsonl` wrote is read with ``glob="*.json"``.
     """
-    return read_jsonl(spark, folder, schema, glob=glob, required=required)
+    return read_jsonl(spark, folder, schema, glob=glob, required=required, rows=rows, files=files)
 
 
 def read_chat(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -132,34 +169,120 @@ def read_corpus(
     path: str,
     columns: list[str] | None = None,
     split: str | None = None,
+    rows: tuple[int, int] | None = None,
+    files: DataFrame | None = None,
+    format: str = "parquet",
 ) -> DataFrame:
-    """Sharded Parquet corpus with ``row_idx``; shards count in name order.
+    """Sharded corpus with ``row_idx``; shards count in name order.
 
     ``split`` picks the shards whose name contains ``-<split>-`` or starts with
-    ``<split>-``.
+    ``<split>-``. ``rows=(start, stop)`` keeps those positions and reads only the shards
+    that hold them, by the table ``files`` of :func:`count_corpus` (counted here where
+    none is kept). ``format`` is ``parquet`` or ``arrow`` (Arrow IPC, stream or file),
+    whose record batches are counted and skipped one by one.
     """
+    if format == "arrow":
+        return arrow_shards.read(spark, path, columns, _of_split(split, "arrow"), rows)
+    if format != "parquet":
+        raise ValueError("format is 'parquet' or 'arrow'")
+    scan = _corpus(spark, path, split)
+    if rows is None:
+        return index_columnar(scan, columns, files)
+    files = file_counts(scan) if files is None else files
+    paths, _ = overlapping(files, *rows)
+    names = columns or scan.columns
+    if not paths:
+        empty = spark.createDataFrame([], scan.schema).select(*names)
+        return empty.select(F.lit(0).cast("long").alias("row_idx"), *names)
+    part = index_columnar(spark.read.schema(scan.schema).parquet(*paths), names, files)
+    return part.filter((F.col("row_idx") >= rows[0]) & (F.col("row_idx") < rows[1]))
+
+
+def count_corpus(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """Stored table of a Parquet corpus's shards with their rows, from the footers."""
+    return file_counts(_corpus(spark, path, split))
+
+
+def _of_split(split: str | None, suffix: str) -> str:
+    return f"{{*-,}}{split}-*.{suffix}" if split else f"*.{suffix}"
+
+
+def _corpus(spark: SparkSession, path: str, split: str | None) -> DataFrame:
     reader = spark.read
     if split:
-        reader = reader.option("pathGlobFilter", f"{{*-,}}{split}-*.parquet")
-    return index_columnar(reader.parquet(path), columns)
+        reader = reader.option("pathGlobFilter", _of_split(split, "parquet"))
+    return reader.parquet(path)
+
+
+# One whole entry between two commas, with the object's brackets at either end.
+_ENTRY = r'(?s)\A\s*\{?\s*("(?:[^"\\]|\\.)*+"\s*:\s*-?[0-9]+)\s*\}?\s*\z'
+_NOTHING = r"\A\s*\{?\s*\}?\s*\z"
+# The end of an entry: a quote that is no part of the string, and the number.
+_CLOSES = r'(?s)(?<!\\)(?:\\\\)*"\s*:\s*-?[0-9]+\s*\}?\s*\z'
 
 
 def read_path_index(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:
     """Rows ``(audio_path, idx, split)`` of JSON objects ``{path: position}``.
 
-    ``files`` maps a split name to the place of its objects; splits whose place
-    does not exist are left out.
+    ``files`` maps a split name to the place of its objects, one object per file;
+    splits whose place does not exist are left out, with a warning where none is left.
+
+    Files are read in splits and cut at commas, so an object of any size is many rows
+    from the start. A path that holds commas itself comes in pieces, which are put
+    together again in file order. What is no entry stops the job.
     """
     found = {s: p for s, p in files.items() if exists(spark, p)}
     if not found:
-        raise FileNotFoundError(f"no path index among {list(files.values())}")
+        warnings.warn(f"no path index among {list(files.values())}: the cache is empty", stacklevel=2)
+        return spark.createDataFrame([], "audio_path STRING, idx BIGINT, split STRING")
     rows = None
     for split, place in found.items():
-        whole = spark.read.option("wholetext", True).text(place)
-        one = whole.select(
-            F.explode(
-                F.from_json("value", "MAP<STRING, BIGINT>", {"mode": "FAILFAST"})
-            ).alias("audio_path", "idx")
-        ).withColumn("split", F.lit(split))
+        one = _entries(_lines(spark, place, None, ",")).withColumn("split", F.lit(split))
         rows = one if rows is None else rows.unionByName(one)
     return rows
+
+
+def _entries(pieces: DataFrame) -> DataFrame:
+    """``audio_path, idx`` of the entries that ``pieces`` (text between commas) make up."""
+    value = F.col("value")
+    placed = pieces.select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_mono"), "value",
+    )
+    whole = F.rlike(value, F.lit(_ENTRY))
+    # An object without entries; between other pieces, such text is part of a path.
+    cut = _joined(placed.filter(~whole)).filter(~F.rlike(value, F.lit(_NOTHING)))
+    return _parsed(placed.filter(whole)).unionByName(_parsed(cut))
+
+
+def _parsed(entries: DataFrame) -> DataFrame:
+    entry = F.regexp_extract("value", _ENTRY, 1)
+    known = F.when(entry != "", entry).otherwise(
+        F.raise_error(F.concat(F.lit("no entry of a path index: "), F.left("value", F.lit(100))))
+    )
+    parsed = F.from_json(F.concat(F.lit("{"), known, F.lit("}")), "MAP<STRING, BIGINT>", {"mode": "FAILFAST"})
+    return entries.select(F.explode(parsed).alias("audio_path", "idx"))
+
+
+def _joined(pieces: DataFrame) -> DataFrame:
+    """Texts of entries that commas have cut: each begins behind the piece that ends another one.
+
+    Pieces of one split are joined there. What a split begins or ends within an entry is
+    at most one text at either end, and these few are joined in the order of the splits.
+    """
+    closes = F.rlike("value", F.lit(_CLOSES)).cast("int")
+
+    def runs(rows: DataFrame, order: list[str], *by: str) -> DataFrame:
+        before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        numbered = rows.withColumn("_run", F.coalesce(F.sum("_closes").over(before), F.lit(0)))
+        parts = F.array_sort(F.collect_list(F.struct(*order, "value")))
+        return numbered.groupBy(*by, "_run").agg(
+            F.array_join(F.transform(parts, lambda p: p["value"]), ",").alias("value"),
+            F.max("_closes").alias("_closes"),
+        )
+
+    inside = runs(pieces.withColumn("_closes", closes), ["_mono"], "_file", "_start")
+    # The first run may go on from the split before, the one that does not close goes on in the next.
+    at_edge = (F.col("_run") == 0) | (F.col("_closes") == 0)
+    across = runs(inside.filter(at_edge).withColumn("_place", F.col("_run")), ["_start", "_place"], "_file")
+    return inside.filter(~at_edge).select("value").unionByName(across.select("value"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import SparkSession
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
+
+_held: set[str] = set()
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def local_session(cores: str | int = 8, app: str = "glossaflow") -> SparkSession:
@@ -34,3 +40,53 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared scratch folder as it stands, and read back.
+
+    Cuts the lineage of rows that are dear to compute: what follows may scan
+    them twice (range partitioning samples its input) or lose an executor
+    without computing them again. A table that is stored already is returned
+    as it is. :func:`discard` deletes it; what is left goes with the application.
+    """
+    if df in _places:
+        return df
+    path = scratch_path(df.sparkSession, label)
+    _held.add(path)
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[back] = path
+    return back
+
+
+def stored_bytes(table: DataFrame) -> int:
+    """Bytes that a table made by :func:`stored` takes."""
+    at, fs = _location(table.sparkSession.sparkContext, _places[table])
+    return fs.getContentSummary(at).getLength()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`stored`."""
+    for table in tables:
+        path = _places.pop(table)
+        _delete(table.sparkSession.sparkContext, path)
+
+
+def _location(context: SparkContext, path: str):
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def _delete(context: SparkContext, path: str) -> None:
+    at, fs = _location(context, path)
+    fs.delete(at, True)
+    _held.discard(path)
+
+
+@atexit.register
+def _delete_rest() -> None:
+    context = SparkContext._active_spark_context
+    if context is not None and context._jsc is not None:
+        for path in list(_held):
+            _delete(context, path)

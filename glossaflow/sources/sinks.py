@@ -1,65 +1,86 @@
-"""Writers. Output keeps row order: part names sort like the rows they hold."""
+"""Writers. Output keeps row order: part names sort like the rows they hold.
+
+Rows are stored as they are computed, once; their measured size gives the number of
+tasks and files, and a lost executor repeats a copy at most.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossaflow.sources.scratch import scratch_path
+from glossaflow.sources.ordering import tasks_for
+from glossaflow.sources.scratch import discard, stored, stored_bytes
 
-# Rows per JSON array or object; such a file is read back by a single task.
-RECORDS_PER_ARRAY = 5_000
-UNPLACED_ARRAYS = 1_000
 
+def _tasks(table: DataFrame) -> int:
+    return tasks_for(table.sparkSession, stored_bytes(table))
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared scratch folder as it stands, and read back.
 
-    Cuts the lineage of rows that are dear to compute: what follows may scan
-    them twice (range partitioning samples its input) or lose an executor
-    without computing them again.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _by_position(df: DataFrame, order: str) -> DataFrame:
-    """Rows in contiguous, equally long runs of positions, sorted inside.
-
-    Only the highest position is computed beforehand. Range partitioning would
-    evaluate whole rows twice, once for its sample.
-    """
-    top = df.agg(F.max(order)).first()[0] or 0
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    run = -(-(top + 1) // parts)
-    part = F.floor(F.col(order) / run).cast("int")
-    return df.repartitionById(parts, part).sortWithinPartitions(order)
+def _release(table: DataFrame, given: DataFrame) -> None:
+    if table is not given:
+        discard(table)
 
 
 def write_jsonl(df: DataFrame, path: str, order: str = "row_idx") -> None:
     """One JSON object per line, in ``order``; the order column is not written.
 
-    Absent fields are left out of the objects.
+    Absent fields are left out of the objects. Positions are cut into equally long
+    runs, one per file; rows without a position stand at the end of the last one.
     """
-    _by_position(df, order).drop(order).write.mode("overwrite").json(path)
+    table = stored(df, "rows")
+    top = table.agg(F.max(order)).first()[0] or 0
+    parts = _tasks(table)
+    run = F.floor(F.col(order) / F.lit(top + 1) * parts).cast("int")
+    part = F.coalesce(F.least(run, F.lit(parts - 1)), F.lit(parts - 1))
+    (
+        table.repartitionById(parts, part).sortWithinPartitions(F.col(order).asc_nulls_last()).drop(order)
+        .write.mode("overwrite").json(path)
+    )
+    _release(table, df)
+
+
+def _bracketed(begin: str, end: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines that make one JSON value of all items of a partition, streamed."""
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = begin
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            items = batch.column(0).cast(pa.large_string())
+            leads = pa.array([lead] + [","] * (len(items) - 1), pa.large_string())
+            joined = pc.binary_join_element_wise(leads, items, pa.scalar("", pa.large_string()))
+            yield pa.RecordBatch.from_arrays([joined.cast(pa.string())], ["value"])
+            lead = ","
+        if lead == ",":
+            yield pa.RecordBatch.from_arrays([pa.array([end])], ["value"])
+    return lines
+
+
+def _write_bracketed(df: DataFrame, path: str, order: str, item: Column, marks: str) -> None:
+    table = stored(df, "rows")
+    # The place in the stored table tells rows of one id, or of none, apart.
+    key = F.col(order).asc_nulls_last(), F.col("_place").asc()
+    ranged = (
+        table.withColumn("_place", F.monotonically_increasing_id())
+        .repartitionByRange(_tasks(table), *key).sortWithinPartitions(*key)
+    )
+    ranged.select(item.alias("value")).mapInArrow(_bracketed(*marks), "value string").write.mode("overwrite").text(path)
+    _release(table, df)
 
 
 def write_predictions(df: DataFrame, path: str, order: str = "id") -> None:
-    """Prediction rows as JSON arrays, a bounded number of rows per file."""
-    # Rows without a position are dealt by their content, so they form no one group.
-    spread = -1 - F.pmod(F.xxhash64(*df.columns), F.lit(UNPLACED_ARRAYS))
-    chunk = F.coalesce(F.floor(F.col(order) / RECORDS_PER_ARRAY), spread)
-    rows = df.select(chunk.alias("_chunk"), F.struct(*df.columns).alias("_row"), order)
-    arrays = rows.groupBy("_chunk").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("_k"), "_row"))).alias("_a")
-    )
-    text = F.to_json(F.transform("_a", lambda x: x["_row"]), {"ignoreNullFields": "false"})
-    (
-        arrays.select("_chunk", text.alias("value"))
-        .repartitionByRange("_chunk").sortWithinPartitions("_chunk").select("value")
-        .write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
-    )
+    """Prediction rows as JSON arrays, one per file, in ``order``; rows without an id come last.
+
+    An array is written as its rows pass by, a row to a line, so none is ever held
+    whole. Files are bounded by their bytes, however many rows share an id or have none.
+    """
+    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    _write_bracketed(df, path, order, row, "[]")
 
 
 def write_report(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -74,23 +95,17 @@ def write_sharded(df: DataFrame, path: str, shard: str = "shard", order: str = "
     """One folder ``<shard>=<name>`` per input shard, from a single job.
 
     Rows are ranged over (shard, order), so a huge shard is written by many
-    tasks, and small shards share one. Pass :func:`stored` predictions.
+    tasks, and small shards share one.
     """
+    table = stored(df, "rows")
     (
-        df.repartitionByRange(shard, order).sortWithinPartitions(shard, order)
+        table.repartitionByRange(_tasks(table), shard, order).sortWithinPartitions(shard, order)
         .write.mode("overwrite").partitionBy(shard).json(path)
     )
+    _release(table, df)
 
 
 def write_path_index(index: DataFrame, path: str) -> None:
-    """JSON objects ``{audio_path: idx}``, a bounded number of paths per file."""
-    chunk = F.floor(F.col("idx") / RECORDS_PER_ARRAY).alias("_chunk")
-    objects = index.select(chunk, "audio_path", "idx").groupBy("_chunk").agg(
-        F.to_json(
-            F.map_from_entries(F.collect_list(F.struct("audio_path", "idx")))
-        ).alias("value")
-    )
-    (
-        objects.select("value")
-        .write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
-    )
+    """JSON objects ``{audio_path: idx}``, one per file, streamed and bounded by bytes."""
+    entry = F.to_json(F.create_map("audio_path", "idx"))
+    _write_bracketed(index, path, "idx", F.substring(entry, F.lit(2), F.length(entry) - 2), "{}")

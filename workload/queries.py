@@ -16,7 +16,7 @@ from glossaflow.operators.predict import batch_predict
 from glossaflow.plans import datasets as D
 from glossaflow.plans import feature_cache, prediction, reports
 from glossaflow.sources import readers, sinks
-from glossaflow.sources.ordering import index_columnar
+from glossaflow.sources.ordering import close_up, index_columnar
 from glossaflow.sources.scratch import scratch_path
 from workload import views as V
 
@@ -79,11 +79,9 @@ def _speech(spark, d) -> DataFrame:
     return D.speech_records(V.corpus(spark, d), V.FOLDER, SYSTEM, INSTRUCTION)
 
 
-def _written_speech(spark, d) -> DataFrame:
-    """Speech records after a trip through JSON Lines: positions closed up."""
-    path = scratch_path(spark, "speech")
-    sinks.write_jsonl(_speech(spark, d), path)
-    return readers.read_chat(spark, path)
+def _kept_speech(spark, d) -> DataFrame:
+    """Speech records as a file of them is read: positions closed up over skipped rows."""
+    return close_up(_speech(spark, d))
 
 
 # -- sources and sinks --------------------------------------------------------
@@ -222,12 +220,12 @@ def text_chat_records(spark, d):
 
 
 def two_step_records(spark, d):
-    records = _written_speech(spark, d)
+    records = _kept_speech(spark, d)
     return _flat(D.two_step_records(records, V.corpus(spark, d), SYSTEM, INSTRUCTION))
 
 
 def positional_join(spark, d):
-    records = _written_speech(spark, d)
+    records = _kept_speech(spark, d)
     joined = O.positional_join(records, V.corpus(spark, d), "sentence")
     return joined.select(
         "row_idx", R.first_media(F.col("audios")).alias("audio"), "sentence"
@@ -235,14 +233,14 @@ def positional_join(spark, d):
 
 
 def keyed_join(spark, d):
-    records = _written_speech(spark, d)
+    records = _kept_speech(spark, d)
     path = R.first_media(F.col("audios"))
     joined = O.keyed_join(records, V.corpus(spark, d), path, "sentence")
     return joined.select("row_idx", path.alias("audio"), "sentence")
 
 
 def alignment_check(spark, d):
-    return D.target_mismatches(_written_speech(spark, d), V.corpus(spark, d))
+    return D.target_mismatches(_kept_speech(spark, d), V.corpus(spark, d))
 
 
 def prompt_records(spark, d):
@@ -277,11 +275,13 @@ def first_n_valid(spark, d):
 
 
 def head_n(spark, d):
-    return O.head_n(V.documents(spark, d).select("row_idx", "doc_id", "source"), 120, strict=True)
+    rows = V.slice_of(spark, d, "documents", 0, 120).select("row_idx", "doc_id", "source")
+    return O.head_n(rows, 120, strict=True)
 
 
 def slice_n(spark, d):
-    return O.slice_n(V.documents(spark, d).select("row_idx", "doc_id", "source"), 150, 100)
+    rows = V.slice_of(spark, d, "documents", 150, 250).select("row_idx", "doc_id", "source")
+    return O.slice_n(rows, 150, 100)
 
 
 # -- prediction ---------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions import text as X
 from glossaflow.operators.cache import path_index
-from glossaflow.sources.ordering import index_columnar, ingest, is_narrow
+from glossaflow.sources.ordering import file_counts, ingest, overlapping
 from glossaflow.sources.scratch import scratch_path
 
 VOWELS, IDEOGRAPHS = "aeiou", "天气很好的"
@@ -42,16 +42,16 @@ def _once(spark: SparkSession, d: str, name: str, write) -> DataFrame:
 
 
 def source(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A given table with ``row_idx``.
-
-    A table of very few splits would keep most cores idle, so it is ingested
-    into more files; larger tables are read in place.
-    """
-    path = f"{d}/{name}.parquet"
-    scan = index_columnar(spark.read.parquet(path))
-    if not is_narrow(scan):
-        return scan
-    return _once(spark, d, name, lambda out: ingest(spark, path, out))
+    """A given table with ``row_idx``, ingested once: positions stored, files of bounded size."""
+    return _once(spark, d, name, lambda out: ingest(spark, f"{d}/{name}.parquet", out))
+
+
+def slice_of(spark: SparkSession, d: str, name: str, start: int, stop: int) -> DataFrame:
+    """The files of a given table that hold positions ``start`` up to ``stop``."""
+    table = source(spark, d, name)
+    files = _once(spark, d, f"{name}-files", lambda out: file_counts(table).write.parquet(out))
+    paths, _ = overlapping(files, start, stop)
+    return spark.read.schema(table.schema).parquet(*paths) if paths else table.limit(0)
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
