@@ -76,11 +76,6 @@ def entities(c: Column) -> Column:
     return F.array_union(capitalized_words(c), numbers(c))
 
 
-def retained(found: Column, prediction: Column) -> Column:
-    """How many of ``found`` occur in ``prediction`` as substrings."""
-    return F.size(F.filter(found, lambda e: F.contains(prediction, e)))
-
-
 def media_path(folder: str | Column, ordinal: Column) -> Column:
     """Media file of a source row: the row's ordinal inside ``folder``."""
     base = folder if isinstance(folder, Column) else F.lit(folder)

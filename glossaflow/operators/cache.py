@@ -61,20 +61,32 @@ def with_aligned(rows: DataFrame, frames: str = "features", expected: str = "exp
     })
 
 
-def batch_concat(rows: DataFrame, batch_size: int, frames: str = "features") -> DataFrame:
+def batch_concat(
+    rows: DataFrame, batch_size: int, frames: str = "features", on_missing: str = "fail"
+) -> DataFrame:
     """Frames of each run of ``batch_size`` positions, joined in position order.
 
-    A batch holds ``batch_size`` rows at most, so groups stay bounded.
+    A batch holds ``batch_size`` rows at most, so groups stay bounded. A sample whose
+    frames are null stops the job and is named by its position; with
+    ``on_missing="report"`` it adds no frames, and ``missing`` counts such samples.
     """
+    if on_missing not in ("fail", "report"):
+        raise ValueError("on_missing is 'fail' or 'report'")
+    report = on_missing == "report"
     batch = F.floor(F.col("row_idx") / batch_size).alias("batch")
-    grouped = rows.select(batch, F.struct("row_idx", F.col(frames).alias("f")).alias("_x"))
+    there = F.col(frames).isNotNull()
+    known = F.col(frames) if report else F.when(there, F.col(frames)).otherwise(
+        F.raise_error(F.format_string("no frames for the sample at position %d", F.col("row_idx")))
+    )
+    grouped = rows.select(batch, F.struct("row_idx", known.alias("f")).alias("_x"))
     ordered = F.array_sort(F.collect_list("_x"))
     return (
         grouped.groupBy("batch").agg(ordered.alias("_xs"))
         .select(
             "batch",
             F.size("_xs").cast("bigint").alias("samples"),
-            F.flatten(F.transform("_xs", lambda x: x["f"])).alias(frames),
+            *([F.size(F.filter("_xs", lambda x: x["f"].isNull())).cast("bigint").alias("missing")] if report else []),
+            F.flatten(F.transform(F.filter("_xs", lambda x: x["f"].isNotNull()), lambda x: x["f"])).alias(frames),
         )
     )
 

@@ -14,6 +14,7 @@ from glossaflow import patterns as P
 from glossaflow.functions import scores as S
 from glossaflow.functions import text as X
 from glossaflow.functions.pair_stats import TOKEN_FIELDS, pair_stats
+from glossaflow.functions.retention import retained
 from glossaflow.operators.rows import is_valid
 
 
@@ -39,7 +40,7 @@ def with_entities(df: DataFrame, pred: str = "prediction", ref: str = "reference
         df.withColumn("_e", X.entities(F.col(ref)))
         .withColumns({
             "n_entities": F.size("_e").cast("bigint"),
-            "n_retained": X.retained(F.col("_e"), F.col(pred)).cast("bigint"),
+            "n_retained": retained(F.col("_e"), F.col(pred)),
         })
         .drop("_e")
     )

@@ -31,13 +31,17 @@ PAIR_SCHEMA = (
 )
 
 
-def exists(spark: SparkSession, pattern: str) -> bool:
-    """Whether a path or glob pattern names anything."""
+def named(spark: SparkSession, pattern: str) -> list[str]:
+    """What a path or glob pattern names."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(pattern)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(path)
-    return found is not None and len(found) > 0
+    return [status.getPath().toString() for status in fs.globStatus(path) or []]
+
+
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path or glob pattern names anything."""
+    return bool(named(spark, pattern))
 
 
 def resolve_inputs(spark: SparkSession, pattern: str) -> list[str]:

@@ -11,7 +11,7 @@ from glossaflow.operators import rows as O
 from glossaflow.operators.predict import batch_predict
 from glossaflow.plans import datasets, feature_cache, prediction, reports
 from glossaflow.sources import readers, sinks
-from glossaflow.streaming.incremental import fill_cache
+from glossaflow.streaming.incremental import bucket_of, cached_paths, fill_cache
 
 
 @pytest.fixture()
@@ -199,6 +199,11 @@ def test_batch_concat_and_audit(spark):
         [(0, [[1.0], [2.0]]), (1, [[3.0]]), (2, [[4.0]])], "row_idx bigint, features array<array<float>>").repartition(3)
     got = {r.batch: (r.samples, r.features) for r in C.batch_concat(feats, 2).collect()}
     assert got == {0: (2, [[1.0], [2.0], [3.0]]), 1: (1, [[4.0]])}
+    gap = feats.withColumn("features", F.when(F.col("row_idx") != 1, F.col("features")))
+    with pytest.raises(Exception, match="no frames for the sample at position 1"):
+        C.batch_concat(gap, 2).collect()
+    told = {r.batch: (r.samples, r.missing, r.features) for r in C.batch_concat(gap, 2, on_missing="report").collect()}
+    assert told == {0: (2, 1, [[1.0], [2.0]]), 1: (1, 0, [[4.0]])}
     todo = spark.createDataFrame([("p", 1), ("p", 2), ("q", 3), ("z", 3), ("e", 2)], "audio_path string, expected_len int")
     index = [("train", spark.createDataFrame([("p", 0), ("q", 1), ("e", 2)], "audio_path string, idx bigint"))]
     cached = spark.createDataFrame(
@@ -284,3 +289,31 @@ def test_system_report_needs_a_pair(spark):
     both = both.withColumn("pred", F.col("pred_zh")).withColumn("ref", F.col("ref_zh"))
     got = {r.model: (r.samples, r.files) for r in reports.system_report(both).collect()}
     assert got == {"m": (0, ["f1"]), "n": (1, ["f2"])}
+
+
+def test_a_batch_opens_only_its_own_buckets(spark, tmp_path):
+    src, cache, point = tmp_path / "src", str(tmp_path / "cache"), str(tmp_path / "point")
+    src.mkdir()
+    computed = []
+
+    def compute(df):
+        computed.append(sorted(r.audio_path for r in df.collect()))
+        return df.select("audio_path", F.length("audio_path").alias("n"))
+
+    def run(name, paths):
+        (src / name).write_text("".join(json.dumps({"audio_path": p, "row_idx": k}) + "\n" for k, p in enumerate(paths)))
+        stream = spark.readStream.schema("audio_path string, row_idx long").json(str(src))
+        fill_cache(stream, cache, compute, point, buckets=64).awaitTermination(120)
+
+    first = [f"/a/{k}" for k in range(200)]
+    run("1.json", first + first)
+    files = list((tmp_path / "cache").glob("bucket=*/*.parquet"))
+    folders = {f.parent.name for f in files}
+    assert len(files) == len(folders) > 50
+    run("2.json", ["/a/3", "/a/new", "/a/3"])
+    assert computed == [sorted(first), ["/a/new"]]
+    own = [r[0] for r in spark.createDataFrame([("/a/3",), ("/a/new",)], "p string").select(bucket_of(F.col("p"), 64)).collect()]
+    opened = cached_paths(spark, cache, own).inputFiles()
+    assert {f.split("/")[-2] for f in opened} == {f"bucket={b}" for b in own}
+    assert cached_paths(spark, cache, []).collect() == []
+    assert sorted(r.audio_path for r in spark.read.parquet(cache).collect()) == sorted([*first, "/a/new"])

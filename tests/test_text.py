@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from glossaflow.functions import frames, records
 from glossaflow.functions import text as X
+from glossaflow.functions.retention import count_found, retained
 
 SPACES = [
     c for c in map(chr, range(0x3001))
@@ -90,7 +92,7 @@ def test_tokens_and_entities(spark):
         "他叫Tom去", "Straße Zoo", "T_1 Tom_ Tom", "A Bc Bc"]) == [[], ["Zoo"], ["Tom"], ["Bc"]]
     assert apply(spark, X.numbers, ["2.5 １２ 3. 2.5"]) == [["2.5", "１２", "3."]]
     assert apply(spark, X.entities, ["Tom 12"]) == [["Tom", "12"]]
-    hits = lambda c: X.retained(F.array(F.lit("2"), F.lit("Tom")), c)
+    hits = lambda c: retained(F.array(F.lit("2"), F.lit("Tom")), c)
     assert apply(spark, hits, ["12", "tom", "Tomas 2"]) == [1, 0, 2]
 
 
@@ -140,3 +142,26 @@ def test_strip_padding(spark):
     row = df.select(frames.strip_padding(F.col("f"), F.col("m")).alias("f"),
                     frames.valid_length(F.col("m")).alias("n")).first()
     assert (row.f, row.n) == ([1], 1)
+
+
+def test_retained_equals_one_search_per_entity(spark):
+    rng = random.Random(4)
+    table = []
+    for _ in range(300):
+        text = "".join(rng.choice("AbAb12é天 ") for _ in range(rng.randint(0, 60)))
+        found = list({"".join(rng.choice("AbAb12é天") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 12))})
+        table.append((found, text))
+    table += [(None, "A"), (["A"], None), ([], "A"), (["1", "11", "111"], "1" * 50)]
+    df = spark.createDataFrame(table, "e array<string>, t string")
+    got = [r[0] for r in df.select(retained(F.col("e"), F.col("t"))).collect()]
+    assert got == [None if e is None else sum(x in (t or "") for x in e) for e, t in table]
+
+
+def test_many_entities_take_one_pass():
+    entities = [f"Word{k}" for k in range(20_000)]
+    text = " ".join(entities[::2]) + " x" * 200_000
+    began = time.perf_counter()
+    got = count_found(entities, text)
+    assert time.perf_counter() - began < 5
+    beginnings = {word[:n] for word in entities[::2] for n in range(len(word) + 1)}
+    assert got == sum(e in beginnings for e in entities)
