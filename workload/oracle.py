@@ -37,6 +37,10 @@ def words(c: str) -> str:
     )
 
 
+def digest(c: str) -> str:
+    return f"('0x' || left(md5({c}), 8))::BIGINT"
+
+
 def entities(c: str) -> str:
     found = f"regexp_extract_all({c}, '\\p{{Nd}}+\\.?\\p{{Nd}}*')"
     return f"list_distinct(list_concat({words(c)}, {found}))"
@@ -279,8 +283,19 @@ ORACLE = {
     "shard_fanout": f"""WITH {ASR}
         SELECT shard, count(*) AS total, count(*) FILTER (error IS NULL) AS ok,
           count(*) FILTER (error = 'empty src/ref') AS empty,
-          count(*) FILTER (error = 'OOM') AS oom, sum(length(pred_zh))::BIGINT AS pred_chars
+          count(*) FILTER (error = 'OOM') AS oom, sum(length(pred_zh))::BIGINT AS pred_chars,
+          sum({digest('pred_zh')})::BIGINT AS pred_digest
         FROM outcomes GROUP BY shard""",
+    "inputs_scan": f"""WITH {DOCS},
+        kept AS (
+          SELECT row_number() OVER (ORDER BY lang, row_idx) - 1 AS row_idx, doc_id, md5(text) AS text_md5
+          FROM docs WHERE lang IN ('de', 'fr'))
+        SELECT how, row_idx, doc_id, text_md5 FROM kept, (VALUES ('glob'), ('list')) AS t(how)""",
+    "report_files": f"""WITH {pairs()}
+        SELECT system, count(*) AS total, count(*) FILTER (status = 'ok') AS ok,
+          count(*) FILTER (status = 'ok' AND {strip('prediction')} <> '') AS valid, NULL::DOUBLE AS "COMET"
+        FROM pairs GROUP BY system""",
+    "test_chat_records": f"WITH {SPEECH} SELECT * FROM speech WHERE row_idx < 120",
     "normalize_text": f"WITH {RAW} SELECT id, {norm('answer')} AS normalized FROM raw",
     "clean_prediction": f"WITH {RAW}, {CLEANED} SELECT id, cleaned FROM cleaned",
     "extract_translation": f"""WITH {RAW}, {CLEANED},
@@ -299,7 +314,9 @@ ORACLE = {
     "coalesce_fields": f"WITH {CHUNKS} SELECT id, pred, ref FROM kept",
     "merge_chunks": f"""WITH {CHUNKS}
         SELECT id, system, length(pred_zh) AS pred_zh_chars, length(pred) AS pred_chars,
-          length(ref_zh) AS ref_zh_chars, length(ref) AS ref_chars FROM chunks""",
+          length(ref_zh) AS ref_zh_chars, length(ref) AS ref_chars,
+          md5(pred_zh) AS pred_zh_md5, md5(pred) AS pred_md5, md5(ref_zh) AS ref_zh_md5, md5(ref) AS ref_md5
+        FROM chunks""",
     "url_parts": r"""WITH cut AS (
           SELECT page_id, rtrim(url, '/') AS u FROM pages),
         named AS (

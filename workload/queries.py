@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaflow.functions import frames as FR
@@ -63,6 +63,11 @@ def clip_extractor():
     return extract
 
 
+def _digest(text: Column) -> Column:
+    """A number that tells texts apart; sums of it tell sets of texts apart."""
+    return F.conv(F.left(F.md5(text), F.lit(8)), 16, 10).cast("bigint")
+
+
 def _flat(records: DataFrame, audio: bool = True) -> DataFrame:
     """Chat records as plain columns."""
     turn = lambda i: F.get("messages", F.lit(i))["content"]
@@ -147,9 +152,32 @@ def shard_fanout(spark, d):
         F.count_if(F.col("error") == "empty src/ref").alias("empty"),
         F.count_if(F.col("error") == "OOM").alias("oom"),
         F.sum(F.length("pred_zh").cast("bigint")).alias("pred_chars"),
+        F.sum(_digest(F.col("pred_zh"))).alias("pred_digest"),
     )
 
 
+def inputs_scan(spark, d):
+    """Line files of two systems, found by one glob and by a list of places."""
+    base = scratch_path(spark, "systems")
+    rows = V.documents(spark, d).select("row_idx", "doc_id", "text", "lang")
+    for lang in ("de", "fr"):
+        sinks.write_jsonl(rows.filter(F.col("lang") == lang), f"{base}/{lang}")
+    found = []
+    for how, pattern in (("glob", f"{base}/*"), ("list", f"{base}/fr {base}/none {base}/de")):
+        places = readers.resolve_inputs(spark, pattern)
+        read = readers.read_jsonl(spark, places, "doc_id BIGINT, text STRING, lang STRING", glob="*.json")
+        found.append(read.select(F.lit(how).alias("how"), "row_idx", "doc_id", F.md5("text").alias("text_md5")))
+    return O.merge_chunks(found)
+
+
+def report_files(spark, d):
+    """One metrics object per system, written beside each other and read back."""
+    path = scratch_path(spark, "reports")
+    sinks.write_report(M.run_summary(V.pairs(spark, d), "system").withColumn("COMET", F.lit(None).cast("double")), path, by="system")
+    schema = "total BIGINT, ok BIGINT, valid BIGINT, COMET DOUBLE, system STRING"
+    return spark.read.schema(schema).json(path)
+
+
 # -- text functions -----------------------------------------------------------
 
 def _answers(spark, d, name, column):
@@ -196,8 +224,9 @@ def coalesce_fields(spark, d):
 def merge_chunks(spark, d):
     merged = O.merge_chunks(V.chunks(spark, d))
     return merged.select("id", "system", *[
-        F.length(c).cast("bigint").alias(f"{c}_chars")
+        column.alias(f"{c}_{kind}")
         for c in ("pred_zh", "pred", "ref_zh", "ref")
+        for kind, column in (("chars", F.length(c).cast("bigint")), ("md5", F.md5(c)))
     ])
 
 
@@ -215,6 +244,12 @@ def speech_chat_records(spark, d):
     return _flat(_speech(spark, d))
 
 
+def test_chat_records(spark, d):
+    """Records of exactly the first rows (their number is the feature)."""
+    corpus = V.corpus(spark, d, V.slice_of(spark, d, "documents", 0, 120))
+    return _flat(D.test_records(corpus, 120, V.FOLDER, SYSTEM, INSTRUCTION))
+
+
 def text_chat_records(spark, d):
     return _flat(D.text_records(V.asr(spark, d), SYSTEM, PREFIX), audio=False)
 
@@ -460,7 +495,7 @@ QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (
         jsonl_dir_scan, predictions_scan, chat_scan, corpus_scan, row_ordinal,
-        path_index_scan, shard_fanout, normalize_text, clean_prediction,
+        path_index_scan, shard_fanout, inputs_scan, report_files, test_chat_records, normalize_text, clean_prediction,
         extract_translation, tokenize_mixed, extract_entities, coalesce_fields,
         merge_chunks, url_parts, speech_chat_records, text_chat_records,
         two_step_records, positional_join, keyed_join, alignment_check,

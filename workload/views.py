@@ -104,10 +104,10 @@ def raw_outputs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def corpus(spark: SparkSession, d: str) -> DataFrame:
+def corpus(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     """Corpus rows; documents with junk marks have a blank translation."""
     junk = has(F.col("text"), "@") | has(F.col("text"), "#") | has(F.col("text"), "|")
-    return documents(spark, d).select(
+    return (documents(spark, d) if rows is None else rows).select(
         "row_idx",
         F.col("text").alias("sentence"),
         F.when(junk, F.lit(" \n")).otherwise(ideographs(F.col("text"))).alias("translation"),
