@@ -10,13 +10,18 @@ windows with the smallest hash, so equal windows have equal anchors and a few pe
 cent of all positions are shuffled. Anchors that are repeated are extended to ten
 words, inside the window they stand for; those still repeated are extended to all
 twenty words, and of each repeated window all but the earliest are marked. A window of
-2L words is hashed from its two halves. Copies that meet in one Arrow batch are
-combined before they are shuffled, so a passage that a third of all rows share
-sends one row per batch to the task of its hash.
+2L words is hashed from its two halves (which overlap by a word where the length is
+odd). Copies that meet in one Arrow batch are combined before they are shuffled, so a
+passage that a third of all rows share sends one row per batch to the task of its hash.
+
+A text is known by its id. Where several texts share an id or have none, each gets a
+number of its own from a stored table of those texts' 128-bit hashes; the table is
+empty where ids are unique.
 
 Defined results: null text counts as empty; documents shorter than a window stay
 whole; rows that repeat an id count as one document in the order and neither of two
-equal places is earlier; rows without an id come last.
+equal places is earlier; rows without an id come last. Windows are equal where their
+64-bit hashes are, after their anchors and extensions were.
 """
 
 from __future__ import annotations
@@ -35,15 +40,16 @@ MIN_WORDS = 20
 LAST = (1 << 63) - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SIDE = np.uint64(0xD6E8FEB86659FD93)
-# The place of a window: 20 bits of the text's hash above its first word's number.
-_PLACE = 40
+# The place of a window: the number of its text among those of its id, above its first word's.
+_PLACE = 31
+MOST_TEXTS = 1 << 32
 
 ROWS = "key long, sure int, doc long, place long"
 
 
-def _join(h: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of windows twice as long, from those of ``size`` words."""
-    return mix(h[:-size] * _STEP + h[size:]) if len(h) > size else h[:0]
+def _join(h: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes of longer windows from two shorter ones, ``apart`` words from each other."""
+    return mix(h[:-apart] * _STEP + h[apart:]) if len(h) > apart else h[:0]
 
 
 def _hashes(words: Words, sizes: tuple[int, ...]) -> list[np.ndarray]:
@@ -54,26 +60,29 @@ def _hashes(words: Words, sizes: tuple[int, ...]) -> list[np.ndarray]:
     for j in range(least):
         first = first * _STEP + word[j:j + len(first)]
     out = [mix(first)]
-    for size in sizes[:-1]:
-        out.append(_join(out[-1], size))
+    for size, longer in zip(sizes, sizes[1:]):
+        out.append(_join(out[-1], longer - size))
     return out
 
 
 def _anchors(h: np.ndarray, spread: int) -> np.ndarray:
-    """Where the smallest of ``spread`` (a power of two) neighbours stands, leftmost first."""
+    """Where the smallest of ``spread`` neighbours stands, leftmost first."""
     at, k = np.arange(len(h)), 1
     while k < spread:
-        if len(h) <= k:
+        # Two runs of k neighbours, side by side or overlapping.
+        step = min(k, spread - k)
+        if len(h) <= step:
             return at[:0]
-        less = h[k:] < h[:-k]
-        h, at, k = np.where(less, h[k:], h[:-k]), np.where(less, at[k:], at[:-k]), 2 * k
+        less = h[step:] < h[:-step]
+        h, at, k = np.where(less, h[step:], h[:-step]), np.where(less, at[step:], at[:-step]), k + step
     return at
 
 
 def _levels(total: int) -> tuple[int, int, int]:
-    if total % 4 or (total - total // 4 + 1) & (total - total // 4):
-        raise ValueError("window length must be 4 w with 3 w + 1 a power of two, such as 20")
-    return total // 4, total // 2, total
+    if total < 4:
+        raise ValueError("windows have at least four words")
+    half = -(-total // 2)
+    return -(-half // 2), half, total
 
 
 def _combine(key: np.ndarray, doc: np.ndarray, place: np.ndarray, first_only: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -168,15 +177,48 @@ def _repeats(rows: DataFrame, first_only: bool) -> DataFrame:
     return ordered.mapInArrow(run, rows.schema)
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """``doc`` (order), ``print`` (tells rows of one id apart) and ``text``."""
+def _texts(documents: DataFrame) -> DataFrame:
+    """``doc_id``, ``doc`` (order), ``text``, and two hashes of the text."""
     text = F.coalesce("text", F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
     return documents.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
-        F.xxhash64(text).bitwiseAND(F.lit((1 << 20) - 1)).alias("print"), text.alias("text"),
+        doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("doc"), text.alias("text"),
+        F.xxhash64(text).alias("_h"), F.xxhash64(F.lit("second"), text).alias("_g"),
     )
 
 
+def _numbers(documents: DataFrame) -> tuple[DataFrame, str]:
+    """``doc, _h, _g, print``: numbers from 1 for the texts of ids that have several.
+
+    Numbers run through (id, hashes) in runs of bounded size, however many texts one id has.
+    """
+    texts = _texts(documents).drop("doc_id", "text")
+    unlike = [F.min(h) != F.max(h) for h in ("_h", "_g")]
+    several = texts.groupBy("doc").agg((unlike[0] | unlike[1]).alias("_several")).filter("_several").select("doc")
+    known = texts.join(several, "doc").distinct()
+    order = ("doc", "_h", "_g")
+    ranged = known.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged, path = keep(ranged.withColumn("_at", F.monotonically_increasing_id()), "texts")
+    # Rows before a partition, from one count for each.
+    part = F.shiftright("_at", 33)
+    sizes = sorted(map(tuple, ranged.groupBy(part).count().collect()))
+    before, total = {}, 0
+    for number, n in sizes:
+        before[number] = total + 1 - (number << 33)
+        total += n
+    if total >= MOST_TEXTS:
+        raise ValueError("too many texts share their ids")
+    shifts = F.map_from_arrays(F.array(*map(F.lit, before)), F.array(*map(F.lit, before.values()))) if before else None
+    number = (F.col("_at") + F.element_at(shifts, part)).cast("long") if before else F.lit(0).cast("long")
+    return ranged.select(*order, number.alias("print")), path
+
+
+def _keyed(documents: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``doc_id, doc, text`` and ``print``, the text's number among those of its id."""
+    joined = _texts(documents).join(numbers, ["doc", "_h", "_g"], "left")
+    return joined.select("doc_id", "doc", F.coalesce("print", F.lit(0).cast("long")).alias("print"), "text")
+
+
 def _places(doc_rows: np.ndarray, prints: np.ndarray, words: Words, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return (prints[doc_rows] << _PLACE) | (at - words.bounds[owner])
 
@@ -235,9 +277,10 @@ def _extended(found: DataFrame) -> DataFrame:
 def _by_document(rows: DataFrame, value: Column, label: str) -> DataFrame:
     mask = F.lit((1 << _PLACE) - 1)
     split_up = rows.select(
-        "doc", F.shiftright("place", _PLACE).alias("print"), F.col("place").bitwiseAND(mask).alias("start"), value.alias("v")
+        "doc", F.shiftrightunsigned("place", _PLACE).alias("print"), F.col("place").bitwiseAND(mask).alias("start"), value.alias("v")
     )
-    return split_up.groupBy("doc", "print").agg(F.collect_list((F.col("start") * 2 + F.col("v")).cast("long")).alias(label))
+    # Sets combine before the shuffle, so the copies of a row add nothing.
+    return split_up.groupBy("doc", "print").agg(F.collect_set((F.col("start") * 2 + F.col("v")).cast("long")).alias(label))
 
 
 def _window_rows(joined: DataFrame, total: int) -> DataFrame:
@@ -294,9 +337,9 @@ def _ranges(rows: DataFrame, total: int) -> DataFrame:
     return starts.mapInArrow(run, "doc long, print long, begins array<long>, ends array<long>")
 
 
-def repeated_ranges(documents: DataFrame, total: int = MIN_WORDS) -> DataFrame:
+def repeated_ranges(keyed: DataFrame, total: int = MIN_WORDS) -> DataFrame:
     """Word ranges to remove, per ``(doc, print)`` of :func:`_keyed`."""
-    spark, keyed = documents.sparkSession, _keyed(documents)
+    spark, keyed = keyed.sparkSession, keyed.drop("doc_id")
     anchors, a = keep(_repeats(_anchor_rows(keyed, total), False).select("doc", "place", "right", "left"), "anchors")
     extended, b = keep(_repeats(_extended(anchors), False).select("doc", "place", "side"), "extended")
     drop(spark, a)
@@ -311,7 +354,8 @@ def repeated_ranges(documents: DataFrame, total: int = MIN_WORDS) -> DataFrame:
 
 def dedup_substrings(documents: DataFrame, total: int = MIN_WORDS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: the kept words, joined by one space."""
-    ranges = repeated_ranges(documents, total)
+    keyed = _keyed(documents, _numbers(documents)[0])
+    ranges = repeated_ranges(keyed, total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,10 +374,7 @@ def dedup_substrings(documents: DataFrame, total: int = MIN_WORDS) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    rows = documents.select(F.col("doc_id").cast("long"), "text").withColumns(
-        {"doc": F.coalesce("doc_id", F.lit(LAST)), "text": F.coalesce("text", F.lit(""))}
-    ).withColumn("print", F.xxhash64("text").bitwiseAND(F.lit((1 << 20) - 1)))
-    joined = rows.join(ranges, ["doc", "print"], "left").select("doc_id", "text", "begins", "ends")
+    joined = keyed.join(ranges, ["doc", "print"], "left").select("doc_id", "text", "begins", "ends")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 

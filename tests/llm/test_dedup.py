@@ -1,6 +1,7 @@
 """Near-duplicate operators against plain restatements."""
 
 import hashlib
+import random
 
 import pytest
 
@@ -93,6 +94,41 @@ def test_substring_dedup(documents, table):
             assert r.n_words > r.n_removed >= 0
 
 
+def first_places(table: list[tuple], size: int) -> list[tuple]:
+    """``(doc_id, kept)`` of every row: a window stays where its id and start are the smallest."""
+    last, first, out = (1 << 63) - 1, {}, []
+    rows = [(last if i is None else i, i, X.words_of(text)) for i, text in table]
+    for doc, _, w in rows:
+        for k in range(len(w) - size + 1):
+            window = tuple(w[k:k + size])
+            first[window] = min(first.get(window, (doc, k)), (doc, k))
+    for doc, i, w in rows:
+        gone = set()
+        for k in range(len(w) - size + 1):
+            if first[tuple(w[k:k + size])] != (doc, k):
+                gone.update(range(k, k + size))
+        out.append((i, b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("size", [20, 50, 7, 4])
+def test_texts_that_share_an_id_or_have_none_stay_apart(spark, size):
+    """Thousands of texts under one id and without an id, most of them without any repeat."""
+    rng = random.Random(size)
+    passages = [" ".join(f"p{j}x{k}" for k in range(60)) for j in range(5)]
+    table = []
+    for k in range(6_000):
+        text = " ".join(f"{k}w{j}" for j in range(rng.randint(5, 40)))
+        if k % 3 == 0:
+            text = f"{text} {passages[rng.randrange(5)]} end"
+        table.append((None if k % 2 else 7 if k % 4 else k, text))
+    table += table[:40] * 3
+    documents = spark.createDataFrame(table, "doc_id long, text string").repartition(6)
+    got = substring_dedup.dedup_substrings(documents, size).collect()
+    assert sorted(((r.doc_id, r.kept) for r in got), key=repr) == first_places(table, size)
+    assert all(r.n_words - r.n_removed == len(r.kept.split()) for r in got)
+
+
 @pytest.mark.parametrize("run", [
     ngram_join.near_duplicates, ngram_join.keep_one, line_dedup.dedup_lines, line_dedup.summary,
     substring_dedup.dedup_substrings,
