@@ -16,7 +16,7 @@ digits. E-mail addresses keep the pattern of letters, digits and signs and end i
 reserved ``.example``; one domain has one surrogate. Names keep title, case and script,
 and their endings follow the title's gender; given and family names are entities of
 their own, so a family name alone stays linked. A name goes on over all capitalised words
-after the title (16 at most), with particles and initials, which stay; the last one is
+after the title, with particles and initials, which stay; the last one is
 the family name. Words of a row's names are replaced in the rest of its text as well,
 where they are capitalised; each such mention counts as an entity. All distinct entities are checked for
 equal surrogates: those after the first get a numbered form, and what still meets gets
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from glossaflow.llm.tables import keep
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# Possessive repetitions, and starts that no earlier start could have passed by: a text of
+# any length is searched in time linear in it, and without recursion.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
@@ -41,9 +43,10 @@ PHONE = r"(?<![0-9])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}
 MALE = r"Mr|Mister|Herr|Monsieur|Señor|Господин"
 FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Госпожа"
 PARTICLE = r"(?:de|del|della|der|den|da|di|do|dos|du|van|von|vom|zu|zum|zur|la|le|ten|ter|al|bin|ibn|y)"
-_WORD = r"\p{Lu}\p{L}+(?:['-](?!s(?!\p{L}))\p{L}+){0,4}|\p{Lu}(?:['-](?!s(?!\p{L}))\p{L}+){1,4}"
-_LINKS = rf"(?:(?:{PARTICLE}|\p{{Lu}}\.) ){{0,4}}"
-NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? {_LINKS}(?:{_WORD})(?: {_LINKS}(?:{_WORD})){{0,15}}"
+_PART = r"(?:['-](?!s(?!\p{L}))\p{L}++)"
+_WORD = rf"\p{{Lu}}\p{{L}}++{_PART}*+|\p{{Lu}}{_PART}++"
+_LINKS = rf"(?:(?:{PARTICLE}|\p{{Lu}}\.) )*+"
+NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? {_LINKS}(?:{_WORD})(?: {_LINKS}(?:{_WORD}))*+"
 # Digits with spaces and hyphens, in which cards and phones are looked for. The last
 # group is left to an address or a dotted phone that begins with it.
 RUN = r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){8})[0-9][0-9 -]*(?<=[0-9])(?![0-9]|[A-Za-z0-9._%+-]{0,64}@)(?!(?<=[ -][0-9]{1,4})\.[0-9]{1,4}[. -][0-9])"
@@ -58,6 +61,11 @@ ENDINGS = {("male", "latin"): ("n", "s", "r", "k"), ("female", "latin"): ("na",
 _COMPONENT = "array<struct<kind:string,canon:string,raw:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` repeats it per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
@@ -75,7 +83,10 @@ def _is_card(text: Column) -> Column:
 
 def _numbers_in(raw: Column) -> Column:
     """Parts of a run of digits: cards and phones, and what stands between them."""
-    pieces = F.split(raw, r"(?<=[0-9])(?=[ -])|(?<=[ -])(?=[0-9])")
+    return _let(F.split(raw, r"(?<=[0-9])(?=[ -])|(?<=[ -])(?=[0-9])"), _numbers_among)
+
+
+def _numbers_among(pieces: Column) -> Column:
     groups = F.floor((F.size(pieces) + 1) / 2).cast("int")
     text = lambda i, j: F.array_join(F.slice(pieces, 2 * i + 1, 2 * (j - i) + 1), "")
 
@@ -97,6 +108,11 @@ def _numbers_in(raw: Column) -> Column:
     chosen = F.aggregate(F.array_sort(every), none, lambda acc, c: F.when(
         F.exists(acc, lambda o: (o["i"] <= c["j"]) & (c["i"] <= o["j"])), acc
     ).otherwise(F.array_append(acc, c)))
+
+    return _let(chosen, lambda chosen: _parts_of(pieces, chosen, text))
+
+
+def _parts_of(pieces: Column, chosen: Column, text) -> Column:
     digits = lambda t: _digits(t)
 
     def part(k: Column) -> Column:
@@ -114,15 +130,17 @@ def _numbers_in(raw: Column) -> Column:
 def _components(raw: Column) -> Column:
     """What a match consists of: ``kind, canon, raw`` of each component."""
     part = lambda kind, canon, text: F.struct(F.lit(kind).cast("string").alias("kind"), canon.alias("canon"), text.alias("raw"))
-    words = F.split(raw, " ")
     script = F.when(F.rlike(raw, F.lit(r"\p{IsCyrillic}$")), "cyrillic").otherwise("latin")
     gender = F.when(F.rlike(raw, F.lit(rf"\A(?:{FEMALE})\.? ")), "female").otherwise("male")
     named = lambda kind, text: F.struct(kind.alias("kind"), F.lower(text).alias("canon"), text.alias("raw"))
-    name = F.transform(words, lambda w, i: (
+    kinds = F.struct(
+        F.split(raw, " ").alias("words"), F.concat_ws(":", F.lit("name"), F.lit("any"), script).alias("family"),
+        F.concat_ws(":", F.lit("name"), gender, script).alias("given"),
+    )
+    name = _let(kinds, lambda x: F.transform(x["words"], lambda w, i: (
         F.when((i == 0) | F.rlike(w, F.lit(rf"\A(?:{PARTICLE}|\p{{Lu}}\.)\z")), part(None, F.lit(None).cast("string"), w))
-        .when(i == F.size(words) - 1, named(F.concat_ws(":", F.lit("name"), F.lit("any"), script), w))
-        .otherwise(named(F.concat_ws(":", F.lit("name"), gender, script), w))
-    ))
+        .when(i == F.size(x["words"]) - 1, named(x["family"], w)).otherwise(named(x["given"], w))
+    )))
     digits = _digits(raw)
     return (
         F.when(F.contains(raw, F.lit("@")), F.array(part("email", F.lower(raw), raw)))
@@ -169,7 +187,11 @@ def _permuted(entities: DataFrame, key: str) -> DataFrame:
 
 def _like(text: Column, secret: Column) -> Column:
     """``text`` with letters and digits drawn anew from the hex string ``secret``."""
-    chars = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1)))
+    return _let(secret, lambda secret: _drawn(text, secret))
+
+
+def _drawn(text: Column, secret: Column) -> Column:
+    chars = F.split(text, "")
     drawn = lambda i: _number(F.substr(secret, F.pmod(i * 3, F.lit(120)) + 1, F.lit(3)))
     letter = lambda i, first, size: F.char(F.lit(first) + F.pmod(drawn(i), F.lit(size)))
     return F.array_join(F.transform(chars, lambda c, i: (
@@ -270,7 +292,9 @@ def replace_entities(documents: DataFrame, key: str) -> DataFrame:
     gaps = F.split("text", ENTITY, -1)
     rest = F.transform(gaps, lambda g: F.when(F.col("names").isNull(), F.struct(g.alias("text"), F.lit(0).alias("n"))).otherwise(_mentions(g, F.col("names"))))
     both = hits.join(by_row, "row").join(names, "row", "left").withColumn("rest", rest)
-    woven = F.array_join(F.transform("rest", lambda g, i: F.concat(g["text"], F.coalesce(F.get(F.col("m.text"), i), F.lit("")))), "")
+    woven = _let(F.col("m.text"), lambda made: F.array_join(
+        F.transform("rest", lambda g, i: F.concat(g["text"], F.coalesce(F.get(made, i), F.lit("")))), ""
+    ))
     more = F.aggregate("rest", F.lit(0).cast("long"), lambda n, g: n + g["n"])
     changed = both.select("doc_id", woven.alias("text"), (F.col("n_entities") + more).alias("n_entities"))
     return clean.union(changed)

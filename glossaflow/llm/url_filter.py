@@ -50,11 +50,20 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), URL, 2)
 
 
-def _probes(urls: DataFrame, lengths: list[int]) -> DataFrame:
-    """``host, path, key`` of every rule string that would fit a url."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    beginnings = F.array(*[F.lit(n) for n in lengths])
+def _labels(host: Column) -> Column:
+    """Number of a host's labels."""
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def _probes(urls: DataFrame, labels: list[int], lengths: list[int]) -> DataFrame:
+    """``host, path, key`` of every rule string that would fit a url.
+
+    Suffixes have as many labels as rules have, so a host of very many labels has few.
+    """
+    suffixes = F.array_compact(F.array(*[
+        F.when(_labels(F.col("host")) >= k, F.substring_index("host", ".", -k)) for k in labels
+    ])).cast("array<string>")
+    beginnings = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
     return (
         urls.withColumn("_suffix", F.explode(suffixes)).withColumn("_n", F.explode(beginnings))
         .filter(F.length("path") >= F.col("_n"))
@@ -141,12 +150,12 @@ def _lookup(rules: DataFrame, probes: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every page."""
     host, path = F.coalesce("host", F.lit("")), F.coalesce("path", F.lit(""))
-    listed = rules.select(F.concat(host, path).alias("key"), F.length(host).alias("_h"), F.length(path).alias("_p"), "verdict")
-    # One number per length of path that rules have, not per rule.
-    lengths = sorted(r["_p"] for r in listed.select("_p").distinct().collect())
+    listed = rules.select(F.concat(host, path).alias("key"), _labels(host).alias("_l"), F.length(path).alias("_p"), "verdict")
+    # One number per length of path and per count of labels that rules have, not per rule.
+    labels, lengths = (sorted(r[0] for r in listed.select(c).distinct().collect()) for c in ("_l", "_p"))
     listed = listed.groupBy("key").agg(F.max("verdict").alias("verdict"))
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    probes = _probes(urls.select("host", "path").distinct(), lengths)
+    probes = _probes(urls.select("host", "path").distinct(), labels, lengths)
     found = _lookup(listed, probes.select("key").distinct())
     host_length = F.instr("key", "/")
     rank = F.struct(F.length("key").alias("n"), host_length.alias("h"), F.col("verdict").alias("verdict"), F.col("key").alias("rule"))

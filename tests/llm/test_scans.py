@@ -1,7 +1,9 @@
 """URL filter, secret scan and surrogates."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -46,6 +48,14 @@ def test_url_rules(spark):
     assert {r.verdict for r in U.judge(table, U.rule_table(spark).limit(0)).collect()} == {"allow"}
 
 
+def test_hosts_of_very_many_labels(spark):
+    long = "a." * 100_000 + "example.net"
+    table = spark.createDataFrame([(k, f"http://{long}/en/{k}") for k in range(3)], "page_id long, url string")
+    began = time.perf_counter()
+    assert {(r.host == long, r.rule) for r in U.judge(table, U.rule_table(spark)).collect()} == {(True, "example.net/en/")}
+    assert time.perf_counter() - began < 20
+
+
 def test_digest_collisions_are_told_apart(tmp_path):
     import numpy as np
     import pyarrow as pa
@@ -187,3 +197,27 @@ def test_whole_names_and_mentions_without_title(spark):
     m = re.fullmatch(r"Mr J\. (\w+)'s house, Smith-Jones or (\w+)", made[2])
     assert m and m[1] == m[2] != "Smith" and made[3] == texts[3]
     assert count == {0: 4, 1: 2, 2: 2, 3: 0}
+
+
+@pytest.mark.parametrize("kind", ["labels", "base64", "letters", "digits", "spaced digits", "capitals", "hyphens"])
+def test_surrogates_survive_any_text(spark, kind):
+    rng = random.Random(1)
+    odd = {
+        "labels": "x@" + "ab." * 100_000 + "ab",
+        "base64": "".join(rng.choices("ABCDEFabcdef0123456789+/", k=1_000_000)),
+        "letters": "q" * 1_000_000, "digits": "7" * 1_000_000, "spaced digits": "12 345 " * 2_000,
+        "capitals": "Mr " + "Abc " * 50_000, "hyphens": "Mr A" + "-Bc" * 50_000,
+    }[kind]
+    table = spark.createDataFrame([(1, f"{odd} and joe@site.org"), (2, "Mr Tom")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in P.replace_entities(table, "k").collect()}
+    assert time.perf_counter() - began < 60
+    assert "joe@site.org" not in got[1].text and got[1].n_entities >= 1 and "Tom" not in got[2].text
+    assert ("ab.ab" in got[1].text) == (kind == "x")
+
+
+def test_names_of_forty_words(spark):
+    words = [f"N{chr(97 + k // 26)}{chr(97 + k % 26)}x" for k in range(40)]
+    table = spark.createDataFrame([(1, f"Mrs {' '.join(words)} came. {words[30]} left.")], "doc_id long, text string")
+    (row,) = P.replace_entities(table, "k").collect()
+    assert not any(w in row.text for w in words) and row.n_entities == 2 and row.text.startswith("Mrs ")
