@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaflow.llm.calibration import platt
+from glossaflow.llm.labelled import one_text_each, sample_of
 from glossaflow.llm.words import blocks, char_counts, per_text, split
 
 WORD_BUCKETS = 1 << 16
@@ -200,19 +201,9 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT
 
 
-def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> bytes:
-    """Fit on at most ``sample_rows`` labelled rows outside the held-out fold.
-
-    The sample is the rows with the smallest hash of their id; only its ids
-    (bounded by the parameter) are broadcast, and only its features reach the
-    one task that fits.
-    """
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    sample = (
-        known.select("doc_id", F.col("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
-    )
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id, quality, index, value``: features of at most ``sample_rows`` labelled rows outside the held-out fold."""
+    sample = sample_of(labels, "quality", ~is_held_out(F.col("doc_id")), sample_rows)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,10 +211,21 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
                 part = batch.slice(row, len(bounds) - 1)
                 offsets = pa.array(bounds, pa.int32())
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("quality"),
-                    pa.ListArray.from_arrays(offsets, pa.array(index, pa.int32())),
+                    part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(index, pa.int32())),
                     pa.ListArray.from_arrays(offsets, pa.array(values, pa.float32())),
-                ], ["doc_id", "quality", "index", "value"])
+                ], ["doc_id", "index", "value"])
+
+    texts = one_text_each(documents.withColumn("doc_id", F.col("doc_id").cast("long")), sample)
+    found = texts.mapInArrow(extract, "doc_id long, index array<int>, value array<float>")
+    return found.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "index", "value")
+
+
+def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> bytes:
+    """Fit on :func:`training_rows`, which alone reach the one task that fits.
+
+    Of rows that share an id, one text of smallest hash is learned from; it counts as
+    often as the id has labels in the sample.
+    """
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, ys = [], []
@@ -238,8 +240,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
             model.bias = 30.0 if labels[0] else -30.0
         yield pa.RecordBatch.from_arrays([pa.array([model.dump()], pa.binary())], ["model"])
 
-    found = rows.mapInArrow(extract, "doc_id long, quality int, index array<int>, value array<float>")
-    ordered = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "quality")
+    ordered = training_rows(documents, labels, sample_rows).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "quality")
     fitted = ordered.mapInArrow(fit, "model binary").collect()
     return bytes(fitted[0]["model"]) if fitted else Machine().dump()
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossaflow.llm.calibration import platt
+from glossaflow.llm.labelled import one_text_each, sample_of
 from glossaflow.llm.quality_fm import is_held_out
 from glossaflow.llm.words import Words, blocks, char_counts, per_text, split
 
@@ -173,17 +174,12 @@ def _sparse(groups, i: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(value)
 
 
-def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> bytes:
-    """Fit on the (at most ``sample_rows``) labelled rows of smallest id hash.
+def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id, quality, index, value``: n-gram shares of at most ``sample_rows`` labelled rows.
 
-    Only the sample's ids are broadcast, and only its n-gram shares reach the one
-    task that fits. The held-out fold of the classifiers is left out here as well.
+    The held-out fold of the classifiers is left out here as well.
     """
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    sample = (
-        known.select("doc_id", F.col("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
-    )
+    sample = sample_of(labels, "quality", ~is_held_out(F.col("doc_id")), sample_rows)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,10 +188,21 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
                 rows = [_sparse(groups, i) for i in range(len(offsets) - 1)]
                 part = batch.slice(row, len(rows))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("quality"),
-                    pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())),
+                    part.column("doc_id"), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())),
                     pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32())),
-                ], ["doc_id", "quality", "index", "value"])
+                ], ["doc_id", "index", "value"])
+
+    texts = one_text_each(documents.withColumn("doc_id", F.col("doc_id").cast("long")), sample)
+    found = texts.mapInArrow(extract, "doc_id long, index array<int>, value array<float>")
+    return found.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "index", "value")
+
+
+def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> bytes:
+    """Fit on :func:`training_rows`, which alone reach the one task that fits.
+
+    Of rows that share an id, one text of smallest hash is learned from; it counts as
+    often as the id has labels in the sample.
+    """
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, ys = [], []
@@ -210,9 +217,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
             model.bias = 30.0 if y[0] else -30.0
         yield pa.RecordBatch.from_arrays([pa.array([model.dump()], pa.binary())], ["model"])
 
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = rows.mapInArrow(extract, "doc_id long, quality int, index array<int>, value array<float>")
-    ordered = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "quality")
+    ordered = training_rows(documents, labels, sample_rows).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "quality")
     fitted = ordered.mapInArrow(fit, "model binary").collect()
     return bytes(fitted[0]["model"]) if fitted else Regression().dump()
 

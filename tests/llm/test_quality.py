@@ -1,5 +1,7 @@
 """Classifiers: identities, held-out accuracy, and counts against plain restatements."""
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -80,3 +82,17 @@ def test_platt_survives_separable_classes():
     assert 0 < a < 100 and abs(b) < 100
     p = 1 / (1 + np.exp(-(a * raw + b)))
     assert (p[y == 0] < 0.1).all() and (p[y == 1] > 0.9).all()
+
+
+@pytest.mark.parametrize("module", [F, R])
+def test_a_hot_labelled_id_sends_one_row_per_label_to_the_fit(spark, module):
+    table = [(1, f"text number {k % 5} of the hot id") for k in range(3_000)] + [(k, f"other {k} words") for k in range(2, 800)]
+    documents = spark.createDataFrame(table, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame(
+        [(1, 1), (1, 1), (1, 0), (None, 1), (5, None)] + [(k, k % 2) for k in range(2, 60)], "doc_id long, quality int")
+    rows = module.training_rows(documents, labels).collect()
+    used = [r.doc_id for r in rows]
+    assert used.count(1) == 3 and len({tuple(r["index"]) for r in rows if r.doc_id == 1}) == 1
+    assert len(used) == 3 + sum(1 for k in range(2, 60) if zlib.crc32(str(k).encode()) % 5 and k != 1)
+    few = module.training_rows(documents, labels, sample_rows=4).collect()
+    assert len(few) == 4
