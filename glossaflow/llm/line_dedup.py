@@ -46,7 +46,10 @@ def line_sets(texts: pa.Array) -> Iterator[J.Sets]:
 
 
 def _fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``e, id, tokens`` of the classes ``(e, doc, line)``, from their first lines."""
+    """``e, id, tokens`` of the classes ``(e, doc, line, h)``, from their first lines.
+
+    Lines are gathered per text, so an id that many rows share asks no more of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,51 +61,82 @@ def _fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 e = pa.array(es[at])
                 yield pa.RecordBatch.from_arrays([e, e, pa.array(sets, pa.binary())], ["e", "id", "tokens"])
 
-    lines = wanted.groupBy("doc").agg(F.collect_set(F.struct("line", "e")).alias("lines"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").join(lines.hint("merge"), "doc").select("text", "lines")
-    return rows.mapInArrow(run, "e long, id long, tokens binary")
+    lines = wanted.groupBy("doc", "h").agg(F.collect_set(F.struct("line", "e")).alias("lines"))
+    # Copies of a row give their lines once.
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc"), J.text_hash(F.col("text")).alias("h"), "text")
+    rows = texts.join(lines.hint("merge"), ["doc", "h"]).select("text", "lines")
+    return rows.mapInArrow(run, "e long, id long, tokens binary").dropDuplicates(["e"])
+
+
+def _ordered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``late, early, n`` of pairs of classes, of which one begins before the other."""
+    place = F.struct("doc", "line")
+    x = classes.select(F.col("e").alias("a"), place.alias("xs"))
+    y = classes.select(F.col("e").alias("b"), place.alias("ys"))
+    both = pairs.join(x, "a").join(y, "b").filter("xs <> ys")
+    swap = F.col("xs") > F.col("ys")
+    return both.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("early"), "n")
+
+
+def _matched(documents: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """``e`` of the late classes of ``pairs`` that are similar to their early one."""
+    ends = pairs.select(F.col("late").alias("e")).union(pairs.select("early")).distinct()
+    sets, sets_at = keep(_fetch(documents, classes.join(ends, "e", "left_semi")), "sets")
+    links = J.verify(pairs.select(F.col("late").alias("a"), F.col("early").alias("b")), sets, percent)
+    out = keep(links.select(F.col("x").alias("e")).distinct(), "later")
+    drop(documents.sparkSession, sets_at)
+    return out
 
 
 def _later(documents: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, str]:
-    """Of each similar pair of classes, the one that begins later."""
-    ends = pairs.select(F.col("a").alias("e")).union(pairs.select("b")).distinct()
-    wanted, wanted_at = keep(classes.join(ends, "e", "left_semi"), "wanted")
-    sets, sets_at = keep(_fetch(documents, wanted), "sets")
-    links = J.verify(pairs, sets, percent)
-    x = wanted.select(F.col("e").alias("x"), F.struct("doc", "line").alias("xs"))
-    y = wanted.select(F.col("e").alias("y"), F.struct("doc", "line").alias("ys"))
-    both = links.join(x, "x").join(y, "y")
-    later = both.filter("xs <> ys").select(F.when(F.col("xs") > F.col("ys"), F.col("x")).otherwise(F.col("y")).alias("e"))
-    out = keep(later.distinct(), "later")
-    drop(documents.sparkSession, wanted_at, sets_at)
-    return out
+    """``e`` of the classes that an earlier class of ``pairs`` is similar to.
+
+    One match is enough. Each class is compared with its nearest candidate first, and
+    only those that this leaves without a match with their others: in a group of near
+    copies nearly all lines are settled by one comparison each, whatever its size.
+    """
+    nearest = pairs.groupBy("late").agg(F.min_by("early", F.struct("n", "early")).alias("early"))
+    nearest, nearest_at = keep(nearest, "nearest")
+    later, later_at = _matched(documents, nearest, classes, percent)
+    rest = pairs.select("late", "early").join(later.withColumnRenamed("e", "late"), "late", "left_anti")
+    rest, rest_at = keep(rest.join(nearest, ["late", "early"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        more, more_at = _matched(documents, rest, classes, percent)
+        both, both_at = keep(later.union(more), "later")
+        drop(documents.sparkSession, later_at, more_at)
+        later, later_at = both, both_at
+    drop(documents.sparkSession, nearest_at, rest_at)
+    return later, later_at
 
 
 def _open_pairs(hot: DataFrame, classes: DataFrame, later: DataFrame, percent: int) -> DataFrame:
     """Pairs of a hot token: classes without an earlier match yet, and those before them."""
-    once = hot.select("token", F.col("a").alias("e"), "n", "pos", "sig").dropDuplicates(["token", "e"])
+    once = hot.select("token", F.col("a").alias("e"), "n", "pos", "sig", "more").dropDuplicates(["token", "e"])
     placed = once.join(classes, "e")
     left = placed.join(later, "e", "left_anti").alias("p")
     before = F.struct("q.doc", "q.line") < F.struct("p.doc", "p.line")
     meets = (F.col("p.token") == F.col("q.token")) & before & J.passes_sql(percent, "p", "q")
     found = left.join(placed.alias("q"), meets)
-    return found.select(F.least("p.e", "q.e").alias("a"), F.greatest("p.e", "q.e").alias("b")).distinct()
+    return found.select(F.col("p.e").alias("late"), F.col("q.e").alias("early"), J.bits_apart("p", "q").alias("n")).dropDuplicates(["late", "early"])
 
 
 def later_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc, line, e`` of the lines that go; ``e`` identifies the line's set."""
+    """``doc, h, line`` of the lines that go; ``h`` is the hash of the line's whole text."""
     spark = documents.sparkSession
     made, _ = keep(J.describe(documents, line_sets), "lines", "kind")
-    lines = made.filter("kind = 0").select("doc", "line", "e")
+    lines = made.filter("kind = 0").select("doc", "h", "line", "e")
     # Per document first: a line all documents share reduces before it is shuffled.
-    per_doc = lines.groupBy("e", "doc").agg(F.min("line").alias("line"))
-    classes, _ = keep(per_doc.groupBy("e").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line")), "classes")
+    per_doc = lines.groupBy("e", "doc").agg(F.min("line").alias("line"), F.min_by("h", "line").alias("h"))
+    classes, _ = keep(per_doc.groupBy("e").agg(
+        F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), F.min_by("h", "doc").alias("h")
+    ), "classes")
     rows = J.postings(documents, line_sets, J.frequencies(made), percent)
     found, found_at = keep(J.candidates(rows, percent, COLD), "found", "kind")
-    pairs = found.filter(f"kind = {J.PAIR}").select("a", "b").union(J.anchor_pairs(found, percent, COLD)).distinct()
-    pairs, pairs_at = keep(pairs, "pairs")
+    pairs = found.filter(f"kind = {J.PAIR}").select("a", "b", "n").union(J.anchor_pairs(found, percent, COLD)).dropDuplicates(["a", "b"])
+    pairs, pairs_at = keep(_ordered(pairs, classes), "pairs")
     later, _ = _later(documents, pairs, classes, percent)
-    more, more_at = keep(_open_pairs(found.filter(f"kind = {J.HOT}"), classes, later, percent), "pairs")
+    more = _open_pairs(found.filter(f"kind = {J.HOT}"), classes, later, percent)
+    more, more_at = keep(more.join(pairs, ["late", "early"], "left_anti"), "pairs")
     if not more.isEmpty():
         rest, _ = _later(documents, more, classes, percent)
         later = later.union(rest).distinct()
@@ -110,37 +144,41 @@ def later_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = classes.join(later.withColumn("late", F.lit(True)), "e", "left").select(
         "e", F.struct("doc", "line").alias("first"), F.coalesce("late", F.lit(False)).alias("late")
     )
-    return lines.join(first, "e").filter(F.col("late") | (F.struct("doc", "line") > F.col("first"))).select("doc", "line", "e")
+    return lines.join(first, "e").filter(F.col("late") | (F.struct("doc", "line") > F.col("first"))).select("doc", "h", "line")
 
 
 @F.arrow_udf(StringType())
 def _without(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """Texts without the given lines ``(line, e)``; a line goes only if its set is ``e``."""
+    """Texts without the lines of the given numbers."""
     for texts, gone in parts:
-        asked = [None if x is None else {(g["line"], g["e"]) for g in x} for x in gone.to_pylist()]
-        drops: dict[int, set[int]] = {}
-        for rows, line, bounds, tokens in line_sets(texts):
-            es = J.set_hashes(bounds, tokens)
-            for r, n, e in zip(rows.tolist(), line.tolist(), es.tolist()):
-                if asked[r] and (n, e) in asked[r]:
-                    drops.setdefault(r, set()).add(n)
         out = texts.to_pylist()
-        for r, lines in drops.items():
-            out[r] = "\n".join([x for n, x in enumerate(out[r].split("\n")) if n not in lines])
+        for r, lines in enumerate(gone.to_pylist()):
+            if lines and out[r] is not None:
+                lines = set(lines)
+                out[r] = "\n".join([x for n, x in enumerate(out[r].split("\n")) if n not in lines])
         yield pa.array(out, pa.string())
 
 
 def _marked(documents: DataFrame, percent: int) -> DataFrame:
-    gone = later_lines(documents, percent).groupBy("doc").agg(F.collect_set(F.struct("line", "e")).alias("_gone"))
-    gone = gone.withColumnRenamed("doc", "_doc")
-    return documents.join(gone, documents["doc_id"] == gone["_doc"], "left")
+    """``documents`` with ``_gone``, the numbers of the lines to leave out, by id and text."""
+    gone = later_lines(documents, percent).groupBy(F.col("doc").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_set("line").alias("_gone"))
+    own = (documents["doc_id"] == gone["_doc"]) & (J.text_hash(documents["text"]) == gone["_h"])
+    return documents.join(gone, own, "left")
+
 
+def dedup_lines(documents: DataFrame, percent: int = PERCENT, keep_emptied: bool = True) -> DataFrame:
+    """``documents`` with later matching lines taken out of ``text``; ``n_chars`` follows.
 
-def dedup_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``documents`` with later matching lines taken out of ``text``; ``n_chars`` follows."""
+    With ``keep_emptied=False`` a document that had words and has none left goes: every
+    line of it stands in an earlier document. Documents without a word to begin with stay.
+    """
     marked = _marked(documents, percent)
     text = F.when(F.col("_gone").isNull(), documents["text"]).otherwise(_without(documents["text"], F.col("_gone")))
     changed = marked.withColumn("_text", text)
+    if not keep_emptied:
+        wordless = lambda c: ~F.rlike(c, F.lit(r"[^\x20\x09-\x0D]"))
+        emptied = F.col("_gone").isNotNull() & wordless(F.col("_text")) & ~wordless(documents["text"])
+        changed = changed.filter(~F.coalesce(emptied, F.lit(False)))
     columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else documents[c] for c in documents.columns]
     return changed.select(*columns)
 

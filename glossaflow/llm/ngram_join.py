@@ -64,15 +64,17 @@ def _fetch(documents: DataFrame, wanted: DataFrame, extract: J.Extractor) -> Dat
                     [pa.array(es[at]), ids.take(pa.array(rows[at])), pa.array(sets, pa.binary())], ["e", "id", "tokens"]
                 )
 
-    es = wanted.groupBy("id").agg(F.collect_set("e").alias("es"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(es.hint("merge"), "id")
-    return rows.select("id", "text", "es").mapInArrow(run, "e long, id long, tokens binary")
+    # Per text, so an id that many rows share asks no more of them; copies give a set once.
+    es = wanted.groupBy("id", "h").agg(F.collect_set("e").alias("es"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), J.text_hash(F.col("text")).alias("h"), "text")
+    rows = texts.join(es.hint("merge"), ["id", "h"])
+    return rows.select("id", "text", "es").mapInArrow(run, "e long, id long, tokens binary").dropDuplicates(["e"])
 
 
 def _links(documents: DataFrame, pairs: DataFrame, classes: DataFrame, extract: J.Extractor, percent: int) -> DataFrame:
     """Verified pairs as ids of their classes' first documents."""
     ends = pairs.select(F.col("a").alias("e")).union(pairs.select("b")).distinct()
-    wanted = classes.join(ends, "e", "left_semi").select("id", "e")
+    wanted = classes.join(ends, "e", "left_semi").select("id", "h", "e")
     held, at = keep(_fetch(documents, wanted, extract), "sets")
     links, out = keep(J.verify(pairs, held, percent), "links")
     drop(documents.sparkSession, at)
@@ -84,7 +86,7 @@ def _open_pairs(hot: DataFrame, classes: DataFrame, roots: DataFrame, percent: i
 
     The token's largest component meets the others; it is not paired with itself.
     """
-    once = hot.select("token", F.col("a").alias("e"), "n", "pos", "sig").dropDuplicates(["token", "e"])
+    once = hot.select("token", F.col("a").alias("e"), "n", "pos", "sig", "more").dropDuplicates(["token", "e"])
     rooted = (
         once.join(classes.select("e", "id"), "e").join(roots.withColumnRenamed("node", "id"), "id", "left")
         .withColumn("root", F.coalesce("root", "id"))
@@ -106,17 +108,22 @@ def near_duplicates(documents: DataFrame, size: int = WORDS, percent: int = PERC
     """``doc_id, n_shingles, component_id`` of every row of ``documents``."""
     spark, extract = documents.sparkSession, shingle_sets(size)
     made, made_at = keep(J.describe(documents, extract), "sets", "kind")
-    described = made.filter("kind = 0").select(F.col("doc").alias("doc_id"), "n", "e")
+    described = made.filter("kind = 0").select(F.col("doc").alias("doc_id"), "n", "e", "h")
     counts = J.frequencies(made)
     classes, classes_at = keep(
-        described.filter("n > 0").groupBy("e").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "classes"
+        described.filter("n > 0").groupBy("e").agg(
+            F.min("doc_id").alias("id"), F.max("n").alias("n"), F.min_by("h", "doc_id").alias("h")
+        ), "classes"
     )
     found, found_at = keep(J.candidates(J.postings(documents, extract, counts, percent), percent, COLD), "found", "kind")
-    pairs = found.filter(f"kind = {J.PAIR}").select("a", "b").union(J.anchor_pairs(found, percent, COLD)).distinct()
+    anchors = J.anchor_pairs(found, percent, COLD).select("a", "b")
+    pairs = found.filter(f"kind = {J.PAIR}").select("a", "b").union(anchors).distinct()
     pairs, pairs_at = keep(pairs, "pairs")
     links, links_at = _links(documents, pairs, classes, extract, percent)
     roots = components(links)
-    more, more_at = keep(_open_pairs(found.filter(f"kind = {J.HOT}"), classes, roots, percent), "pairs")
+    # Pairs that failed are not verified again.
+    more = _open_pairs(found.filter(f"kind = {J.HOT}"), classes, roots, percent)
+    more, more_at = keep(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         rest, rest_at = _links(documents, more, classes, extract, percent)
         roots = components(links.union(rest))

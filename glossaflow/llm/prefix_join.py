@@ -6,6 +6,8 @@ similarity ``percent`` or more share a token among their first
 Candidates of a shared token pass a length filter, a positional filter and a
 parity bitmap (tokens that differ flip single bits, so the number of differing
 bits bounds the symmetric difference from below), and the rest are verified once.
+Sets of many tokens have a bitmap of 128 bits, whose halves fold into the 64 bits
+of smaller ones.
 
 Token frequencies come from a sketch of fixed size counted over all rows. It only
 decides the order: any fixed order gives the same result, and in a sketch filled by
@@ -30,19 +32,21 @@ SKETCH = 1 << 18
 PART_ROWS = 1 << 16
 # Runs up to this length are compared together, longer ones one by one.
 BULK = 32
-# Larger sets get no parity bitmap: 64 bits say nothing about them.
-PARITY_SIZE = 160
+# Larger sets get a bitmap of two words.
+PARITY_SIZE = 64
 # Sets a task remembers to leave out copies; forgetting some only costs rows.
 SEEN = 1 << 20
+# Pairs that are verified in one go; their numbers fit 16 bits.
+PAIRS_AT_ONCE = 2_048
 
 #: What an extractor yields per block of a batch: row of each set in the batch, its
 #: ordinal in the row, bounds, and its distinct tokens in ascending order.
 Sets = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 Extractor = Callable[[pa.Array], Iterator[Sets]]
 
-MADE = "kind int, doc long, line int, n int, e long"
-POSTING = "token long, part int, doc long, line int, e long, n int, pos int, sig long, before long"
-FOUND = "kind int, token long, a long, b long, doc long, line int, n int, pos int, sig long"
+MADE = "kind int, doc long, line int, n int, e long, h long"
+POSTING = "token long, part int, doc long, line int, e long, n int, pos int, sig long, more long, before long"
+FOUND = "kind int, token long, a long, b long, doc long, line int, n int, pos int, sig long, more long"
 PAIR, HOT, ANCHOR = 0, 1, 2
 
 
@@ -84,21 +88,26 @@ def _batch(schema: str, rows: int, /, **columns) -> pa.RecordBatch:
 def describe(documents: DataFrame, extract: Extractor) -> DataFrame:
     """Sets as rows of ``kind`` 0; token counts of each task as ``kind`` 1.
 
-    A count row holds its sketch bucket in ``doc`` and the count in ``e``.
+    ``h`` is the hash of the whole text (:func:`text_hash`), which tells rows of one id
+    apart. A count row holds its sketch bucket in ``doc`` and the count in ``e``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
             for rows, line, bounds, tokens in extract(batch.column(1)):
                 counts += np.bincount(bucket(tokens), minlength=SKETCH)
-                yield _batch(MADE, len(rows), doc=ids[rows], line=line, n=np.diff(bounds), e=set_hashes(bounds, tokens))
+                yield _batch(MADE, len(rows), doc=ids[rows], line=line, n=np.diff(bounds), e=set_hashes(bounds, tokens), h=texts[rows])
         some = np.flatnonzero(counts)
         yield _batch(MADE, len(some), kind=1, doc=some, e=counts[some])
 
     known = documents.filter(F.col("doc_id").isNotNull())
-    return known.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MADE)
+    return known.select(F.col("doc_id").cast("long"), "text", text_hash(F.col("text"))).mapInArrow(run, MADE)
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def frequencies(made: DataFrame) -> np.ndarray:
@@ -131,13 +140,14 @@ def postings(documents: DataFrame, extract: Extractor, counts: np.ndarray, perce
                 owner = np.repeat(np.arange(len(e)), size)
                 owner, tokens = owner[new[owner]], tokens[new[owner]]
                 bits = np.uint64(1) << (tokens & np.uint64(63))
-                sig = np.zeros(len(e), np.uint64)
+                sig, more = np.zeros(len(e), np.uint64), np.zeros(len(e), np.uint64)
                 some = np.flatnonzero(new & (size > 0))
                 if not len(some):
                     continue
                 starts = np.searchsorted(owner, some)
-                sig[some] = np.bitwise_xor.reduceat(bits, starts)
-                sig[size > PARITY_SIZE] = 0
+                second = (size[owner] > PARITY_SIZE) & ((tokens >> np.uint64(6)) & np.uint64(1) > 0)
+                sig[some] = np.bitwise_xor.reduceat(np.where(second, np.uint64(0), bits), starts)
+                more[some] = np.bitwise_xor.reduceat(np.where(second, bits, np.uint64(0)), starts)
                 rarity = level[bucket(tokens)]
                 order = np.argsort(rarity, kind="stable")
                 order = order[np.argsort(owner[order].astype(np.uint32), kind="stable")]
@@ -154,15 +164,15 @@ def postings(documents: DataFrame, extract: Extractor, counts: np.ndarray, perce
                 yield _batch(
                     POSTING, len(owner), token=tokens.view(np.int64), part=part.astype(np.int32),
                     doc=ids[rows[owner]], line=line[owner], e=e[owner], n=size[owner], pos=pos, sig=sig.view(np.int64)[owner],
-                    before=before.view(np.int64),
+                    more=more.view(np.int64)[owner], before=before.view(np.int64),
                 )
 
     known = documents.filter(F.col("doc_id").isNotNull())
     return known.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, POSTING)
 
 
-def passes(percent: int, n1, n2, p1, p2, s1, s2) -> np.ndarray:
-    """Length, positional and parity filters of candidates at one shared token.
+def passes(percent: int, n1, n2, p1, p2, s1, s2, m1, m2) -> tuple[np.ndarray, np.ndarray]:
+    """Length, positional and parity filters of candidates at one shared token, and bits apart.
 
     The positional filter takes the token as the pair's first common one, so all
     overlap lies from here on. A similar pair passes at the token where that is so.
@@ -170,9 +180,10 @@ def passes(percent: int, n1, n2, p1, p2, s1, s2) -> np.ndarray:
     small, large = np.minimum(n1, n2), np.maximum(n1, n2)
     need = -(-percent * (n1 + n2) // (100 + percent))
     most = np.minimum(n1 - p1, n2 - p2)
-    apart = np.bitwise_count((s1 ^ s2).view(np.uint64)).astype(np.int64)
-    near = (apart <= n1 + n2 - 2 * need) | (large > PARITY_SIZE)
-    return (100 * small >= percent * large) & (most >= need) & near
+    count = lambda x: np.bitwise_count(x.view(np.uint64)).astype(np.int64)
+    first, second = s1 ^ s2, m1 ^ m2
+    apart = np.where(small > PARITY_SIZE, count(first) + count(second), count(first ^ second))
+    return (100 * small >= percent * large) & (most >= need) & (apart <= n1 + n2 - 2 * need), apart
 
 
 def passes_sql(percent: int, a: str, b: str) -> Column:
@@ -180,14 +191,22 @@ def passes_sql(percent: int, a: str, b: str) -> Column:
     n1, n2, p1, p2 = (F.col(f"{t}.{c}").cast("long") for c in ("n", "pos") for t in (a, b))
     need = F.ceil(percent * (n1 + n2) / F.lit(100.0 + percent) - 1e-9)
     most = F.least(n1 - p1, n2 - p2)
-    apart = F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig")))
-    near = (apart <= n1 + n2 - 2 * need) | (F.greatest(n1, n2) > PARITY_SIZE)
+    near = bits_apart(a, b) <= n1 + n2 - 2 * need
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (most >= need) & near
 
 
+def bits_apart(a: str, b: str) -> Column:
+    """Bits in which the bitmaps of two sets differ."""
+    first, second = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("sig", "more"))
+    both = F.bit_count(first) + F.bit_count(second)
+    return F.when(F.least(f"{a}.n", f"{b}.n") > PARITY_SIZE, both).otherwise(F.bit_count(first.bitwiseXOR(second)))
+
+
 def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
     """Pairs of sets that share a token, hot postings, and anchors of salted runs.
 
+    Pairs hold the bits apart in ``n``.
+
     Up to ``cold`` sets of one token are compared all with all, which the filters
     make cheap. Rows stream in sorted order; only the run at hand is held, and of a
     hot run only its first row.
@@ -198,12 +217,13 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
         # A pair that shares the token before as well is met there.
         fresh = (x["e"][i] != x["e"][j]) & (x["before"][i] != x["before"][j])
         i, j = i[fresh], j[fresh]
-        ok = passes(percent, x["n"][i], x["n"][j], x["pos"][i], x["pos"][j], x["sig"][i], x["sig"][j])
+        both = [x[c][at] for c in ("n", "pos", "sig", "more") for at in (i, j)]
+        ok, apart = passes(percent, *both)
         a, b = x["e"][i][ok], x["e"][j][ok]
-        return _batch(FOUND, len(a), kind=PAIR, a=np.minimum(a, b), b=np.maximum(a, b))
+        return _batch(FOUND, len(a), kind=PAIR, a=np.minimum(a, b), b=np.maximum(a, b), n=apart[ok])
 
     def hot(x, kind, at) -> pa.RecordBatch:
-        return _batch(FOUND, len(at), kind=kind, a=x["e"][at], **{c: x[c][at] for c in ("token", "doc", "line", "n", "pos", "sig")})
+        return _batch(FOUND, len(at), kind=kind, a=x["e"][at], **{c: x[c][at] for c in ("token", "doc", "line", "n", "pos", "sig", "more")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = None, None
@@ -282,8 +302,8 @@ def anchor_pairs(found: DataFrame, percent: int, cold: int) -> DataFrame:
     """Pairs of the first sets of a salted token's parts."""
     split = found.filter(f"kind = {ANCHOR}")
     salted = split.groupBy("token").agg(F.count("*").alias("_parts")).filter("_parts > 1")
-    rows = split.join(salted, "token").select("token", F.lit(0).alias("part"), "doc", "line", F.col("a").alias("e"), "n", "pos", "sig", F.col("a").alias("before"))
-    return candidates(rows, percent, cold).filter(f"kind = {PAIR}").select("a", "b")
+    rows = split.join(salted, "token").select("token", F.lit(0).alias("part"), "doc", "line", F.col("a").alias("e"), "n", "pos", "sig", "more", F.col("a").alias("before"))
+    return candidates(rows, percent, cold).filter(f"kind = {PAIR}").select("a", "b", "n")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -291,31 +311,47 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     ``sets`` holds ``e``, ``id`` and ``tokens`` (ascending 64-bit integers as
     bytes). A suffix filter compares how many tokens of the two sets fall between
-    a few pivots before the overlap is counted.
+    a few pivots before the overlap is counted, for a batch of pairs at a time.
     """
     left = sets.select(F.col("e").alias("a"), F.col("id").alias("x"), F.col("tokens").alias("s"))
     right = sets.select(F.col("e").alias("b"), F.col("id").alias("y"), F.col("tokens").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [similar(s.as_buffer(), t.as_buffer(), percent) for s, t in zip(batch.column("s"), batch.column("t"))]
+            ok = np.zeros(batch.num_rows, dtype=bool)
+            for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                part = batch.slice(at, PAIRS_AT_ONCE)
+                ok[at:at + part.num_rows] = similar_pairs(part.column("s"), part.column("t"), percent)
             yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("x", "y", "s", "t")
     return joined.mapInArrow(run, "x long, y long")
 
 
-def similar(s: bytes, t: bytes, percent: int) -> bool:
-    a, b = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-    if len(a) < len(b):
-        a, b = b, a
-    need = -(-percent * (len(a) + len(b)) // (100 + percent))
-    if len(a) >= 32:
-        at = np.arange(1, 8) * len(a) // 8
-        cut = np.searchsorted(b, a[at])
-        apart = np.abs(np.diff(at, prepend=0, append=len(a)) - np.diff(cut, prepend=0, append=len(b))).sum()
-        if apart > len(a) + len(b) - 2 * need:
-            return False
-    where = np.searchsorted(a, b)
-    where[where == len(a)] = 0
-    return int((a[where] == b).sum()) >= need
+def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of a column of sets, and the size of each set."""
+    sets = sets.cast(pa.large_binary())
+    offsets = np.frombuffer(sets.buffers()[1], np.int64, len(sets) + 1, 8 * sets.offset)
+    data = sets.buffers()[2]
+    whole = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(whole.tobytes(), np.uint64), np.diff(offsets) // 8
+
+
+def similar_pairs(s: pa.Array, t: pa.Array, percent: int) -> np.ndarray:
+    """Which sets of ``s`` are similar to those of ``t`` at the same places."""
+    (a, m), (b, n) = _flat(s), _flat(t)
+    need = -(-percent * (m + n) // (100 + percent))
+    left, right = np.repeat(np.arange(len(m)), m), np.repeat(np.arange(len(n)), n)
+    # Suffix filter: tokens of both sets in each eighth of the range of hashes.
+    eighths = lambda owner, x: np.bincount(owner * 8 + (x >> np.uint64(61)).astype(np.int64), minlength=8 * len(m)).reshape(-1, 8)
+    apart = np.abs(eighths(left, a) - eighths(right, b)).sum(axis=1)
+    maybe = apart <= m + n - 2 * need
+    a, left, b, right = a[maybe[left]], left[maybe[left]], b[maybe[right]], right[maybe[right]]
+    tokens = np.concatenate((a, b))
+    # Tokens of a pair in ascending order: a token of both sets stands there twice.
+    order = np.argsort(tokens, kind="stable")
+    owner = np.concatenate((left, right))[order]
+    by_pair = np.argsort(owner.astype(np.uint16), kind="stable")
+    owner, tokens = owner[by_pair], tokens[order][by_pair]
+    twice = (owner[1:] == owner[:-1]) & (tokens[1:] == tokens[:-1])
+    return maybe & (np.bincount(owner[1:][twice], minlength=len(m)) >= need) & (need > 0)

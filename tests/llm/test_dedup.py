@@ -141,3 +141,27 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (7, 7), (6, 5), (10, 3), (20, 19)] + [(100 + k, 101 + k) for k in range(20)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 10: 1, 4: 4, 5: 4, 6: 4, 19: 19, 20: 19} | {100 + k: 100 for k in range(21)}
+
+
+def test_documents_that_lose_every_line_can_go(spark):
+    table = [(1, "a b c\nd e f"), (2, "d e f\na b c"), (3, " \n"), (4, None), (5, "d e f\nnew words here"), (None, "a b c")]
+    documents = spark.createDataFrame([(i, t, 9) for i, t in table], "doc_id long, text string, n_chars long")
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents, keep_emptied=False).collect()}
+    assert kept == {1: table[0][1], 3: " \n", 4: None, 5: "new words here", None: "a b c"}
+    assert {r.doc_id for r in line_dedup.dedup_lines(documents).collect()} == {1, 2, 3, 4, 5, None}
+
+
+def test_one_id_on_many_texts(spark):
+    """Lines of a hot id are looked up text by text; copies and near copies of one line settle one by one."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(20)]
+    table = []
+    for k in range(900):
+        words = list(base)
+        words[rng.randrange(20)] = f"x{k}"
+        own = " ".join(f"{k}v{j}" for j in range(8))
+        table.append((7 if k % 3 else k, f"{own}\n{' '.join(words)}"))
+    documents = spark.createDataFrame(table * 2, "doc_id long, text string").repartition(5)
+    got = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(documents).collect()}
+    first = min(i for i, _ in table)
+    assert got == {(i, t if i == first or not i else t.split("\n")[0]) for i, t in table}
