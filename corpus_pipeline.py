@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that match an earlier line."""
-    return line_dedup.dedup_lines(docs)
+    """Documents without lines that match an earlier line; those it leaves no word go."""
+    return line_dedup.dedup_lines(docs, keep_emptied=False)
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
