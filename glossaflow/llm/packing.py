@@ -1,8 +1,9 @@
 """Packing token sequences into windows by minimum bin slack.
 
-Texts are tokenised word by word with a cache of words, and closed with an end id: in
-the tokenizers meant here, an id does not depend on what stands beyond white space,
-or beyond the border between a letter and closing signs. Texts
+Texts are tokenised word by word with a cache of words, and closed with an end id,
+where a tokenizer's ids do not depend on what stands beyond white space, or beyond the
+border between a letter and closing signs. Other tokenizers (found by probes, such as
+those whose ids hold the space before a word) encode whole texts. Texts
 longer than a window are cut into full windows and a rest. Only the number of rests
 per length reaches the driver: at most ``window`` numbers. There a bitset
 subset-sum over the remaining lengths finds the multiset that fills a window
@@ -38,6 +39,9 @@ BUCKET_ROWS = 2_048
 _TAIL = np.zeros(256, dtype=bool)
 _TAIL[[ord(c) for c in ".,;:!?%&*$#"]] = True
 
+# Texts that tell tokenizers apart whose ids depend on their neighbours.
+_PROBES = ("a b", "the  end", "Ab, cd. Ef!", "x\ty\nz", " lead", "trail \n", "é ü, 天 b", "5 % of $7 & #8", "it's a-b c_d")
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -53,9 +57,33 @@ class WordEncoder:
         self._known: dict[bytes, bytes] = {}
         # Where case is dropped anyway, words that differ in it are one entry.
         self.lower = self._same("A", "a") and self._same("ZQ", "zq")
+        self.by_word = all(self._by_word(t) == self._ids(t) for t in _PROBES)
+
+    def _ids(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
 
     def _same(self, a: str, b: str) -> bool:
-        return self._tokenizer.encode(a, add_special_tokens=False).ids == self._tokenizer.encode(b, add_special_tokens=False).ids
+        return self._ids(a) == self._ids(b)
+
+    def _by_word(self, text: str) -> list[int]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        words = self.words(data, np.array([0, len(data)]))
+        return [i for code in words.codes for i in self._ids(words.vocab[code].as_py().decode())]
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts one after another, and where each text ends among them."""
+        if not self.by_word:
+            whole = data.tobytes()
+            texts = [whole[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            ids = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+            return np.array([i for x in ids for i in x], np.uint32), ends
+        words = self.words(data, offsets)
+        sizes, flat = self.encode(words.vocab.to_pylist())
+        begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        each = sizes[words.codes]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        return flat[np.repeat(begin[words.codes] - ends[:-1], each) + np.arange(ends[-1])], ends[words.bounds]
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> Words:
         """Words as units of encoding; special tokens' marks keep case and tails whole."""
@@ -88,14 +116,9 @@ def pieces(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: i
         for batch in batches:
             ids = batch.column(0)
             for row, data, offsets in blocks(batch.column(1)):
-                words = known.words(data, offsets)
-                sizes, flat = known.encode(words.vocab.to_pylist())
-                begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-                each = sizes[words.codes]
-                ends = np.concatenate(([0], np.cumsum(each)))
-                stream = flat[np.repeat(begin[words.codes] - ends[:-1], each) + np.arange(ends[-1])]
+                stream, ends = known.texts(data, offsets)
                 out: list[tuple[int, int, int, int, int]] = []
-                for i, (a, b) in enumerate(zip(ends[words.bounds[:-1]].tolist(), ends[words.bounds[1:]].tolist())):
+                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
                     whole = np.append(stream[a:b], np.uint32(end_id)).astype("<u4")
                     for at in range(0, len(whole), window):
                         piece = whole[at:at + window]
@@ -174,19 +197,25 @@ def slots(counts: dict[int, int], window: int = WINDOW) -> dict[str, np.ndarray]
 def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``."""
     spark = documents.sparkSession
-    cut, _ = keep(pieces(documents, tokenizer, window, end_id), "pieces")
+    # The place in the stored table tells equal pieces apart.
+    numbered = pieces(documents, tokenizer, window, end_id).withColumn("_at", F.monotonically_increasing_id())
+    cut, _ = keep(numbered, "pieces")
     # Bounded by the window, not by the rows.
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(slots(counts, window))
     buckets = 1 + sum(counts.values()) // BUCKET_ROWS
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets))
-    dealt = cut.withColumn("_bucket", bucket)
-    # A length that many documents share is ranked bucket by bucket.
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("n")).select(
-        "length", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first")
+    dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64("_at"), F.lit(buckets)))
+    # A length that many documents share is ranked bucket by bucket, and buckets in groups.
+    grouped = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("n")).withColumn("_group", F.floor(F.col("_bucket") / BUCKET_ROWS))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = grouped.groupBy("length", "_group").agg(F.sum("n").alias("n")).select(
+        "length", "_group", F.coalesce(F.sum("n").over(earlier("length", "_group")), F.lit(0)).alias("_base")
+    )
+    inside = F.coalesce(F.sum("n").over(earlier("length", "_group", "_bucket")), F.lit(0))
+    firsts = grouped.withColumn("_inside", inside).join(groups, ["length", "_group"]).select(
+        "length", "_bucket", (F.col("_base") + F.col("_inside")).alias("_first")
     )
-    order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32")
+    order = Window.partitionBy("length", "_bucket").orderBy("_at")
     ranked = dealt.withColumn("_in", F.row_number().over(order) - 1).join(firsts, ["length", "_bucket"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_first") + F.col("_in")).alias("rank"))
 

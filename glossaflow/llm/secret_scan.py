@@ -5,11 +5,13 @@ candidates are reported only with their complements: a part of a credential is a
 access identifier (an access key id, or a value assigned to a user or client id), a
 secret (an assigned or hexadecimal base secret, or a mixed random-looking string),
 or an endpoint (a url, or host and port). All parts of a row form one table; an
-interval join finds, for each part, whether parts of the other kinds begin within
-``SCOPE`` characters of it. The join is a range frame over the row's parts, which
-reads each scope once and makes no pairs. A weak secret counts next to an
-identifier; a weak identifier counts next to a secret and an endpoint, or an endpoint
-next to both; weak parts that touch a base span are left out, since it is reported.
+interval join finds, for each part, whether parts of the other kinds stand within
+``SCOPE`` characters of it, between the nearest ends. The join is a range frame over the
+row's parts, which keeps the furthest end so far and the next beginning and makes no
+pairs. A weak secret counts next to an identifier; a weak identifier counts next to a
+secret and an endpoint, or an endpoint next to both, or either next to a secret that has
+both beside it, however long that is; weak parts that touch a base span are left out,
+since it is reported.
 
 Positions are code points, ends exclusive. Defined results: null text counts as
 empty; every row is judged by itself, whatever its id; of weak candidates of several
@@ -82,7 +84,7 @@ def _spans(parts: Column) -> Column:
 def scan(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row."""
     part = _with_parts(documents).select("doc_id", "_row", F.explode_outer("_parts").alias("p")).select("doc_id", "_row", "p.start", "p.end", "p.kind")
-    near = Window.partitionBy("_row").orderBy("start").rangeBetween(-scope, scope)
+    so_far = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
     same = Window.partitionBy("_row").orderBy("start").rangeBetween(0, Window.currentRow)
     kind = F.col("kind")
@@ -91,17 +93,25 @@ def scan(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
         F.when(kind.isin(1, 3), 1).when(kind.isin(0, 2, 4), 2).when(kind == 5, 3)
     )
     ahead = Window.partitionBy("_row").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+
+    def near(wanted: Column) -> Column:
+        """Whether a wanted part ends, or begins, within the scope of this one's nearer edge."""
+        left = F.max(F.when(wanted, F.col("end"))).over(so_far) >= F.col("start") - scope
+        right = F.min(F.when(wanted, F.col("start"))).over(ahead) <= F.col("end") + scope
+        return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
+
     marked = part.withColumns({
-        "_ids": F.count_if(role == 1).over(near), "_secrets": F.count_if(role == 2).over(near), "_ends": F.count_if(role == 3).over(near),
+        "_ids": near(role == 1), "_secrets": near(role == 2), "_ends": near(role == 3),
         # The base span that reaches furthest of those that begin before, and the next.
         "_reach": F.max(F.when(base, F.col("end"))).over(before), "_here": F.max(F.when(base, F.col("end"))).over(same),
         "_next": F.min(F.when(base, F.col("start"))).over(ahead),
     })
     touches = (F.coalesce("_reach", F.lit(-1)) > F.col("start")) | F.col("_here").isNotNull() | (F.coalesce("_next", F.lit(1 << 30)) < F.col("end"))
+    marked = marked.withColumn("_whole", near((role == 2) & F.col("_ids") & F.col("_ends")))
     linked = (
-        ((kind == 4) & (F.col("_ids") > 0))
-        | ((kind == 3) & (F.col("_secrets") > 0) & (F.col("_ends") > 0))
-        | ((kind == 5) & (F.col("_secrets") > 0) & (F.col("_ids") > 0))
+        ((kind == 4) & F.col("_ids"))
+        | ((kind == 3) & ((F.col("_secrets") & F.col("_ends")) | F.col("_whole")))
+        | ((kind == 5) & ((F.col("_secrets") & F.col("_ids")) | F.col("_whole")))
     )
     kept = marked.withColumn("_keep", base | (linked & ~touches))
     span = F.when(F.col("_keep"), F.struct("start", "end", "kind"))

@@ -73,3 +73,24 @@ def test_word_by_word_ids_are_the_whole_texts_ids(text):
     begin = np.concatenate(([0], np.cumsum(sizes)))
     got = [int(i) for c in words.codes for i in flat[begin[c]:begin[c + 1]]]
     assert got == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_tokenizers_whose_ids_depend_on_neighbours_encode_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert P.WordEncoder(PATH).by_word and not P.WordEncoder(path).by_word
+    tokenizer, texts = Tokenizer.from_file(path), ["Hello  there, world", "", None, " a\n b", "x" * 300]
+    got = P.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, 64).collect()
+    for k, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        want = [(at, zlib.crc32(ids[at:at + 64].tobytes()), len(ids)) for at in range(0, len(ids), 64)]
+        assert sorted((r.start, r.ids_crc32, r.doc_tokens) for r in got if r.doc_id == k) == want
+
+
+def test_equal_rows_fill_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET_ROWS", 8)
+    table = [(1, "one two three")] * 500 + [(k, "a " * (k % 9)) for k in range(200)]
+    rows = P.pack(spark.createDataFrame(table, "doc_id long, text string").repartition(5), PATH, 64).collect()
+    assert len(rows) == 700
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    for (s, o, n), (t, p, _) in zip(places, places[1:]):
+        assert (t, p) == ((s, o + n) if t == s else (s + 1, 0))

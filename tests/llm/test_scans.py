@@ -6,6 +6,7 @@ import re
 import time
 
 import pytest
+import regex
 
 from glossaflow.llm import pii_surrogates as P
 from glossaflow.llm import secret_scan as S
@@ -111,6 +112,52 @@ def test_long_weak_secrets(spark):
         assert found == ([] if key == "x" * 90 else ["identifier:0:17", "endpoint:18:37", f"secret:38:{38 + len(key)}"])
 
 
+def test_scope_is_between_nearest_ends(spark):
+    long = "aB3+" * 25_000
+    rows = [
+        (1, f"user=admin {long} https://h.example/x"), (2, f"https://h.example/x {long} user=admin"),
+        (3, f"user=admin {'z ' * (S.SCOPE // 2 + 5)}{WEAK}"), (4, f"user=admin {'z ' * (S.SCOPE // 2 - 2)}{WEAK}"),
+        (5, f"user=admin {long} {'z ' * S.SCOPE}https://h.example/x"),
+    ]
+    found = {r.doc_id: [x.split(":")[0] for x in r.spans.split(",") if x] for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {
+        1: ["identifier", "secret", "endpoint"], 2: ["endpoint", "secret", "identifier"], 3: [], 4: ["secret"], 5: ["secret"],
+    }
+
+
+def linked_spans(text: str) -> list[str]:
+    """The linking rules, part by part."""
+    roles = {"access": 1, "identifier": 1, "assign": 2, "hex": 2, "secret": 2, "endpoint": 3}
+    parts = []
+    for kind, pattern in S.PATTERNS.items():
+        for m in regex.finditer(pattern, text):
+            if kind != "assign" or len(m[2]) >= 8:
+                parts.append((m.start(), S.KINDS.index(kind), m.end()))
+    name = lambda p: S.KINDS[p[1]]
+    near = lambda p, role, among: any(
+        roles[name(q)] == role and q is not p and q[0] - p[2] <= S.SCOPE and p[0] - q[2] <= S.SCOPE for q in among
+    )
+    whole = [p for p in parts if roles[name(p)] == 2 and near(p, 1, parts) and near(p, 3, parts)]
+    base = [p for p in parts if p[1] < 3]
+    out = list(base)
+    for p in parts:
+        ids, secrets, ends = (near(p, r, parts) for r in (1, 2, 3))
+        complete = near(p, 2, whole)
+        rule = {"secret": ids, "identifier": (secrets and ends) or complete, "endpoint": (secrets and ids) or complete}
+        if rule.get(name(p)) and not any(b[0] < p[2] and p[0] < b[2] for b in base):
+            out.append(p)
+    return [f"{name(p)}:{p[0]}:{p[2]}" for p in sorted(out)]
+
+
+def test_linking_equals_the_rules(spark):
+    rng = random.Random(6)
+    pieces = [KEY, WEAK, f"password={WEAK}", "user=admin", "client_id: ab_c", "https://h.example/x", "db.example.com:5432", "0a" * 20, "z " * 60, "word", "{}"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in S.scan(table).collect():
+        assert r.spans == ",".join(linked_spans(texts[r.doc_id])), texts[r.doc_id]
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
