@@ -9,6 +9,7 @@ import pytest
 from glossaflow.llm import quality_fm as F
 from glossaflow.llm import quality_rules as R
 from glossaflow.llm.calibration import platt
+from glossaflow.llm.words import split, utf8
 from llm import fixtures as X
 
 SF = "/root/testdata/sf0.01"
@@ -96,3 +97,60 @@ def test_a_hot_labelled_id_sends_one_row_per_label_to_the_fit(spark, module):
     assert len(used) == 3 + sum(1 for k in range(2, 60) if zlib.crc32(str(k).encode()) % 5 and k != 1)
     few = module.training_rows(documents, labels, sample_rows=4).collect()
     assert len(few) == 4
+
+
+ODD_TEXTS = [
+    "", None, "one", "A b, a b!\nA b, a b!\n# x | y", "Été straße 天气 e" * 9, "word " * 300, "\n\n  \t\n", "x1 22 three. four; 5?\nsix seven",
+]
+
+
+def word_hashes(text: str) -> list[int]:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return split(data, np.array([0, len(data)])).hashes().tolist()
+
+
+def test_rules_score_equals_the_mean_weight_of_each_kind_of_gram():
+    model, mask = R.Regression(), (1 << 64) - 1
+    model.weights = np.random.default_rng(3).normal(size=len(model.weights)).astype(np.float32)
+    model.bias = 0.25
+
+    def slot(gram: list[int], group: int) -> int:
+        h = 0
+        for item in gram:
+            h = (h + item) * int(R._STEP) & mask
+            h ^= h >> 31
+        return (group << R.BITS) + ((h * int(R._STEP) & mask) >> (64 - R.BITS))
+
+    data, offsets = utf8(pa.array(ODD_TEXTS))
+    got = model.raw(R.grams(data, offsets, split(data, offsets)))
+    for k, text in enumerate(ODD_TEXTS):
+        text, want = text or "", model.bias
+        for group, (size, items) in enumerate([(n, word_hashes(text)) for n in R.WORD_GRAMS] + [(n, [ord(c) for c in text]) for n in R.CHAR_GRAMS]):
+            grams = [items[i:i + size] for i in range(len(items) - size + 1)]
+            want += sum(float(model.weights[slot(g, group)]) for g in grams) / max(1, len(grams))
+        assert got[k] == pytest.approx(want, abs=1e-4)
+
+
+def test_machine_features_equal_the_restatement():
+    for row, bounds, index, values in F.features(pa.array(ODD_TEXTS)):
+        for i in range(len(bounds) - 1):
+            text = ODD_TEXTS[row + i] or ""
+            found = sorted(zip(index[bounds[i]:bounds[i + 1]].tolist(), values[bounds[i]:bounds[i + 1]].tolist()))
+            words, hashes = X.words_of(text), word_hashes(text)
+            times = {w: words.count(w) for w in words}
+            norm = sum(np.log1p(n) ** 2 for n in times.values()) ** 0.5
+            want = [(dict(zip(words, hashes))[w] % F.WORD_BUCKETS, np.log1p(n) / norm) for w, n in times.items()]
+            n, chars, lines = max(1, len(words)), max(1, len(text)), [x for x in text.split("\n") if X.words_of(x)]
+            share = lambda signs: sum(text.count(s) for s in signs) / chars
+            stats = {
+                "symbols": share("#*$%&|<>"), "exclamations": share("!"), "capitals": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+                "digits": share("0123456789"), "stops": share(".,;:?"),
+                "same_as_previous": sum(a == b for a, b in zip(words, words[1:])) / n, "repeated_words": 1 - len(times) / n,
+                "repeated_lines": 1 - len({x.encode() for x in lines}) / len(lines) if lines else 0,
+                "word_length": sum(map(len, words)) / n, "line_words": len(words) / (text.count("\n") + 1),
+                "chars": len(text), "words": len(words),
+            }
+            for k, (name, edges) in enumerate(F.STATISTICS.items()):
+                want.append((F.WORD_BUCKETS + k * F._BINS + sum(stats[name] >= e for e in edges), F.BIN_VALUE))
+            assert [x for x, _ in found] == [x for x, _ in sorted(want)], (text, name)
+            assert [v for _, v in found] == pytest.approx([v for _, v in sorted(want)])
