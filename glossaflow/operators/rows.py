@@ -37,6 +37,12 @@ def valid_predictions(df: DataFrame) -> DataFrame:
     return df.filter(is_valid())
 
 
+def is_filled(prediction: Sequence[str], reference: Sequence[str]) -> Column:
+    """True for rows whose first present candidate of both sides holds text."""
+    first = [F.coalesce(*[F.col(c) for c in side]) for side in (prediction, reference)]
+    return ~X.is_blank(first[0]) & ~X.is_blank(first[1])
+
+
 def coalesced_pairs(
     df: DataFrame, prediction: Sequence[str], reference: Sequence[str]
 ) -> DataFrame:
@@ -44,8 +50,7 @@ def coalesced_pairs(
     pred = [F.col(c) for c in prediction]
     ref = [F.col(c) for c in reference]
     kept = [c for c in df.columns if c not in ("pred", "ref")]
-    filled = ~X.is_blank(F.coalesce(*pred)) & ~X.is_blank(F.coalesce(*ref))
-    return df.filter(filled).select(
+    return df.filter(is_filled(prediction, reference)).select(
         *kept, X.coalesce_fields(*pred).alias("pred"), X.coalesce_fields(*ref).alias("ref")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossaflow.functions import scores as S
+from glossaflow.functions import text as X
 from glossaflow.operators import metrics as M
 from glossaflow.operators import rows as O
 from glossaflow.patterns import BLEU_ORDER
@@ -63,13 +64,18 @@ def system_report(
     """One report row per system over merged files of any field convention.
 
     Without any valid pair there is nothing to report, which is an error. Rows that
-    carry their ``file`` also get the system's sorted list of files; a system
-    without pairs then stays, with no samples and null scores.
+    carry their ``file`` also get the system's sorted list of files, in the same pass; a
+    system without pairs then stays, with no samples and null scores.
     """
     pairs = O.require_rows(O.coalesced_pairs(rows, prediction, reference), "no valid pairs")
-    report = _intrinsic(pairs, "samples", by, pred="pred", ref="ref")
     if "file" not in rows.columns:
-        return report
-    # Reads the two columns only, and grows with the number of input files.
-    files = rows.groupBy(by).agg(F.array_sort(F.collect_set("file")).alias("files"))
-    return files.join(report, by, "left").select(*report.columns, "files").fillna(0, ["samples"])
+        return _intrinsic(pairs, "samples", by, pred="pred", ref="ref")
+    filled = O.is_filled(prediction, reference)
+    side = lambda names: F.when(filled, X.coalesce_fields(*[F.col(c) for c in names]))
+    masked = rows.select(by, "file", filled.alias("_valid"), side(prediction).alias("_pred"), side(reference).alias("_ref"))
+    sums = M.with_stats(masked, "_pred", "_ref").groupBy(by).agg(
+        F.count_if("_valid").alias("samples"), F.array_sort(F.collect_set("file")).alias("files"),
+        *M.ngram_sums(), *M.token_rates(),
+    )
+    scored = F.when(F.col("samples") > 0, M.chrf_column()).alias("chrF")
+    return sums.select(by, "samples", scored, *M.rate_columns(), "files")
