@@ -102,10 +102,13 @@ def walk(hashes: np.ndarray, starts: np.ndarray, width: int, repeat: int) -> np.
     return mix(key)
 
 
-def fewest_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """Edit distance of ``item`` to the nearest passage of ``text``, and that passage's end."""
+def fewest_edits(item: np.ndarray, text: np.ndarray, from_first: bool = False) -> tuple[int, int]:
+    """Edit distance of ``item`` to the nearest passage of ``text``, and that passage's end.
+
+    ``from_first`` takes passages that begin with the text's first word only.
+    """
     ramp = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)
+    row = ramp.astype(np.int64) if from_first else np.zeros(len(text) + 1, np.int64)
     for i, word in enumerate(item, 1):
         new = np.empty_like(row)
         new[0] = i
@@ -235,9 +238,12 @@ class Items:
                 if near is not None and near < best.get((doc, item), (1 << 30, 0)):
                     best[doc, item] = near
             for (doc, item), (edits, end) in sorted(best.items()):
+                # Backwards from the passage's end, the nearest passage ends where it begins.
+                own, first = self.words[item], words.bounds[doc]
+                reach = max(0, end - len(own) - edits)
+                _, back = fewest_edits(own[::-1], hashes[first + reach:first + end][::-1], from_first=True)
                 out[row + doc].append({
-                    "item": self.ids[item], "edits": edits, "item_words": len(self.words[item]),
-                    "start_word": max(0, end - len(self.words[item])),
+                    "item": self.ids[item], "edits": edits, "item_words": len(own), "start_word": int(end - back),
                 })
         return out
 

@@ -109,3 +109,19 @@ def test_repeated_items_are_indexed_once(spark, monkeypatch):
     assert sorted(r.item_id for r in got) == sorted(k % 150 for k in range(300))
     assert {(r.doc_id, r.edits, r.item_words, r.start_word) for r in got} == {(1, 0, 11, 1)}
     assert max(sizes) <= 400
+
+
+def test_start_word_is_that_of_the_passage(spark):
+    rng = random.Random(8)
+    item, table, want = [f"i{k}" for k in range(40)], [], {}
+    for k in range(40):
+        passage, before = list(item), rng.randint(0, 50)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(2, len(passage) - 2)
+            passage[at:at + 1] = [[], ["new", passage[at]], ["other"]][rng.randrange(3)]
+        table.append((k, " ".join([f"a{rng.random()}" for _ in range(before)] + passage + ["z"] * rng.randint(0, 20))))
+        want[k] = before
+    got = D.contaminated(
+        spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    ).collect()
+    assert len(got) == 40 and {r.doc_id: r.start_word for r in got} == want
