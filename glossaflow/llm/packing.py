@@ -32,7 +32,7 @@ from glossaflow.llm.tables import keep
 from glossaflow.llm.words import Words, blocks, cut_tails, split
 
 WINDOW, END_ID = 4_096, 2
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 BUCKET_ROWS = 2_048
 
 # Signs that start a unit of their own behind a letter (not those of special tokens).

@@ -35,7 +35,7 @@ BULK = 32
 # Larger sets get a bitmap of two words.
 PARITY_SIZE = 64
 # Sets a task remembers to leave out copies; forgetting some only costs rows.
-SEEN = 1 << 20
+SEEN = 1 << 17
 # Pairs that are verified in one go; their numbers fit 16 bits.
 PAIRS_AT_ONCE = 2_048
 
