@@ -31,7 +31,7 @@ def local_session(cores: str | int = 8, app: str = "glossaflow") -> SparkSession
 def scratch_path(spark: SparkSession, label: str) -> str:
     """Fresh path below the shared folder named in ``spark.checkpoint.dir``.
 
-    Every executor must reach it, so a machine-local folder is used in local
+    What stands there when the application ends is deleted. Every executor must reach it, so a machine-local folder is used in local
     mode only, and only where the session names no folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,7 +39,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="run-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _held.add(path)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -53,7 +55,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     if df in _places:
         return df
     path = scratch_path(df.sparkSession, label)
-    _held.add(path)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     _places[back] = path
