@@ -14,8 +14,9 @@ decides the order: any fixed order gives the same result, and in a sketch filled
 a large corpus the frequent tokens still stand out and go last.
 
 Tokens shared by many sets ("hot" runs) are not paired all with all: every set is
-paired with the run's first set, and callers ask for the remaining pairs only
-where that left a question open (:func:`hot_pairs`).
+paired with the run's first set. Neither are groups of near copies inside shorter runs,
+whose sets meet the first and the nearest before them. Both leave their sets as hot rows,
+and callers ask for the remaining pairs only where a question is still open.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SKETCH = 1 << 18
 PART_ROWS = 1 << 16
 # Runs up to this length are compared together, longer ones one by one.
 BULK = 32
+# Candidates per set that a longer run makes; groups with more make two for each set.
+PARTNERS = 4
 # Larger sets get a bitmap of two words.
 PARITY_SIZE = 64
 # Sets a task remembers to leave out copies; forgetting some only costs rows.
@@ -213,14 +216,36 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
     """
     names = [f.split(" ")[0] for f in POSTING.split(", ")]
 
-    def pairs(x, i, j) -> pa.RecordBatch:
+    def passing(x, i, j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # A pair that shares the token before as well is met there.
         fresh = (x["e"][i] != x["e"][j]) & (x["before"][i] != x["before"][j])
         i, j = i[fresh], j[fresh]
         both = [x[c][at] for c in ("n", "pos", "sig", "more") for at in (i, j)]
         ok, apart = passes(percent, *both)
-        a, b = x["e"][i][ok], x["e"][j][ok]
-        return _batch(FOUND, len(a), kind=PAIR, a=np.minimum(a, b), b=np.maximum(a, b), n=apart[ok])
+        return i[ok], j[ok], apart[ok]
+
+    def made(x, i, j, apart) -> pa.RecordBatch:
+        a, b = x["e"][i], x["e"][j]
+        return _batch(FOUND, len(a), kind=PAIR, a=np.minimum(a, b), b=np.maximum(a, b), n=apart)
+
+    def pairs(x, i, j) -> pa.RecordBatch:
+        return made(x, *passing(x, i, j))
+
+    def long_run(x, i, j) -> Iterator[pa.RecordBatch]:
+        """Pairs of a long run; of sets with many partners the first and the nearest before them.
+
+        Near copies share all their tokens and would make all pairs of their group. What
+        is left out here can be had from the hot rows of the sets it concerns.
+        """
+        i, j, apart = passing(x, i, j)
+        if len(i) > PARTNERS * len(x["e"]):
+            chosen = np.zeros(len(i), dtype=bool)
+            for order in (np.lexsort((i, j)), np.lexsort((i, apart, j))):
+                own = j[order]
+                chosen[order[np.append(True, own[1:] != own[:-1])]] = True
+            yield hot(x, HOT, np.union1d(i[~chosen], j[~chosen]))
+            i, j, apart = i[chosen], j[chosen], apart[chosen]
+        yield made(x, i, j, apart)
 
     def hot(x, kind, at) -> pa.RecordBatch:
         return _batch(FOUND, len(at), kind=kind, a=x["e"][at], **{c: x[c][at] for c in ("token", "doc", "line", "n", "pos", "sig", "more")})
@@ -285,7 +310,7 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
             z = {c: v[at:at + size] for c, v in x.items()}
             most = limit(z)
             ok = np.triu((z["n"][None, :] <= most[:, None]) & (z["n"][:, None] <= most[None, :]), 1)
-            yield pairs(z, *np.nonzero(ok))
+            yield from long_run(z, *np.nonzero(ok))
         many = (sizes > cold) | salted
         if many.any():
             at = np.flatnonzero(np.repeat(many, sizes))

@@ -165,3 +165,21 @@ def test_one_id_on_many_texts(spark):
     got = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(documents).collect()}
     first = min(i for i, _ in table)
     assert got == {(i, t if i == first or not i else t.split("\n")[0]) for i, t in table}
+
+
+def test_near_copies_make_few_pairs(spark):
+    """A group of near copies in runs below the limit of hot ones: linear, and nothing is missed."""
+    rng = random.Random(12)
+    base, table = [f"w{k}" for k in range(30)], []
+    for k in range(400):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(30)] = f"y{rng.randrange(60)}"
+        table.append((k, " ".join(words)))
+    documents = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    want = X.later_lines(table)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(documents).collect()} == want
+    counts = prefix_join.frequencies(prefix_join.describe(documents, line_dedup.line_sets))
+    rows = prefix_join.postings(documents, line_dedup.line_sets, counts, 80)
+    found = prefix_join.candidates(rows, 80, line_dedup.COLD).filter(f"kind = {prefix_join.PAIR}").count()
+    assert found < 400 * 80 < 400 * 399 // 2
