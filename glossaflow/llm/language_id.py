@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossaflow.llm.quality_fm import is_held_out
+from glossaflow.llm.tables import writing
 from glossaflow.llm.words import blocks
 
 WINDOW, DIMS, WIDTHS, FILTERS = 256, 6, (2, 3, 5), 12
@@ -232,7 +233,9 @@ def train(documents: DataFrame, texts: int = SAMPLE_TEXTS, many: int = SAMPLE_WI
         yield pa.RecordBatch.from_arrays([pa.array([model.dump()], pa.binary())], ["model"])
 
     rows = sample(documents, texts, many).repartition(1).sortWithinPartitions("lang", "h")
-    fitted = rows.mapInArrow(fit, "model binary").collect()
+    fitted = rows.mapInArrow(fit, "model binary")
+    with writing(documents.sparkSession):
+        fitted = fitted.collect()
     return bytes(fitted[0]["model"]) if fitted else Network([]).dump()
 
 

@@ -39,6 +39,8 @@ PARTNERS = 4
 PARITY_SIZE = 64
 # Sets a task remembers to leave out copies; forgetting some only costs rows.
 SEEN = 1 << 17
+# Pairs that pass the filters in one go, which bounds a worker's memory.
+CHECKED_AT_ONCE = 1 << 15
 # Pairs that are verified in one go; their numbers fit 16 bits.
 PAIRS_AT_ONCE = 2_048
 
@@ -216,13 +218,16 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
     """
     names = [f.split(" ")[0] for f in POSTING.split(", ")]
 
-    def passing(x, i, j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        # A pair that shares the token before as well is met there.
-        fresh = (x["e"][i] != x["e"][j]) & (x["before"][i] != x["before"][j])
-        i, j = i[fresh], j[fresh]
-        both = [x[c][at] for c in ("n", "pos", "sig", "more") for at in (i, j)]
-        ok, apart = passes(percent, *both)
-        return i[ok], j[ok], apart[ok]
+    def passing(x, all_i, all_j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = [(all_i[:0], all_j[:0], all_i[:0])]
+        for at in range(0, len(all_i), CHECKED_AT_ONCE):
+            i, j = all_i[at:at + CHECKED_AT_ONCE], all_j[at:at + CHECKED_AT_ONCE]
+            # A pair that shares the token before as well is met there.
+            fresh = (x["e"][i] != x["e"][j]) & (x["before"][i] != x["before"][j])
+            i, j = i[fresh], j[fresh]
+            ok, apart = passes(percent, *[x[c][k] for c in ("n", "pos", "sig", "more") for k in (i, j)])
+            out.append((i[ok], j[ok], apart[ok]))
+        return tuple(map(np.concatenate, zip(*out)))
 
     def made(x, i, j, apart) -> pa.RecordBatch:
         a, b = x["e"][i], x["e"][j]

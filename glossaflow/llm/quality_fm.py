@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.llm.calibration import platt
 from glossaflow.llm.labelled import one_text_each, sample_of
+from glossaflow.llm.tables import writing
 from glossaflow.llm.words import blocks, char_counts, per_text, split
 
 WORD_BUCKETS = 1 << 16
@@ -241,7 +242,9 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
         yield pa.RecordBatch.from_arrays([pa.array([model.dump()], pa.binary())], ["model"])
 
     ordered = training_rows(documents, labels, sample_rows).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "quality")
-    fitted = ordered.mapInArrow(fit, "model binary").collect()
+    fitted = ordered.mapInArrow(fit, "model binary")
+    with writing(documents.sparkSession):
+        fitted = fitted.collect()
     return bytes(fitted[0]["model"]) if fitted else Machine().dump()
 
 

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import atexit
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 from glossaflow.sources.scratch import scratch_path
 
-# Shuffle files of a finished write are of no more use.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: shuffle files of a finished write are of no more use, and
+# texts go to Python in batches of bounded bytes, which both sides hold more than once.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+}
 _held: set[str] = set()
 
 
@@ -24,15 +30,27 @@ def keep(df: DataFrame, label: str, *partition_by: str) -> tuple[DataFrame, str]
     _held.add(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with writing(spark):
         writer.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Settings for a job of an operator's own; the session's come back afterwards."""
+    before = {name: spark.conf.get(name, None) for name in _WHILE_WRITING}
+    for name, value in _WHILE_WRITING.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete tables made by :func:`keep`."""
     _delete(spark.sparkContext, paths)
