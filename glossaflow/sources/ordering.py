@@ -23,6 +23,8 @@ from glossaflow.sources.scratch import stored
 
 # Runs that a table of counts is cut into; as many totals are added up by themselves.
 RUNS = 128
+# A scan is dealt anew where one of its tasks has more than so many times its share of the rows.
+UNEVEN = 4
 # Stored bytes per file of an ingested table, and the least that is worth a task.
 FILE_BYTES, LEAST_FILE_BYTES = 32 << 20, 1 << 18
 
@@ -167,13 +169,31 @@ def ingest(spark: SparkSession, path: str, out: str) -> DataFrame:
     nor a shuffle to fill the cluster, and filters on positions skip whole files.
     """
     scan = spark.read.parquet(path)
-    size = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    parts = tasks_for(spark, int(str(size)))
+    parts = tasks_for(spark, _scan_bytes(scan))
     rows = index_columnar(scan)
     rows.repartitionByRange(parts, "row_idx").sortWithinPartitions("row_idx").write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a Parquet scan, over enough tasks for their bytes.
+
+    The scan's own tasks do where its row groups are even enough, and nothing is
+    shuffled; row counts of its tasks come from the footers.
+    """
+    parts = tasks_for(scan.sparkSession, _scan_bytes(scan))
+    rows = scan.groupBy(F.spark_partition_id().alias("_part")).agg(F.count("*").alias("_n"))
+    most, total = rows.agg(F.max("_n"), F.sum("_n")).first()
+    if not total or most * parts <= UNEVEN * total:
+        return scan
+    # By position, so no key is frequent and a repeated task deals rows alike.
+    return scan.select("*", F.col("_metadata.row_index").alias("_at")).repartition(parts, "_at").drop("_at")
+
+
+def _scan_bytes(scan: DataFrame) -> int:
+    return int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def tasks_for(spark: SparkSession, size: int) -> int:
     """Tasks for so many stored bytes: of bounded size, and enough for all cores where there is work."""
     cores = spark.sparkContext.defaultParallelism

@@ -61,6 +61,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def at_place(table: DataFrame, path: str) -> DataFrame:
+    """``table``, known as the whole of what is stored in ``path``: :func:`stored` does not copy it."""
+    _places[table] = path
+    return table
+
+
 def stored_bytes(table: DataFrame) -> int:
     """Bytes that a table made by :func:`stored` takes."""
     at, fs = _location(table.sparkSession.sparkContext, _places[table])

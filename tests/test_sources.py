@@ -12,6 +12,7 @@ from glossaflow.operators import rows as O
 from glossaflow.plans import reports
 from glossaflow.sources import arrow_shards, ordering, readers, sinks
 from glossaflow.sources.scratch import scratch_path
+from workload import views
 
 
 @pytest.fixture()
@@ -214,6 +215,26 @@ def test_ingest_and_scratch(spark, tmp_path, monkeypatch):
     assert O.head_n(out, 31).count() == 30
 
 
+def test_pairs_are_made_from_the_scan_alone(spark, tmp_path, monkeypatch):
+    rows = [(k % 7 if k % 5 else None, f"one two|{k}", "en", "src0", 7) for k in range(400)] + [(None, None, None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(ordering, "LEAST_FILE_BYTES", 64)
+    for name, files, shuffled in (("even", 8, False), ("one", 1, True)):
+        path = str(tmp_path / name / "documents.parquet")
+        table.repartition(files).write.parquet(path)
+        scan = ordering.spread(spark.read.parquet(path))
+        assert ("Exchange" in plan_of(scan)) == shuffled
+        assert scan.rdd.getNumPartitions() > 1 and sorted(map(repr, map(tuple, scan.collect()))) == sorted(map(repr, rows))
+
+        def refuse(*_):
+            raise AssertionError("the table is copied first")
+
+        with monkeypatch.context() as patch:
+            patch.setattr(views, "ingest", refuse)
+            made = views.pairs(spark, str(tmp_path / name)).select("id", "status").collect()
+        assert sorted(map(repr, map(tuple, made))) == sorted(repr((r[0], "OOM" if r[1] else "ok")) for r in rows)
+
+
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 

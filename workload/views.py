@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions import text as X
 from glossaflow.operators.cache import path_index
-from glossaflow.sources.ordering import file_counts, ingest, overlapping
-from glossaflow.sources.scratch import scratch_path
+from glossaflow.sources.ordering import file_counts, ingest, overlapping, spread
+from glossaflow.sources.scratch import at_place, scratch_path
 
 VOWELS, IDEOGRAPHS = "aeiou", "天气很好的"
 FOLDER = "/audio"
@@ -38,7 +38,7 @@ def _once(spark: SparkSession, d: str, name: str, write) -> DataFrame:
         path = scratch_path(spark, name)
         write(path)
         _stored[key] = path
-    return spark.read.parquet(_stored[key])
+    return at_place(spark.read.parquet(_stored[key]), _stored[key])
 
 
 def source(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -59,13 +59,19 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str, mixed: bool = True) -> DataFrame:
-    """Stored prediction rows of every document, as a prediction run leaves them."""
-    rows = _pairs(spark, d, mixed)
-    name = "pairs-mixed" if mixed else "pairs"
-    return _once(spark, d, name, lambda out: rows.write.parquet(out))
+    """Stored prediction rows of every document, as a prediction run leaves them.
 
+    They need no positions, so they are made from the given table as it is scanned;
+    both long texts are alike, which zstd makes use of.
+    """
+    def write(out: str) -> None:
+        rows = _pairs(spread(spark.read.parquet(f"{d}/documents.parquet")), mixed)
+        rows.write.option("compression", "zstd").parquet(out)
 
-def _pairs(spark: SparkSession, d: str, mixed: bool) -> DataFrame:
+    return _once(spark, d, "pairs-mixed" if mixed else "pairs", write)
+
+
+def _pairs(docs: DataFrame, mixed: bool) -> DataFrame:
     """Words of three letters are missed, one syllable is misheard."""
     ref = ideographs(F.col("text")) if mixed else F.col("text")
     heard = F.filter(F.split("reference", " "), lambda w: F.length(w) != 3)
@@ -75,7 +81,7 @@ def _pairs(spark: SparkSession, d: str, mixed: bool) -> DataFrame:
         F.when(has(F.col("text"), "|"), "OOM")
         .when(has(F.col("text"), "#"), "ERR:decode").otherwise("ok")
     )
-    rows = documents(spark, d).select(
+    rows = docs.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("system"),
         "lang",
