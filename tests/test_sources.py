@@ -1,5 +1,6 @@
 """Ordering, round trips and guards of readers and writers."""
 
+import gzip
 import json
 from pathlib import Path
 
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from glossaflow.operators import rows as O
 from glossaflow.plans import reports
-from glossaflow.sources import arrow_shards, ordering, readers, sinks
-from glossaflow.sources.scratch import scratch_path
+from glossaflow.sources import arrow_shards, ordering, readers, scratch, sinks
+from glossaflow.sources.scratch import at_place, scratch_path
 from workload import views
 
 
@@ -134,6 +135,25 @@ def test_arrays_stay_bounded_for_null_and_repeated_ids(spark, tmp_path, small_fi
     assert arrays_in(out) == [] and readers.read_predictions(spark, out).count() == 0
 
 
+def test_stored_rows_become_arrays_without_a_copy(spark, tmp_path, small_files, monkeypatch):
+    df = spark.range(4_500).select(
+        F.when(F.col("id") % 9 > 0, F.col("id")).alias("id"), F.md5(F.col("id").cast("string")).alias("prediction"), F.lit("s").alias("system")
+    )
+    df.write.parquet(str(tmp_path / "rows"))
+    table = at_place(spark.read.parquet(str(tmp_path / "rows")), str(tmp_path / "rows"))
+    copies = []
+    monkeypatch.setattr(scratch, "scratch_path", lambda _, label: copies.append(label) or str(tmp_path / label))
+    out = tmp_path / "out"
+    sinks.write_predictions(table, str(out), columns=["id", "prediction"], compression="gzip")
+    assert not copies and table.count() == 4_500
+    found = sorted(out.glob("part-*"))
+    arrays = [json.loads(text) for p in found if (text := gzip.decompress(p.read_bytes()))]
+    assert len(arrays) > 3 and sum(map(len, arrays)) == 4_500 and set(arrays[0][0]) == {"id", "prediction"}
+    assert [r["id"] for a in arrays for r in a] == [k for k in range(4_500) if k % 9] + [None] * 500
+    back = readers.read_predictions(spark, str(out), "id bigint, prediction string")
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, map(tuple, df.drop("system").collect())))
+
+
 def test_tasks_follow_the_bytes_alone(spark, tmp_path, small_files):
     df = spark.range(20_000).select(F.col("id").alias("row_idx"), F.md5(F.col("id").cast("string")).alias("v"))
     files = []

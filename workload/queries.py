@@ -101,10 +101,8 @@ def jsonl_dir_scan(spark, d):
 
 def predictions_scan(spark, d):
     path = scratch_path(spark, "predictions")
-    sinks.write_predictions(
-        V.pairs(spark, d).select("id", "audio", "reference", "prediction", "status", "latency_s"),
-        path,
-    )
+    fields = ["id", "audio", "reference", "prediction", "status", "latency_s"]
+    sinks.write_predictions(V.pairs(spark, d), path, columns=fields, compression="gzip")
     return readers.read_predictions(spark, path).select(
         "id", "audio", F.md5("reference").alias("reference_md5"),
         F.md5("prediction").alias("prediction_md5"), "status", "latency_s",
