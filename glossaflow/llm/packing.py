@@ -32,8 +32,12 @@ from glossaflow.llm.tables import keep
 from glossaflow.llm.words import Words, blocks, cut_tails, split
 
 WINDOW, END_ID = 4_096, 2
-CACHED_WORDS = 200_000
+CACHED_WORDS = 150_000
+# Words that are encoded as one text, and the sign that is put between them.
+JOINED_WORDS, SEPARATOR = 512, "\x01"
 BUCKET_ROWS = 2_048
+# Bytes of texts that are encoded together; their words are looked up once.
+BLOCK_BYTES = 1 << 21
 
 # Signs that start a unit of their own behind a letter (not those of special tokens).
 _TAIL = np.zeros(256, dtype=bool)
@@ -54,10 +58,14 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._kind = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # Words met lately, and those met before them: frequent words are never forgotten.
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
         # Where case is dropped anyway, words that differ in it are one entry.
         self.lower = self._same("A", "a") and self._same("ZQ", "zq")
         self.by_word = all(self._by_word(t) == self._ids(t) for t in _PROBES)
+        between = self._ids(SEPARATOR)
+        self._between = between[0] if len(between) == 1 else None
 
     def _ids(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
@@ -79,11 +87,14 @@ class WordEncoder:
             ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
             return np.array([i for x in ids for i in x], np.uint32), ends
         words = self.words(data, offsets)
-        sizes, flat = self.encode(words.vocab.to_pylist())
-        begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        each = sizes[words.codes]
-        ends = np.concatenate(([0], np.cumsum(each)))
-        return flat[np.repeat(begin[words.codes] - ends[:-1], each) + np.arange(ends[-1])], ends[words.bounds]
+        if not len(words.codes):
+            return np.zeros(0, np.uint32), words.bounds
+        known = pa.array(self._codes(words.vocab.to_pylist()), pa.large_binary())
+        whole = known.take(pa.array(words.codes))
+        ends = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1) // self._kind.itemsize
+        ids = whole.buffers()[2]
+        flat = np.frombuffer(ids, self._kind, int(ends[-1])) if ends[-1] else np.zeros(0, self._kind)
+        return flat.astype(np.uint32), ends[words.bounds]
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> Words:
         """Words as units of encoding; special tokens' marks keep case and tails whole."""
@@ -92,15 +103,42 @@ class WordEncoder:
 
     def encode(self, vocab: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each word, and all ids one after another."""
-        known, kind = self._known, self._kind
-        if len(known) > CACHED_WORDS:
-            known.clear()
+        ids = self._codes(vocab)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self._kind.itemsize
+        return sizes, np.frombuffer(b"".join(ids), self._kind).astype(np.uint32)
+
+    def _codes(self, vocab: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        if len(self._known) > CACHED_WORDS:
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
         new = [w for w in vocab if w not in known]
-        encoded = self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(new, encoded))
-        ids = [known[w] for w in vocab]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // kind.itemsize
-        return sizes, np.frombuffer(b"".join(ids), kind).astype(np.uint32)
+        if older:
+            known.update((w, older[w]) for w in new if w in older)
+            new = [w for w in new if w not in older]
+        known.update(zip(new, self._encoded(new)))
+        return list(map(known.__getitem__, vocab))
+
+    def _encoded(self, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of new words, encoded as texts of many words and parted at the separators' id.
+
+        Where the separator is no id of its own, or a word holds it, so that their number
+        differs, words are encoded one by one.
+        """
+        joined = JOINED_WORDS if self.by_word and self._between is not None else 1
+        parts = [[w.decode() for w in words[at:at + joined]] for at in range(0, len(words), joined)]
+        width = self._kind.itemsize
+        for part, found in zip(parts, self._batch([f" {SEPARATOR} ".join(p) for p in parts])):
+            cuts = np.flatnonzero(found == self._between) if len(part) > 1 else np.zeros(0, np.int64)
+            if len(cuts) == len(part) - 1:
+                flat = found.tobytes()
+                begins, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(flat)]
+                yield from (flat[a:b] for a, b in zip(begins, ends))
+            else:
+                yield from (ids.tobytes() for ids in self._batch(part))
+
+    def _batch(self, texts: list[str]) -> Iterator[np.ndarray]:
+        return (np.array(e.ids, self._kind) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
 
 @cache
@@ -115,7 +153,7 @@ def pieces(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: i
         known = encoder(tokenizer)
         for batch in batches:
             ids = batch.column(0)
-            for row, data, offsets in blocks(batch.column(1)):
+            for row, data, offsets in blocks(batch.column(1), BLOCK_BYTES):
                 stream, ends = known.texts(data, offsets)
                 out: list[tuple[int, int, int, int, int]] = []
                 for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):

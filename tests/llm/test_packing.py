@@ -75,6 +75,32 @@ def test_word_by_word_ids_are_the_whole_texts_ids(text):
     assert got == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_are_encoded_as_few_texts(monkeypatch):
+    monkeypatch.setattr(P, "CACHED_WORDS", 300)
+    monkeypatch.setattr(P, "JOINED_WORDS", 50)
+    known, tokenizer = P.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    asked: list[int] = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    rng = random.Random(4)
+    odd = ["\x01", "a\x01b", "\x01\x01 \x01", "<|endoftext|>", "\u0301x", "é\u0301", "\u3000", "\x1cz", "", " "]
+    texts = ["the " + " ".join(f"{rng.choice('abcé')}{rng.randrange(900)}q." for _ in range(120)) for _ in range(40)]
+    texts += odd + [f"x{k} {o} y{k}" for k, o in enumerate(odd)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(known, "_tokenizer", Counting())
+    for at in range(0, len(texts), 3):
+        part = [t.encode() for t in texts[at:at + 3]]
+        stream, ends = known.texts(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]))
+        assert [stream[a:b].tolist() for a, b in zip(ends, ends[1:])] == want[at:at + 3]
+        assert len(known._known) <= 300 + 400 and len(known._older) <= 300 + 400
+    # 4,800 words of 40 texts, of which some come back after they were forgotten.
+    assert sum(asked) < 600
+
+
 def test_tokenizers_whose_ids_depend_on_neighbours_encode_whole_texts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert P.WordEncoder(PATH).by_word and not P.WordEncoder(path).by_word
