@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -78,14 +78,16 @@ def _ordered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("early"), "n")
 
 
-def _matched(documents: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, str]:
+def _sets(documents: DataFrame, pairs: DataFrame, classes: DataFrame) -> tuple[DataFrame, str]:
+    """``e, id, tokens`` of both classes of all ``pairs``: one pass over the texts."""
+    ends = pairs.select(F.col("late").alias("e")).union(pairs.select(F.col("early").alias("e"))).distinct()
+    return keep(_fetch(documents, classes.join(ends, "e", "left_semi")), "sets")
+
+
+def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, str]:
     """``e`` of the late classes of ``pairs`` that are similar to their early one."""
-    ends = pairs.select(F.col("late").alias("e")).union(pairs.select("early")).distinct()
-    sets, sets_at = keep(_fetch(documents, classes.join(ends, "e", "left_semi")), "sets")
     links = J.verify(pairs.select(F.col("late").alias("a"), F.col("early").alias("b")), sets, percent)
-    out = keep(links.select(F.col("x").alias("e")).distinct(), "later")
-    drop(documents.sparkSession, sets_at)
-    return out
+    return keep(links.select(F.col("x").alias("e")).distinct(), "later")
 
 
 def _later(documents: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, str]:
@@ -95,17 +97,18 @@ def _later(documents: DataFrame, pairs: DataFrame, classes: DataFrame, percent:
     only those that this leaves without a match with their others: in a group of near
     copies nearly all lines are settled by one comparison each, whatever its size.
     """
+    sets, sets_at = _sets(documents, pairs, classes)
     nearest = pairs.groupBy("late").agg(F.min_by("early", F.struct("n", "early")).alias("early"))
     nearest, nearest_at = keep(nearest, "nearest")
-    later, later_at = _matched(documents, nearest, classes, percent)
+    later, later_at = _matched(nearest, sets, percent)
     rest = pairs.select("late", "early").join(later.withColumnRenamed("e", "late"), "late", "left_anti")
     rest, rest_at = keep(rest.join(nearest, ["late", "early"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more, more_at = _matched(documents, rest, classes, percent)
+        more, more_at = _matched(rest, sets, percent)
         both, both_at = keep(later.union(more), "later")
         drop(documents.sparkSession, later_at, more_at)
         later, later_at = both, both_at
-    drop(documents.sparkSession, nearest_at, rest_at)
+    drop(documents.sparkSession, nearest_at, rest_at, sets_at)
     return later, later_at
 
 
@@ -159,6 +162,11 @@ def _without(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array(out, pa.string())
 
 
+def _left(text: Column) -> Column:
+    """``text`` without the lines in ``_gone``; whole texts do not go to Python."""
+    return F.when(F.col("_gone").isNull(), text).otherwise(_without(F.when(F.col("_gone").isNotNull(), text), F.col("_gone")))
+
+
 def _marked(documents: DataFrame, percent: int) -> DataFrame:
     """``documents`` with ``_gone``, the numbers of the lines to leave out, by id and text."""
     gone = later_lines(documents, percent).groupBy(F.col("doc").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_set("line").alias("_gone"))
@@ -173,8 +181,7 @@ def dedup_lines(documents: DataFrame, percent: int = PERCENT, keep_emptied: bool
     line of it stands in an earlier document. Documents without a word to begin with stay.
     """
     marked = _marked(documents, percent)
-    text = F.when(F.col("_gone").isNull(), documents["text"]).otherwise(_without(documents["text"], F.col("_gone")))
-    changed = marked.withColumn("_text", text)
+    changed = marked.withColumn("_text", _left(documents["text"]))
     if not keep_emptied:
         wordless = lambda c: ~F.rlike(c, F.lit(r"[^\x20\x09-\x0D]"))
         emptied = F.col("_gone").isNotNull() & wordless(F.col("_text")) & ~wordless(documents["text"])
@@ -188,9 +195,8 @@ def summary(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = documents.select("doc_id", "text")
     marked = _marked(rows, percent)
     text = F.coalesce("text", F.lit(""))
-    new = F.when(F.col("_gone").isNull(), text).otherwise(_without(text, F.col("_gone")))
     breaks = lambda c: (F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))).cast("long")
-    out = marked.select("doc_id", text.alias("text"), "_gone", new.alias("new"))
+    out = marked.select("doc_id", text.alias("text"), "_gone", _left(text).alias("new"))
     return out.select(
         "doc_id", (breaks(F.col("text")) + 1).alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),

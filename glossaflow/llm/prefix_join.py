@@ -68,11 +68,34 @@ def set_hashes(bounds: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return (sums ^ (np.diff(bounds).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
 
 
+def _ascending(owner: np.ndarray, tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``owner`` and ``tokens`` in ascending order of both.
+
+    One sort by a single number: the owner and the token's upper bits. Where tokens
+    of one owner differ in the lower bits only, both are sorted one after the other.
+    """
+    low = np.uint64(max(n - 1, 1).bit_length())
+    order = np.argsort((owner.astype(np.uint64) << (np.uint64(64) - low)) | (tokens >> low))
+    first, then = owner[order], tokens[order]
+    if ((first[1:] == first[:-1]) & (then[1:] < then[:-1])).any():
+        order = np.lexsort((tokens, owner))
+        first, then = owner[order], tokens[order]
+    return first, then
+
+
+def _by_rarity(owner: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Stable order by owner and rarity (16 bits): a sort of numbers that hold all three, where they fit."""
+    at = max(len(owner) - 1, 1).bit_length()
+    if int(owner.max(initial=0)).bit_length() + 16 + at > 64:
+        return np.lexsort((rarity, owner))
+    key = (owner.astype(np.uint64) << np.uint64(16)) | rarity
+    key = np.sort((key << np.uint64(at)) | np.arange(len(owner), dtype=np.uint64))
+    return (key & np.uint64((1 << at) - 1)).astype(np.int64)
+
+
 def unique_sets(owner: np.ndarray, tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``(bounds, tokens)``: distinct tokens of ``n`` owners, ascending."""
-    order = np.argsort(tokens, kind="stable")
-    order = order[np.argsort(owner[order].astype(np.uint32), kind="stable")]
-    owner, tokens = owner[order], tokens[order]
+    owner, tokens = _ascending(owner, tokens, n)
     fresh = np.ones(len(tokens), dtype=bool)
     fresh[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
     owner, tokens = owner[fresh], tokens[fresh]
@@ -153,9 +176,7 @@ def postings(documents: DataFrame, extract: Extractor, counts: np.ndarray, perce
                 second = (size[owner] > PARITY_SIZE) & ((tokens >> np.uint64(6)) & np.uint64(1) > 0)
                 sig[some] = np.bitwise_xor.reduceat(np.where(second, np.uint64(0), bits), starts)
                 more[some] = np.bitwise_xor.reduceat(np.where(second, bits, np.uint64(0)), starts)
-                rarity = level[bucket(tokens)]
-                order = np.argsort(rarity, kind="stable")
-                order = order[np.argsort(owner[order].astype(np.uint32), kind="stable")]
+                order = _by_rarity(owner, level[bucket(tokens)])
                 owner, tokens = owner[order], tokens[order]
                 pos = np.arange(len(owner)) - np.repeat(starts, size[some])
                 before = np.zeros(len(owner), np.uint64)
@@ -303,11 +324,14 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
         limit = lambda z: (100 + percent) * (z["n"] - z["pos"]) // percent - z["n"]
         most = limit(y)
         some_i, some_j = [], []
+        i = np.arange(len(left))
         for gap in range(1, int(left.max(initial=0))):
-            ok = (y["n"][gap:] <= most[:-gap]) & (y["n"][:-gap] <= most[gap:]) & (left[:-gap] > gap)
-            i = np.flatnonzero(ok)
-            some_i.append(i)
-            some_j.append(i + gap)
+            # Only rows that have one so far behind them in their run.
+            i = i[left[i] > gap]
+            j = i + gap
+            ok = (y["n"][j] <= most[i]) & (y["n"][i] <= most[j])
+            some_i.append(i[ok])
+            some_j.append(j[ok])
         if some_i:
             yield pairs(y, np.concatenate(some_i), np.concatenate(some_j))
         long = np.flatnonzero(small & ~few)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from glossaflow.llm import line_dedup, ngram_join, prefix_join, substring_dedup
@@ -29,6 +30,40 @@ def test_ngram_join_finds_all_classes(documents, table):
         assert r.component_id == (want[r.doc_id] if r.doc_id is not None else None)
 
 
+def test_orders_of_tokens_equal_two_stable_sorts():
+    rng = np.random.default_rng(5)
+    for n, size in ((1, 1), (1, 60), (900, 9_000), (70_000, 8_000)):
+        owner = rng.integers(0, n, size)
+        tokens = rng.integers(0, 2**64, size, dtype=np.uint64)
+        # Equal tokens, and tokens that differ in their lowest bits only.
+        tokens[::3], tokens[1::3] = tokens[0], tokens[1::3] & np.uint64(7)
+        rarity = rng.integers(0, 9, size).astype(np.uint16)
+        want = np.lexsort((tokens, owner))
+        first, then = prefix_join._ascending(owner, tokens, n)
+        assert (first == owner[want]).all() and (then == tokens[want]).all()
+        assert (prefix_join._by_rarity(owner, rarity) == np.lexsort((rarity, owner))).all()
+        wide = owner.astype(np.int64) << 40
+        assert (prefix_join._by_rarity(wide, rarity) == np.lexsort((rarity, wide))).all()
+
+
+def test_line_dedup_reads_the_texts_once_for_the_sets_of_a_round(spark, monkeypatch):
+    """Nearest candidates that fail leave others to compare, from the same sets."""
+    fetched = []
+    fetch = line_dedup._fetch
+    monkeypatch.setattr(line_dedup, "_fetch", lambda *args: fetched.append(1) or fetch(*args))
+    rng, table = random.Random(8), []
+    for group in range(30):
+        words = [f"g{group}w{k}" for k in range(20)]
+        for copy in range(8):
+            own = [w if rng.random() > 0.06 * copy else f"x{rng.randrange(10**9)}" for w in words]
+            table.append((group * 8 + copy, " ".join(own)))
+    gone = line_dedup.later_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    sets = {k: set(text.split()) for k, text in table}
+    want = {k for k in sets if any(j < k and X.similar(sets[j], sets[k]) for j in range(k - k % 8, k))}
+    assert {r.doc for r in gone} == want and len(want) > 30
+    assert len(fetched) == 1
+
+
 @pytest.mark.parametrize("part_rows", [1, 1 << 16])
 def test_ngram_join_with_hot_and_salted_tokens(spark, monkeypatch, part_rows):
     """Near copies of one text: every shared token is hot, and cut into parts."""
