@@ -264,6 +264,9 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
         is left out here can be had from the hot rows of the sets it concerns.
         """
         i, j, apart = passing(x, i, j)
+        # Most runs make none, and a batch without rows costs as much as one of many.
+        if not len(i):
+            return
         if len(i) > PARTNERS * len(x["e"]):
             chosen = np.zeros(len(i), dtype=bool)
             for order in (np.lexsort((i, j)), np.lexsort((i, apart, j))):

@@ -46,6 +46,24 @@ def test_orders_of_tokens_equal_two_stable_sorts():
         assert (prefix_join._by_rarity(wide, rarity) == np.lexsort((rarity, wide))).all()
 
 
+def test_runs_without_pairs_make_no_batches(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+    build = prefix_join._batch
+
+    def counting(schema, rows, /, **columns):
+        made.add(1)
+        return build(schema, rows, **columns)
+
+    # 20 words that 40 lines share each, too late in the prefix to make a pair.
+    # token, part, doc, line, e, n, pos, sig, more, before
+    rows = [(t, 0, k, 1, k, 10, 5, 0, 0, -1 - k) for t in range(20) for k in range(40)]
+    postings = spark.createDataFrame(rows, prefix_join.POSTING)
+    monkeypatch.setattr(prefix_join, "_batch", counting)
+    monkeypatch.setattr(prefix_join, "BULK", 8)
+    assert prefix_join.candidates(postings, 80, 1_024).filter("kind = 0").count() == 0
+    assert made.value == 0
+
+
 def test_line_dedup_reads_the_texts_once_for_the_sets_of_a_round(spark, monkeypatch):
     """Nearest candidates that fail leave others to compare, from the same sets."""
     fetched = []
@@ -53,9 +71,11 @@ def test_line_dedup_reads_the_texts_once_for_the_sets_of_a_round(spark, monkeypa
     monkeypatch.setattr(line_dedup, "_fetch", lambda *args: fetched.append(1) or fetch(*args))
     rng, table = random.Random(8), []
     for group in range(30):
-        words = [f"g{group}w{k}" for k in range(20)]
+        words = [f"g{group}w{k}" for k in range(60)]
         for copy in range(8):
-            own = [w if rng.random() > 0.06 * copy else f"x{rng.randrange(10**9)}" for w in words]
+            # The first two are alike; the others differ from them by about as much as is allowed.
+            changed = set(rng.sample(range(60), copy if copy < 2 else rng.randint(6, 8)))
+            own = [f"x{rng.randrange(10**12)}" if k in changed else w for k, w in enumerate(words)]
             table.append((group * 8 + copy, " ".join(own)))
     gone = line_dedup.later_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()
     sets = {k: set(text.split()) for k, text in table}
