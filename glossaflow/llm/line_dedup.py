@@ -61,10 +61,10 @@ def _fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 e = pa.array(es[at])
                 yield pa.RecordBatch.from_arrays([e, e, pa.array(sets, pa.binary())], ["e", "id", "tokens"])
 
-    lines = wanted.groupBy("doc", "h").agg(F.collect_set(F.struct("line", "e")).alias("lines"))
+    lines, _ = keep(wanted.groupBy("doc", "h").agg(F.collect_set(F.struct("line", "e")).alias("lines")), "wanted")
     # Copies of a row give their lines once.
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), J.text_hash(F.col("text")).alias("h"), "text")
-    rows = texts.join(lines.hint("merge"), ["doc", "h"]).select("text", "lines")
+    rows = J.sieved(texts, lines, "doc", "h").join(lines.hint("merge"), ["doc", "h"]).select("text", "lines")
     return rows.mapInArrow(run, "e long, id long, tokens binary").dropDuplicates(["e"])
 
 
@@ -195,7 +195,7 @@ def summary(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = documents.select("doc_id", "text")
     marked = _marked(rows, percent)
     text = F.coalesce("text", F.lit(""))
-    breaks = lambda c: (F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))).cast("long")
+    breaks = lambda c: (F.octet_length(c) - F.octet_length(F.replace(c, F.lit("\n"), F.lit("")))).cast("long")
     out = marked.select("doc_id", text.alias("text"), "_gone", _left(text).alias("new"))
     return out.select(
         "doc_id", (breaks(F.col("text")) + 1).alias("n_lines"),

@@ -65,9 +65,9 @@ def _fetch(documents: DataFrame, wanted: DataFrame, extract: J.Extractor) -> Dat
                 )
 
     # Per text, so an id that many rows share asks no more of them; copies give a set once.
-    es = wanted.groupBy("id", "h").agg(F.collect_set("e").alias("es"))
+    es, _ = keep(wanted.groupBy("id", "h").agg(F.collect_set("e").alias("es")), "wanted")
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), J.text_hash(F.col("text")).alias("h"), "text")
-    rows = texts.join(es.hint("merge"), ["id", "h"])
+    rows = J.sieved(texts, es, "id", "h").join(es.hint("merge"), ["id", "h"])
     return rows.select("id", "text", "es").mapInArrow(run, "e long, id long, tokens binary").dropDuplicates(["e"])
 
 

@@ -13,6 +13,10 @@ Token frequencies come from a sketch of fixed size counted over all rows. It onl
 decides the order: any fixed order gives the same result, and in a sketch filled by
 a large corpus the frequent tokens still stand out and go last.
 
+Postings travel as blocks: the rows of one bucket of tokens, packed by the task that made
+them. Spark deals the blocks out by bucket, and a task puts one bucket's rows in order at a
+time. The number of buckets grows with the tokens, so a bucket's rows do not.
+
 Tokens shared by many sets ("hot" runs) are not paired all with all: every set is
 paired with the run's first set. Neither are groups of near copies inside shorter runs,
 whose sets meet the first and the nearest before them. Both leave their sets as hot rows,
@@ -29,18 +33,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SKETCH = 1 << 18
+# Counts of the sketch in one row.
+SLICE = 1 << 12
+# Words of 64 bits in the table that tells which keys may have a row.
+SIEVE_BITS = 17
 # Expected sets of one token in one task; beyond it, the token is salted.
 PART_ROWS = 1 << 16
-# Runs up to this length are compared together, longer ones one by one.
+# Buckets of postings: so many at least, and one for so many tokens of all sets.
+BUCKETS, BUCKET_TOKENS = 1_024, 1 << 20
+# Postings a task holds before it deals them out to buckets, and the most of one block.
+HELD_ROWS = 1 << 18
+BLOCK_ROWS = 1 << 13
+# Runs up to this length give all their pairs.
 BULK = 32
 # Candidates per set that a longer run makes; groups with more make two for each set.
 PARTNERS = 4
 # Larger sets get a bitmap of two words.
 PARITY_SIZE = 64
-# Sets a task remembers to leave out copies; forgetting some only costs rows.
+# Places for sets that a task remembers to leave out copies; forgetting some only costs rows.
 SEEN = 1 << 17
 # Pairs that pass the filters in one go, which bounds a worker's memory.
 CHECKED_AT_ONCE = 1 << 15
+# Pairs that the sizes allow, of as many runs as are compared together.
+COMPARED_AT_ONCE = 1 << 18
 # Pairs that are verified in one go; their numbers fit 16 bits.
 PAIRS_AT_ONCE = 2_048
 
@@ -49,10 +64,14 @@ PAIRS_AT_ONCE = 2_048
 Sets = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 Extractor = Callable[[pa.Array], Iterator[Sets]]
 
-MADE = "kind int, doc long, line int, n int, e long, h long"
+MADE = "kind int, doc long, line int, n int, e long, h long, counts binary"
+SLICES = "doc long, counts binary"
 POSTING = "token long, part int, doc long, line int, e long, n int, pos int, sig long, more long, before long"
 FOUND = "kind int, token long, a long, b long, doc long, line int, n int, pos int, sig long, more long"
 PAIR, HOT, ANCHOR = 0, 1, 2
+BLOCK = "bucket int, postings binary"
+# A posting as it stands in a block.
+RECORD = np.dtype([(f.split(" ")[0], "<i4" if f.endswith(" int") else "<i8") for f in POSTING.split(", ")])
 
 
 def bucket(tokens: np.ndarray) -> np.ndarray:
@@ -103,21 +122,69 @@ def unique_sets(owner: np.ndarray, tokens: np.ndarray, n: int) -> tuple[np.ndarr
 
 
 def _batch(schema: str, rows: int, /, **columns) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     names, arrays = [], []
     for field in schema.split(", "):
         name, kind = field.split(" ")
         values = columns.get(name, 0)
         names.append(name)
-        arrays.append(pa.array(np.broadcast_to(values, rows), kinds[kind]))
+        if kind == "binary":
+            arrays.append(pa.array(values, kinds[kind]) if name in columns else pa.nulls(rows, kinds[kind]))
+        else:
+            arrays.append(pa.array(np.broadcast_to(values, rows), kinds[kind]))
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
+def _taken(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """``rows[order]``; numpy copies plain numbers faster than records."""
+    return rows.view(np.int64).reshape(len(rows), -1).take(order, axis=0).reshape(-1).view(RECORD)
+
+
+def _blocks(held: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The postings held as blocks, in batches of bounded size; ``held`` is empty afterwards."""
+    rows = np.concatenate(held)
+    held.clear()
+    spread = (rows["token"].view(np.uint64) ^ rows["part"].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    at = ((spread >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(at, kind="stable")
+    at, rows = at[order], _taken(rows, order)
+    fresh = np.flatnonzero(at[1:] != at[:-1]) + 1
+    cuts = np.union1d(fresh, np.arange(0, len(rows), BLOCK_ROWS))
+    offsets = np.append(cuts, len(rows)) * RECORD.itemsize
+    packed = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(rows)])
+    whole = pa.RecordBatch.from_arrays([pa.array(at[cuts]), packed], ["bucket", "postings"])
+    ends = np.append(np.searchsorted(cuts, np.arange(0, len(rows), 4 * BLOCK_ROWS)), len(cuts))
+    for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        yield whole.slice(begin, end - begin)
+
+
+def _unpacked(blocks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Postings of a column of blocks, and where each block's begin and end."""
+    blocks = blocks.cast(pa.large_binary())
+    offsets = np.frombuffer(blocks.buffers()[1], np.int64, len(blocks) + 1, 8 * blocks.offset)
+    rows = np.frombuffer(blocks.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(RECORD)
+    return rows, (offsets - offsets[0]) // RECORD.itemsize
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Plain postings as blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = np.empty(batch.num_rows, RECORD)
+                for c in RECORD.names:
+                    own[c] = batch.column(c).to_numpy()
+                yield from _blocks([own], BUCKETS)
+
+    return rows.select(*RECORD.names).mapInArrow(run, BLOCK)
+
+
 def describe(documents: DataFrame, extract: Extractor) -> DataFrame:
     """Sets as rows of ``kind`` 0; token counts of each task as ``kind`` 1.
 
     ``h`` is the hash of the whole text (:func:`text_hash`), which tells rows of one id
-    apart. A count row holds its sketch bucket in ``doc`` and the count in ``e``.
+    apart. A count row holds a slice of the task's sketch in ``counts`` and its number in ``doc``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +194,9 @@ def describe(documents: DataFrame, extract: Extractor) -> DataFrame:
             for rows, line, bounds, tokens in extract(batch.column(1)):
                 counts += np.bincount(bucket(tokens), minlength=SKETCH)
                 yield _batch(MADE, len(rows), doc=ids[rows], line=line, n=np.diff(bounds), e=set_hashes(bounds, tokens), h=texts[rows])
-        some = np.flatnonzero(counts)
-        yield _batch(MADE, len(some), kind=1, doc=some, e=counts[some])
+        slices = counts.reshape(-1, SLICE)
+        some = np.flatnonzero(slices.any(axis=1))
+        yield _batch(MADE, len(some), kind=1, doc=some, counts=[slices[k].tobytes() for k in some])
 
     known = documents.filter(F.col("doc_id").isNotNull())
     return known.select(F.col("doc_id").cast("long"), "text", text_hash(F.col("text"))).mapInArrow(run, MADE)
@@ -138,17 +206,39 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, *on: str) -> DataFrame:
+    """``rows`` without most of those whose key ``on`` is not in ``wanted``, before they are shuffled.
+
+    One hash of the key marks a bit in a table of fixed size, whatever the input; a key
+    that shares its bit with a wanted one stays, so an exact join has to follow.
+    """
+    key = F.xxhash64(*on)
+    word, bit = F.shiftrightunsigned(key, 64 - SIEVE_BITS), key.bitwiseAND(F.lit(63)).cast("int")
+    marks = wanted.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_mark"))
+    table = F.broadcast(marks.groupBy("_word").agg(F.bit_or("_mark").alias("_marks")))
+    return rows.join(table, (word == F.col("_word")) & (F.getbit("_marks", bit) == 1), "left_semi")
+
+
 def frequencies(made: DataFrame) -> np.ndarray:
     """Token counts of all rows; ``SKETCH`` numbers whatever the input."""
-    sums = made.filter("kind = 1").groupBy("doc").agg(F.sum("e").alias("c"))
-    counts = np.zeros(SKETCH, np.int64)
-    found = sums.toPandas()
-    counts[found["doc"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)
-    return counts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, some in zip(batch.column("doc").to_pylist(), batch.column("counts").to_pylist()):
+                sums[k] = sums.get(k, 0) + np.frombuffer(some, np.int64)
+        yield _batch(SLICES, len(sums), doc=np.array(list(sums), np.int64), counts=[x.tobytes() for x in sums.values()])
+
+    sums = made.filter("kind = 1").select("doc", "counts").repartition("doc").mapInArrow(run, SLICES)
+    counts = np.zeros((SKETCH // SLICE, SLICE), np.int64)
+    for row in sums.collect():
+        counts[row["doc"]] = np.frombuffer(row["counts"], np.int64)
+    return counts.reshape(-1)
 
 
 def postings(documents: DataFrame, extract: Extractor, counts: np.ndarray, percent: int) -> DataFrame:
-    """Prefix tokens of each distinct set; copies met by one task count once."""
+    """Prefix tokens of each distinct set, in blocks; copies met by one task count once."""
+    buckets = max(BUCKETS, int(counts.sum()) // BUCKET_TOKENS)
     shared = documents.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +246,19 @@ def postings(documents: DataFrame, extract: Extractor, counts: np.ndarray, perce
         level = np.minimum(np.log2(counts + 1) * 1_000, 65_000).astype(np.uint16)
         mean = counts.mean()
         parts = 1 + np.maximum(0, counts - mean - 4 * np.sqrt(mean)).astype(np.int64) // PART_ROWS
-        seen: set[int] = set()
+        # Each set has one place. At first these hold numbers whose place is another one.
+        seen = np.arange(1, SEEN + 1)
+        first = np.zeros(SEEN, np.int64)
+        held, n_held = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for rows, line, bounds, tokens in extract(batch.column(1)):
                 e = set_hashes(bounds, tokens)
-                if len(seen) > SEEN:
-                    seen.clear()
-                new = np.fromiter((not (x in seen or seen.add(x)) for x in e.tolist()), bool, len(e))
+                place, own = e & (SEEN - 1), np.arange(len(e))
+                # Of copies the first stands for all: its place tells what is earlier.
+                first[place[::-1]] = own[::-1]
+                new = (seen[place] != e) & ((first[place] == own) | (e[first[place]] != e))
+                seen[place] = e
                 size = np.diff(bounds)
                 owner = np.repeat(np.arange(len(e)), size)
                 owner, tokens = owner[new[owner]], tokens[new[owner]]
@@ -187,14 +282,23 @@ def postings(documents: DataFrame, extract: Extractor, counts: np.ndarray, perce
                 # Part 0 holds all sets of a token; parts from 1 on share one.
                 share = parts[bucket(tokens)].astype(np.uint64)
                 part = np.where(share > 1, 1 + e[owner].view(np.uint64) % share, 0)
-                yield _batch(
-                    POSTING, len(owner), token=tokens.view(np.int64), part=part.astype(np.int32),
-                    doc=ids[rows[owner]], line=line[owner], e=e[owner], n=size[owner], pos=pos, sig=sig.view(np.int64)[owner],
-                    more=more.view(np.int64)[owner], before=before.view(np.int64),
-                )
+                made = np.empty(len(owner), RECORD)
+                for c, values in (
+                    ("token", tokens.view(np.int64)), ("part", part), ("doc", ids[rows[owner]]), ("line", line[owner]),
+                    ("e", e[owner]), ("n", size[owner]), ("pos", pos), ("sig", sig.view(np.int64)[owner]),
+                    ("more", more.view(np.int64)[owner]), ("before", before.view(np.int64)),
+                ):
+                    made[c] = values
+                held.append(made)
+                n_held += len(made)
+                if n_held >= HELD_ROWS:
+                    yield from _blocks(held, buckets)
+                    n_held = 0
+        if held:
+            yield from _blocks(held, buckets)
 
     known = documents.filter(F.col("doc_id").isNotNull())
-    return known.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, POSTING)
+    return known.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BLOCK)
 
 
 def passes(percent: int, n1, n2, p1, p2, s1, s2, m1, m2) -> tuple[np.ndarray, np.ndarray]:
@@ -233,11 +337,9 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
 
     Pairs hold the bits apart in ``n``.
 
-    Up to ``cold`` sets of one token are compared all with all, which the filters
-    make cheap. Rows stream in sorted order; only the run at hand is held, and of a
-    hot run only its first row.
+    ``rows`` are blocks, or plain postings. Up to ``cold`` sets of one token are compared
+    all with all, which the filters make cheap. Only the bucket at hand is held.
     """
-    names = [f.split(" ")[0] for f in POSTING.split(", ")]
 
     def passing(x, all_i, all_j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out = [(all_i[:0], all_j[:0], all_i[:0])]
@@ -257,92 +359,105 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
     def pairs(x, i, j) -> pa.RecordBatch:
         return made(x, *passing(x, i, j))
 
-    def long_run(x, i, j) -> Iterator[pa.RecordBatch]:
-        """Pairs of a long run; of sets with many partners the first and the nearest before them.
+    def compared(x, sizes) -> Iterator[pa.RecordBatch]:
+        """Pairs of runs of the given sizes, which stand one behind the other."""
+        n, number = x["n"], np.repeat(np.arange(len(sizes)), sizes)
+        # The largest partner the tokens from here on allow: a set that keeps this
+        # overlap with it may not be larger (length and positional filter in one).
+        most = (100 + percent) * (n - x["pos"]) // percent - n
+        # In order of size the partners of a set that are no smaller stand side by side.
+        by_size = np.lexsort((n, number))
+        width = int(n.max(initial=0)) + 2
+        keys = number * width + n[by_size]
+        partners = np.searchsorted(keys, number * width + np.clip(most[by_size], 0, width - 1), "right") - np.arange(1, len(n) + 1)
+        partners = np.maximum(partners, 0)
+        per_run = np.bincount(number, partners, len(sizes)).astype(np.int64)
+        # As many runs at a time as make a bounded number of pairs, one at least.
+        step = (np.cumsum(per_run) - per_run) // COMPARED_AT_ONCE
+        bounds = np.searchsorted(step[number], np.unique(step), "left")
+        for begin, end in zip(bounds.tolist(), [*bounds[1:].tolist(), len(n)]):
+            count = partners[begin:end]
+            first = np.repeat(np.arange(begin, end), count)
+            then = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+            i, j = by_size[first], by_size[then]
+            ok = n[i] <= most[j]
+            i, j = i[ok], j[ok]
+            i, j, apart = passing(x, np.minimum(i, j), np.maximum(i, j))
+            # Most runs make none, and a batch without rows costs as much as one of many.
+            if not len(i):
+                continue
+            full = np.bincount(number[i], minlength=len(sizes)) > PARTNERS * sizes
+            crowded = (full & (sizes > BULK))[number[i]]
+            if crowded.any():
+                left, i, j, apart = (i[crowded], j[crowded], apart[crowded]), i[~crowded], j[~crowded], apart[~crowded]
+                yield from crowd(x, *left)
+            if len(i):
+                yield made(x, i, j, apart)
+
+    def crowd(x, i, j, apart) -> Iterator[pa.RecordBatch]:
+        """Of sets with many partners the pairs with the first and the nearest before them.
 
         Near copies share all their tokens and would make all pairs of their group. What
         is left out here can be had from the hot rows of the sets it concerns.
         """
-        i, j, apart = passing(x, i, j)
-        # Most runs make none, and a batch without rows costs as much as one of many.
-        if not len(i):
-            return
-        if len(i) > PARTNERS * len(x["e"]):
-            chosen = np.zeros(len(i), dtype=bool)
-            for order in (np.lexsort((i, j)), np.lexsort((i, apart, j))):
-                own = j[order]
-                chosen[order[np.append(True, own[1:] != own[:-1])]] = True
-            yield hot(x, HOT, np.union1d(i[~chosen], j[~chosen]))
-            i, j, apart = i[chosen], j[chosen], apart[chosen]
-        yield made(x, i, j, apart)
+        chosen = np.zeros(len(i), dtype=bool)
+        for order in (np.lexsort((i, j)), np.lexsort((i, apart, j))):
+            own = j[order]
+            chosen[order[np.append(True, own[1:] != own[:-1])]] = True
+        yield hot(x, HOT, np.union1d(i[~chosen], j[~chosen]))
+        yield made(x, i[chosen], j[chosen], apart[chosen])
 
     def hot(x, kind, at) -> pa.RecordBatch:
         return _batch(FOUND, len(at), kind=kind, a=x["e"][at], **{c: x[c][at] for c in ("token", "doc", "line", "n", "pos", "sig", "more")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first = None, None
+        held, now = [], None
         for batch in batches:
-            x = {c: batch.column(c).to_numpy().astype(np.int64) for c in names}
-            if first is not None:
-                # The run under way is known to be hot: only its first row is kept.
-                same = (x["token"] == first["token"][0]) & (x["part"] == first["part"][0])
-                stop = len(same) if same.all() else int(np.argmin(same))
-                if stop:
-                    both = {c: np.concatenate([first[c], x[c][:stop]]) for c in names}
-                    at = np.arange(1, stop + 1)
-                    yield pairs(both, np.zeros(stop, np.int64), at)
-                    yield hot(both, HOT, at)
-                x = {c: v[stop:] for c, v in x.items()}
-                if not len(x["token"]):
-                    continue
-                first = None
-            if held is not None:
-                x = {c: np.concatenate([held[c], x[c]]) for c in names}
-            n = len(x["token"])
-            edge = np.ones(n, dtype=bool)
-            edge[1:] = (x["token"][1:] != x["token"][:-1]) | (x["part"][1:] != x["part"][:-1])
-            begins = np.flatnonzero(edge)
-            last = int(begins[-1])
-            held = {c: v[last:] for c, v in x.items()}
-            if n - last > cold:
-                yield from whole(held, np.array([0]), n - last)
-                first, held = {c: v[:1] for c, v in held.items()}, None
-            if last:
-                yield from whole({c: v[:last] for c, v in x.items()}, begins[:-1], last)
-        if held is not None:
-            yield from whole(held, np.array([0]), len(held["token"]))
+            if not batch.num_rows:
+                continue
+            own = batch.column("bucket").to_numpy()
+            rows, bounds = _unpacked(batch.column("postings"))
+            fresh = np.flatnonzero(own[1:] != own[:-1]) + 1
+            for begin, end in zip([0, *fresh.tolist()], [*fresh.tolist(), len(own)]):
+                if held and own[begin] != now:
+                    yield from one_bucket(np.concatenate(held))
+                    held = []
+                now = own[begin]
+                held.append(rows[bounds[begin]:bounds[end]])
+        if held:
+            yield from one_bucket(np.concatenate(held))
+
+    def edges(token, part) -> np.ndarray:
+        edge = np.ones(len(token), dtype=bool)
+        edge[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
+        return edge
+
+    def one_bucket(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What the runs of a bucket make; long ones are in order of their documents and lines."""
+        token, part = (np.ascontiguousarray(rows[c]) for c in ("token", "part"))
+        order = np.lexsort((part, token)) if part.any() else np.argsort(token)
+        token, part = token[order], part[order]
+        edge = edges(token, part)
+        # A set that meets no other makes nothing, unless other parts of its token do.
+        alone = edge & np.append(edge[1:], True) & (part == 0)
+        order, edge = order[~alone], edge[~alone]
+        if not len(order):
+            return
+        begins = np.flatnonzero(edge)
+        sizes = np.diff(np.append(begins, len(order)))
+        at = np.flatnonzero(np.repeat(sizes > min(cold, BULK), sizes) | (part[~alone] > 0))
+        if len(at):
+            some, number = rows[order[at]], np.cumsum(edge)[at]
+            order[at] = order[at[np.lexsort((some["line"], some["doc"], number))]]
+        rows = _taken(rows, order)
+        yield from whole({c: rows[c].astype(np.int64) for c in RECORD.names}, begins, len(order))
 
     def whole(x, begins, n) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(begins, n))
         salted = x["part"][begins] > 0
         small = (sizes > 1) & (sizes <= cold) & ~salted
-        few = small & (sizes <= BULK)
-        at = np.flatnonzero(np.repeat(few, sizes))
-        y = {c: v[at] for c, v in x.items()}
-        left = np.repeat(sizes[few], sizes[few])
-        if len(at):
-            left = left - np.arange(len(at)) + np.repeat(np.cumsum(sizes[few]) - sizes[few], sizes[few])
-        # The largest partner the tokens from here on allow: a set that keeps this
-        # overlap with it may not be larger (length and positional filter in one).
-        limit = lambda z: (100 + percent) * (z["n"] - z["pos"]) // percent - z["n"]
-        most = limit(y)
-        some_i, some_j = [], []
-        i = np.arange(len(left))
-        for gap in range(1, int(left.max(initial=0))):
-            # Only rows that have one so far behind them in their run.
-            i = i[left[i] > gap]
-            j = i + gap
-            ok = (y["n"][j] <= most[i]) & (y["n"][i] <= most[j])
-            some_i.append(i[ok])
-            some_j.append(j[ok])
-        if some_i:
-            yield pairs(y, np.concatenate(some_i), np.concatenate(some_j))
-        long = np.flatnonzero(small & ~few)
-        for at, size in zip(begins[long].tolist(), sizes[long].tolist()):
-            z = {c: v[at:at + size] for c, v in x.items()}
-            most = limit(z)
-            ok = np.triu((z["n"][None, :] <= most[:, None]) & (z["n"][:, None] <= most[None, :]), 1)
-            yield from long_run(z, *np.nonzero(ok))
+        at = np.flatnonzero(np.repeat(small, sizes))
+        yield from compared({c: v[at] for c, v in x.items()}, sizes[small])
         many = (sizes > cold) | salted
         if many.any():
             at = np.flatnonzero(np.repeat(many, sizes))
@@ -351,8 +466,8 @@ def candidates(rows: DataFrame, percent: int, cold: int) -> DataFrame:
             yield hot(x, HOT, at)
             yield hot(x, ANCHOR, begins[many])
 
-    ordered = rows.repartition("token", "part").sortWithinPartitions("token", "part", "doc", "line")
-    return ordered.mapInArrow(run, FOUND)
+    blocks = rows if "bucket" in rows.columns else packed(rows)
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
 
 
 def anchor_pairs(found: DataFrame, percent: int, cold: int) -> DataFrame:

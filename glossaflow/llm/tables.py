@@ -16,6 +16,8 @@ from glossaflow.sources.scratch import scratch_path
 _WHILE_WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    # Tables cut by a column of few values are written without a sort by it.
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
 }
 _held: set[str] = set()
 

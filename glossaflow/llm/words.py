@@ -16,12 +16,8 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 # Odd multipliers of the window hash and of the finaliser (murmur3's).
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -110,9 +106,10 @@ class Words:
 
 def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     """Split texts, given as bytes and offsets, into words; ``lower`` folds A-Z."""
+    # Arithmetic on bytes is several times as fast as a look-up in a table.
     if lower:
-        data = _LOWER[data]
-    inside = ~_SPACE[data]
+        data = data | (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+    inside = (data != 32) & ((data - np.uint8(9)) > 4)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = offsets[1:-1]

@@ -64,6 +64,61 @@ def test_runs_without_pairs_make_no_batches(spark, monkeypatch):
     assert made.value == 0
 
 
+def test_postings_and_counts_travel_in_blocks(spark):
+    """A task hands over some hundred rows for thousands of prefix tokens and counts."""
+    table = [(k, " ".join(f"w{(k * 7 + j * j) % 5_003}" for j in range(60))) for k in range(2_000)]
+    documents = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    made = prefix_join.describe(documents, line_dedup.line_sets)
+    counts = prefix_join.frequencies(made)
+    assert counts.sum() == sum(len(set(text.split())) for _, text in table)
+    assert made.filter("kind = 1").count() <= prefix_join.SKETCH // prefix_join.SLICE
+    blocks = prefix_join.postings(documents, line_dedup.line_sets, counts, 80)
+    assert blocks.count() <= prefix_join.BUCKETS
+    rows = np.concatenate([np.frombuffer(r.postings, prefix_join.RECORD) for r in blocks.collect()])
+    assert len(rows) >= 2_000 * 13 and len({(r["token"], r["e"]) for r in rows}) == len(rows)
+
+
+def test_the_first_copy_in_a_task_stands_for_all(spark):
+    table = [(k, "same words in every text") for k in range(50)]
+    documents = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    counts = prefix_join.frequencies(prefix_join.describe(documents, line_dedup.line_sets))
+    blocks = prefix_join.postings(documents, line_dedup.line_sets, counts, 80).collect()
+    rows = np.concatenate([np.frombuffer(r.postings, prefix_join.RECORD) for r in blocks])
+    assert len(rows) == 2 and set(rows["doc"]) == {0}
+
+
+@pytest.mark.parametrize("at_once", [40, 1 << 18])
+def test_candidates_are_all_pairs_that_pass(spark, monkeypatch, at_once):
+    monkeypatch.setattr(prefix_join, "COMPARED_AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    rows = []
+    for token in range(40):
+        for k in range(rng.choice([1, 2, 3, 20, 60])):
+            n = rng.randint(1, 90)
+            near = rng.getrandbits(64) >> 1 if rng.random() < 0.9 else 7
+            # token, part, doc, line, e, n, pos, sig, more, before
+            rows.append((token, 0, rng.randint(0, 9), k, len(rows) + 1, n, rng.randint(0, n // 5), near, near & 3, -1 - rng.randint(0, 5)))
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[4] < y[4] and x[9] != y[9]:
+                at = [np.array([v], np.int64) for c in (5, 6, 7, 8) for v in (x[c], y[c])]
+                ok, apart = prefix_join.passes(80, *at)
+                if ok[0]:
+                    want.add((x[4], y[4], int(apart[0])))
+    found = prefix_join.candidates(spark.createDataFrame(rows, prefix_join.POSTING), 80, 1_024).collect()
+    assert {(r.a, r.b, r.n) for r in found} == want and len(want) > 5
+    assert all(r.kind == prefix_join.PAIR for r in found)
+
+
+def test_texts_that_nothing_asks_for_are_not_shuffled(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc", "id * 7 AS h")
+    wanted = rows.filter("doc % 100 = 0 OR doc IS NULL")
+    left = {r.doc for r in prefix_join.sieved(rows, wanted, "doc", "h").collect()}
+    assert left >= set(range(0, 20_000, 100)) and len(left) < 220
+    assert prefix_join.sieved(rows, wanted.limit(0), "doc", "h").count() == 0
+
+
 def test_line_dedup_reads_the_texts_once_for_the_sets_of_a_round(spark, monkeypatch):
     """Nearest candidates that fail leave others to compare, from the same sets."""
     fetched = []
