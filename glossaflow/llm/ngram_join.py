@@ -4,7 +4,9 @@ A document's set is its distinct five-word shingles (A-Z folded); with fewer
 words, the whole sequence as one; without words or with null text, empty. Sets
 of similarity 0.8 or more are linked. Copies are joined as one set, links are found
 by prefix filtering (:mod:`glossaflow.llm.prefix_join`), and classes are the
-connected components of the links.
+connected components of the links. Sets are fetched for those pairs only that bitmaps
+of the sets' own sizes leave open, since long documents with a passage in common pass
+every filter of fixed size.
 
 Shingles and sets are compared by 64-bit hashes. Defined results: an empty set is
 its own class; rows without ``doc_id`` have no class (null) and take part in no link;
@@ -107,7 +109,7 @@ def _open_pairs(hot: DataFrame, classes: DataFrame, roots: DataFrame, percent: i
 def near_duplicates(documents: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``documents``."""
     spark, extract = documents.sparkSession, shingle_sets(size)
-    made, made_at = keep(J.describe(documents, extract), "sets", "kind")
+    made, made_at = keep(J.describe(documents, extract, with_bitmaps=True), "sets", "kind")
     described = made.filter("kind = 0").select(F.col("doc").alias("doc_id"), "n", "e", "h")
     counts = J.frequencies(made)
     classes, classes_at = keep(
@@ -119,16 +121,18 @@ def near_duplicates(documents: DataFrame, size: int = WORDS, percent: int = PERC
     anchors = J.anchor_pairs(found, percent, COLD).select("a", "b")
     pairs = found.filter(f"kind = {J.PAIR}").select("a", "b").union(anchors).distinct()
     pairs, pairs_at = keep(pairs, "pairs")
-    links, links_at = _links(documents, pairs, classes, extract, percent)
+    near, near_at = keep(J.near(pairs, made, percent), "near")
+    links, links_at = _links(documents, near, classes, extract, percent)
     roots = components(links)
     # Pairs that failed are not verified again.
     more = _open_pairs(found.filter(f"kind = {J.HOT}"), classes, roots, percent)
     more, more_at = keep(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        rest, rest_at = _links(documents, more, classes, extract, percent)
+        open_, open_at = keep(J.near(more, made, percent), "near")
+        rest, rest_at = _links(documents, open_, classes, extract, percent)
         roots = components(links.union(rest))
-        drop(spark, rest_at)
-    drop(spark, found_at, pairs_at, more_at, links_at)
+        drop(spark, open_at, rest_at)
+    drop(spark, found_at, pairs_at, near_at, more_at, links_at)
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("e", F.coalesce("root", "id").alias("root"))
     out = described.join(named, "e", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),

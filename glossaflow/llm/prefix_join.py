@@ -7,7 +7,9 @@ Candidates of a shared token pass a length filter, a positional filter and a
 parity bitmap (tokens that differ flip single bits, so the number of differing
 bits bounds the symmetric difference from below), and the rest are verified once.
 Sets of many tokens have a bitmap of 128 bits, whose halves fold into the 64 bits
-of smaller ones.
+of smaller ones. That says little of sets of hundreds of tokens, so callers may have
+:func:`describe` make bitmaps that grow with the sets, a bit or two for each token, and
+leave out by :func:`near` the pairs these tell apart before any set is fetched.
 
 Token frequencies come from a sketch of fixed size counted over all rows. It only
 decides the order: any fixed order gives the same result, and in a sketch filled by
@@ -64,7 +66,7 @@ PAIRS_AT_ONCE = 2_048
 Sets = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 Extractor = Callable[[pa.Array], Iterator[Sets]]
 
-MADE = "kind int, doc long, line int, n int, e long, h long, counts binary"
+MADE = "kind int, doc long, line int, n int, e long, h long, counts binary, bits binary"
 SLICES = "doc long, counts binary"
 POSTING = "token long, part int, doc long, line int, e long, n int, pos int, sig long, more long, before long"
 FOUND = "kind int, token long, a long, b long, doc long, line int, n int, pos int, sig long, more long"
@@ -128,7 +130,9 @@ def _batch(schema: str, rows: int, /, **columns) -> pa.RecordBatch:
         name, kind = field.split(" ")
         values = columns.get(name, 0)
         names.append(name)
-        if kind == "binary":
+        if isinstance(values, pa.Array):
+            arrays.append(values)
+        elif kind == "binary":
             arrays.append(pa.array(values, kinds[kind]) if name in columns else pa.nulls(rows, kinds[kind]))
         else:
             arrays.append(pa.array(np.broadcast_to(values, rows), kinds[kind]))
@@ -180,7 +184,63 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.select(*RECORD.names).mapInArrow(run, BLOCK)
 
 
-def describe(documents: DataFrame, extract: Extractor) -> DataFrame:
+def bitmaps(bounds: np.ndarray, tokens: np.ndarray) -> pa.Array:
+    """Parity bitmaps of sets of more than ``PARITY_SIZE`` tokens, null for others.
+
+    A set has as many bits as it has tokens, rounded up to a power of two.
+    """
+    size = np.diff(bounds)
+    some = size > PARITY_SIZE
+    width = np.where(some, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), 0)
+    begins = np.cumsum(width) - width
+    at = np.repeat(some, size)
+    place = np.repeat(begins, size)[at] + (tokens[at] & np.repeat(width - 1, size)[at].view(np.uint64)).astype(np.int64)
+    data = np.packbits(np.bincount(place, minlength=int(width.sum())).astype(np.uint8) & 1, bitorder="little")
+    offsets = (np.append(begins, width.sum()) // 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [pa.py_buffer(np.packbits(some, bitorder="little")), pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def bitmaps_allow(s: pa.Array, t: pa.Array, m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets of ``m`` and ``n`` tokens may be similar by their bitmaps; a null one allows it."""
+    (x, x_at), (y, y_at) = _bytes(s), _bytes(t)
+    most = m + n - 2 * -(-percent * (m + n) // (100 + percent))
+    long, wide = np.diff(x_at), np.diff(y_at)
+    ok = np.ones(len(m), dtype=bool)
+    for k, w in sorted({(k, w) for k, w in zip(long.tolist(), wide.tolist()) if k and w}):
+        own, low = np.flatnonzero((long == k) & (wide == w)), min(k, w)
+        # Of two sizes, the longer bitmap folds into the bits of the shorter one.
+        first = np.bitwise_xor.reduce(x[x_at[own][:, None] + np.arange(k)].reshape(len(own), -1, low), axis=1)
+        second = np.bitwise_xor.reduce(y[y_at[own][:, None] + np.arange(w)].reshape(len(own), -1, low), axis=1)
+        ok[own] = np.bitwise_count((first ^ second).view(np.uint64)).sum(axis=1, dtype=np.int64) <= most[own]
+    return ok
+
+
+def near(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that the sets' bitmaps in ``made`` do not tell apart.
+
+    No similar pair is lost: bitmaps differ in no more bits than sets do in tokens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.ones(batch.num_rows, dtype=bool)
+            for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                part = batch.slice(at, PAIRS_AT_ONCE)
+                m, n = (part.column(c).to_numpy().astype(np.int64) for c in ("m", "n"))
+                ok[at:at + part.num_rows] = bitmaps_allow(part.column("s"), part.column("t"), m, n, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    ends = pairs.select(F.col("a").alias("e")).union(pairs.select("b"))
+    large = made.filter(f"kind = 0 AND n > {PARITY_SIZE}").select("e", "n", "bits")
+    bits = sieved(large, ends, "e").dropDuplicates(["e"])
+    left = bits.select(F.col("e").alias("a"), F.col("n").alias("m"), F.col("bits").alias("s"))
+    right = bits.select(F.col("e").alias("b"), "n", F.col("bits").alias("t"))
+    # Small sets have no bitmap, and their pairs pass.
+    both = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left").fillna(0, ["m", "n"])
+    return both.select("a", "b", "m", "n", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def describe(documents: DataFrame, extract: Extractor, with_bitmaps: bool = False) -> DataFrame:
     """Sets as rows of ``kind`` 0; token counts of each task as ``kind`` 1.
 
     ``h`` is the hash of the whole text (:func:`text_hash`), which tells rows of one id
@@ -193,7 +253,8 @@ def describe(documents: DataFrame, extract: Extractor) -> DataFrame:
             ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
             for rows, line, bounds, tokens in extract(batch.column(1)):
                 counts += np.bincount(bucket(tokens), minlength=SKETCH)
-                yield _batch(MADE, len(rows), doc=ids[rows], line=line, n=np.diff(bounds), e=set_hashes(bounds, tokens), h=texts[rows])
+                own = {"bits": bitmaps(bounds, tokens)} if with_bitmaps else {}
+                yield _batch(MADE, len(rows), doc=ids[rows], line=line, n=np.diff(bounds), e=set_hashes(bounds, tokens), h=texts[rows], **own)
         slices = counts.reshape(-1, SLICE)
         some = np.flatnonzero(slices.any(axis=1))
         yield _batch(MADE, len(some), kind=1, doc=some, counts=[slices[k].tobytes() for k in some])
@@ -500,13 +561,18 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "x long, y long")
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that a binary column lies in, and where each value's begin and end."""
+    column = column.cast(pa.large_binary())
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole, np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+
+
 def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All tokens of a column of sets, and the size of each set."""
-    sets = sets.cast(pa.large_binary())
-    offsets = np.frombuffer(sets.buffers()[1], np.int64, len(sets) + 1, 8 * sets.offset)
-    data = sets.buffers()[2]
-    whole = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    return np.frombuffer(whole.tobytes(), np.uint64), np.diff(offsets) // 8
+    whole, offsets = _bytes(sets)
+    return np.frombuffer(whole[offsets[0]:offsets[-1]].tobytes(), np.uint64), np.diff(offsets) // 8
 
 
 def similar_pairs(s: pa.Array, t: pa.Array, percent: int) -> np.ndarray:

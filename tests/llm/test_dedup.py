@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glossaflow.llm import line_dedup, ngram_join, prefix_join, substring_dedup
@@ -155,6 +156,63 @@ def test_ngram_join_with_hot_and_salted_tokens(spark, monkeypatch, part_rows):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_bitmaps_lose_no_similar_pair_and_tell_others_apart():
+    rng, percent = np.random.default_rng(9), 80
+    pairs = [([], []), ([3], [3]), (range(1, 65), range(1, 66))]
+    for n in (60, 65, 128, 129, 300, 2_000, 9_000):
+        for shared in (1.0, 0.95, 0.9, 0.89, 0.8, 0.5, 0.0):
+            for ratio in (0.81, 1.0, 1.24):
+                both = rng.integers(0, 2**64, n, dtype=np.uint64)
+                own = rng.integers(0, 2**64, max(0, int(n * ratio) - int(n * shared)), dtype=np.uint64)
+                pairs.append((both, np.concatenate((both[:int(n * shared)], own))))
+    columns, sizes = [], []
+    for side in zip(*pairs):
+        sets = [np.unique(np.array(x, np.uint64)) for x in side]
+        sizes.append(np.array([len(x) for x in sets]))
+        column = prefix_join.bitmaps(np.append(0, np.cumsum(sizes[-1])), np.concatenate(sets))
+        # As a slice that does not begin at the first row, too.
+        columns.append(pa.concat_arrays([pa.array([b"?"]), column]).slice(1))
+        assert [len(x or b"") for x in column.to_pylist()] == [1 << (n - 1).bit_length() >> 3 if n > 64 else 0 for n in sizes[-1].tolist()]
+    ok = prefix_join.bitmaps_allow(*columns, *sizes, percent)
+    told_apart = 0
+    for (x, y), may in zip(pairs, ok):
+        x, y = {int(v) for v in x}, {int(v) for v in y}
+        if 100 * len(x & y) >= percent * len(x | y):
+            assert may
+        elif min(len(x), len(y)) > 64 and 100 * len(x & y) < 70 * len(x | y):
+            assert not may
+            told_apart += 1
+    assert told_apart > 30
+
+
+def test_sets_of_long_documents_that_share_a_passage_are_not_fetched(spark, monkeypatch):
+    """Half of each text of a group is common, so prefixes meet; only near copies are asked for.
+
+    All tokens count as equally frequent, as in a sketch that a large corpus has filled.
+    """
+    monkeypatch.setattr(prefix_join, "frequencies", lambda made: np.full(prefix_join.SKETCH, 300))
+    asked = []
+    fetch = ngram_join._fetch
+
+    def counting(documents, wanted, extract):
+        asked.extend(r.e for r in wanted.select("e").collect())
+        return fetch(documents, wanted, extract)
+
+    monkeypatch.setattr(ngram_join, "_fetch", counting)
+    rng, rows = random.Random(4), []
+    for group in range(6):
+        passage = " ".join(f"p{group}x{k}" for k in range(400))
+        for k in range(12):
+            rows.append((100 * group + k, f"{passage} " + " ".join(f"o{rng.randrange(10**9)}" for _ in range(400))))
+        words = rows[-1][1].split()
+        words[50] = words[500] = "changed"
+        rows.append((100 * group + 50, " ".join(words)))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = X.classes(rows)
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) == 72
+    assert len(set(asked)) == 12
+
+
 def test_keep_one_of_each_class(documents, table):
     kept = ngram_join.keep_one(documents)
     assert kept.columns == documents.columns
