@@ -163,8 +163,13 @@ def _without(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 
 
 def _left(text: Column) -> Column:
-    """``text`` without the lines in ``_gone``; whole texts do not go to Python."""
-    return F.when(F.col("_gone").isNull(), text).otherwise(_without(F.when(F.col("_gone").isNotNull(), text), F.col("_gone")))
+    """``text`` without the lines in ``_gone``; whole texts do not go to Python.
+
+    Marked as nondeterministic, so that Spark does not push a filter on the result below it
+    and take lines out twice, by two Python workers for each task.
+    """
+    without = _without.asNondeterministic()
+    return F.when(F.col("_gone").isNull(), text).otherwise(without(F.when(F.col("_gone").isNotNull(), text), F.col("_gone")))
 
 
 def _marked(documents: DataFrame, percent: int) -> DataFrame:

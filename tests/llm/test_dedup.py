@@ -319,6 +319,12 @@ def test_documents_that_lose_every_line_can_go(spark):
     assert {r.doc_id for r in line_dedup.dedup_lines(documents).collect()} == {1, 2, 3, 4, 5, None}
 
 
+def test_lines_are_taken_out_of_a_text_once(spark):
+    documents = spark.createDataFrame([(1, "a b c"), (2, "a b c\nd e")], "doc_id long, text string")
+    plan = line_dedup.dedup_lines(documents, keep_emptied=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_one_id_on_many_texts(spark):
     """Lines of a hot id are looked up text by text; copies and near copies of one line settle one by one."""
     rng = random.Random(9)
