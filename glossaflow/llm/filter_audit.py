@@ -10,9 +10,11 @@ not on the 120 orders:
 - redundant: its id table, left-anti joined with the survivors;
 - what fails one filter only is what that filter removes after all others.
 
-Each join is on a row id, or on row id and set; nothing grows with a part, a text that
-many rows share, or a document id that many rows carry. Orders meet the counts at last,
-for each part, as rows of the result.
+Joins of rows are on a row id, or on row id and set, and do not grow with a part. First
+holders of texts and marks of documents are stored before rows meet them, so that Spark
+can split a text or a document id that many rows have. Nothing is broadcast: Spark
+judges by bytes on disk, and the driver would hold many times as many. Orders meet the
+counts at last, for each part, as rows of the result.
 
 Defined results: null text counts as empty; a null source is the part named by the
 empty string; every row is a document of its own, also where an id repeats; a null id
@@ -61,21 +63,26 @@ def _facts(documents: DataFrame) -> DataFrame:
     )
 
 
-def _repeats(facts: DataFrame) -> DataFrame:
-    """Rows whose text a smaller id has as well. Groups combine before the shuffle."""
-    first = facts.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
-    copied = first.filter(F.col("_first") < F.col("_last")).select("digest", "_first")
-    return facts.join(copied, "digest").filter(F.col("doc_id") > F.col("_first"))
+def copied(facts: DataFrame) -> DataFrame:
+    """``digest, first``: texts of several ids, and the smallest. Groups combine before the shuffle."""
+    ids = facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"))
+    return ids.filter(F.col("first") < F.col("_last")).select("digest", "first")
 
 
-def failing(facts: DataFrame, labels: DataFrame) -> DataFrame:
-    """``filter, rid, part, good, toxic``: a row for every filter that a document fails."""
-    own = facts.select("rid", "doc_id", "part", F.explode("failed").alias("filter"))
-    copies = _repeats(facts).select("rid", "doc_id", "part", F.lit("E").alias("filter"))
-    marked = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+def marked(labels: DataFrame) -> DataFrame:
+    """``doc_id, good, toxic`` of the documents that are either."""
+    marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic")
     )
-    known = own.unionByName(copies).join(marked.filter("doc_id IS NOT NULL AND (good OR toxic)"), "doc_id", "left")
+    return marks.filter("doc_id IS NOT NULL AND (good OR toxic)")
+
+
+def failing(facts: DataFrame, texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """``filter, rid, part, good, toxic``: a row for every filter that a document fails."""
+    own = facts.select("rid", "doc_id", "part", F.explode("failed").alias("filter"))
+    copies = facts.join(texts.hint("merge"), "digest").filter(F.col("doc_id") > F.col("first"))
+    copies = copies.select("rid", "doc_id", "part", F.lit("E").alias("filter"))
+    known = own.unionByName(copies).join(marks.hint("merge"), "doc_id", "left")
     flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     return known.select("filter", "rid", "part", flag("good"), flag("toxic"))
 
@@ -89,13 +96,13 @@ def survivors(facts: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     ids = tables["A"].select("rid")
     for name in FILTERS[1:]:
         ids = ids.unionAll(tables[name].select("rid"))
-    rows = facts.select("rid", "part").join(ids, "rid", "left_semi").withColumn("set", F.lit(0))
+    rows = facts.select("rid", "part").join(ids.hint("merge"), "rid", "left_semi").withColumn("set", F.lit(0))
     for name in FILTERS:
         both = F.explode(F.array(F.col("set"), F.col("set") + _bit(name)))
         rows = rows.select("rid", "part", both.alias("set"))
         fails = tables[name].select(F.col("rid").alias("_rid"))
         chosen = F.col("set").bitwiseAND(F.lit(_bit(name))) != 0
-        rows = rows.join(fails, (F.col("rid") == F.col("_rid")) & chosen, "left_anti")
+        rows = rows.join(fails.hint("merge"), (F.col("rid") == F.col("_rid")) & chosen, "left_anti")
     return rows
 
 
@@ -115,7 +122,10 @@ def audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts of every part, order of the five filters and step."""
     spark = documents.sparkSession
     facts, facts_path = keep(_facts(documents), "facts")
-    every, ids_path = keep(failing(facts, labels), "failing", "filter")
+    texts, texts_path = keep(copied(facts), "copied")
+    marks, marks_path = keep(marked(labels), "marked")
+    every, ids_path = keep(failing(facts, texts, marks), "failing", "filter")
+    drop(spark, texts_path, marks_path)
     tables = {name: every.filter(F.col("filter") == name) for name in FILTERS}
     alive, alive_path = keep(survivors(facts, tables), "survivors")
 
@@ -124,22 +134,23 @@ def audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
         bit = F.when(F.col("filter") == name, _bit(name)).otherwise(bit)
     other_sets = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda s: s.bitwiseAND(F.col("_bit")) == 0)
     asked = every.withColumn("_bit", bit).select("*", F.explode(other_sets).alias("set"))
-    here = asked.join(alive, ["rid", "set"], "left_semi").groupBy("part", "filter", "set").agg(
+    here = asked.join(alive.hint("merge"), ["rid", "set"], "left_semi").groupBy("part", "filter", "set").agg(
         F.count("*").alias("removed"),
         F.count_if("good").alias("good_lost"), F.count_if("toxic").alias("toxic_lost"),
     )
-    earlier = asked.join(alive, ["rid", "set"], "left_anti").groupBy("part", "filter", "set").agg(
+    earlier = asked.join(alive.hint("merge"), ["rid", "set"], "left_anti").groupBy("part", "filter", "set").agg(
         F.count("*").alias("redundant")
     )
-    clean = facts.join(every.select("rid"), "rid", "left_anti").groupBy("part").agg(F.count("*").alias("clean"))
+    clean = facts.join(every.select("rid").hint("merge"), "rid", "left_anti").groupBy("part").agg(F.count("*").alias("clean"))
     left = alive.groupBy("part", "set").agg(F.count("*").alias("left"))
+    left = left.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("set", "left"))).alias("left"))
     # From here on a few rows per part.
     counts, counts_path = keep(
         here.join(earlier, ["part", "filter", "set"], "full"), "counts"
     )
-    whole = facts.select("part").distinct().join(clean, "part", "left").join(
-        left.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("set", "left"))).alias("left")), "part", "left"
-    )
+    whole = facts.select("part").distinct()
+    for numbers in (clean, left):
+        whole = whole.join(numbers.hint("merge"), "part", "left")
     whole, whole_path = keep(whole, "parts")
     drop(spark, facts_path, ids_path, alive_path)
 
@@ -149,8 +160,11 @@ def audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
         F.slice("_order", F.lit(1), F.col("_at")), F.lit(0),
         lambda s, f: s + F.element_at(F.array(*[F.lit(_bit(c)) for c in FILTERS]), F.instr(F.lit(FILTERS), f)),
     )
-    steps = steps.withColumn("set", before)
-    steps = steps.join(counts, ["part", "filter", "set"], "left")
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    steps = steps.withColumn("set", before).select(
+        "part", F.array_join("_order", "").alias("filter_order"), (F.col("_at") + 1).cast("int").alias("step"), "filter", "set",
+        (number(F.col("clean")) + number(F.element_at("left", F.col("set") + F.col("_bit")))).alias("kept"),
+    )
     alone = counts.filter(F.col("set") == (1 << len(FILTERS)) - 1 - bit).select(
         "part", "filter", F.col("removed").alias("unique_fails")
     )
@@ -160,11 +174,11 @@ def audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
     shares = counts.groupBy("part", "filter").agg(
         F.sum(F.col("removed") * orders_with(F.col("set"))).alias("shapley")
     )
-    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    kept = number(F.col("clean")) + number(F.element_at("left", F.col("set") + F.col("_bit")))
-    return steps.join(alone, ["part", "filter"], "left").join(shares, ["part", "filter"], "left").select(
-        "part", F.array_join("_order", "").alias("filter_order"), (F.col("_at") + 1).cast("int").alias("step"),
-        kept.alias("kept"),
+    steps = steps.join(counts.hint("merge"), ["part", "filter", "set"], "left")
+    for numbers in (alone, shares):
+        steps = steps.join(numbers.hint("merge"), ["part", "filter"], "left")
+    return steps.select(
+        "part", "filter_order", "step", "kept",
         *[number(F.col(c)).alias(c) for c in ("removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")],
     )
 

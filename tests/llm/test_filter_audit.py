@@ -86,3 +86,45 @@ def test_clean_and_empty_tables(spark):
 def test_very_long_text(spark):
     table = [(1, "word " * 400_000, "en", "s", 1, None, None, None), (2, "X" * 1_000_000, "en", "s", 1, None, None, None)]
     assert set(run(spark, table, [])) == brute(table, [])
+
+
+def test_no_table_goes_through_the_driver(spark, monkeypatch):
+    """Not even at these sizes: Spark judges by compressed bytes, the driver holds rows."""
+    plans = []
+
+    def ran(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    keep = A.keep
+    monkeypatch.setattr(A, "keep", lambda df, *how: keep(ran(df), *how))
+    table = [(k, "A # few words" if k % 3 else f"text {k}", "en", f"s{k % 4}", 1, None, None, None) for k in range(60)]
+    documents, labels = spark.createDataFrame(table, X.SCHEMA), spark.createDataFrame([(3, 1, 0, "", "")], LABELS)
+    ran(A.audit(documents, labels))
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_rows_of_one_text_or_id_can_be_split(spark, monkeypatch):
+    """Spark splits a hot key only where both sides of a join are exchanges."""
+    seen = {}
+    keep = A.keep
+    monkeypatch.setattr(A, "keep", lambda df, label, *by: seen.update({label: df}) or keep(df, label, *by))
+    table = [(k % 50, "same text", "en", "s0", 1, None, None, None) for k in range(4_000)]
+    documents, labels = spark.createDataFrame(table, X.SCHEMA).repartition(8), spark.createDataFrame([(k, 1, 0, "", "") for k in range(50)], LABELS)
+    tight = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    monkeypatch.setattr(A, "drop", lambda *_: None)
+    A.audit(documents, labels)
+    try:
+        for name, value in tight.items():
+            spark.conf.set(name, value)
+        df = seen["failing"].select("*")
+        df.collect()
+        splits = df._jdf.queryExecution().executedPlan().toString().count("skew=true")
+    finally:
+        for name in tight:
+            spark.conf.unset(name)
+    assert splits
